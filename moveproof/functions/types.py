@@ -94,6 +94,28 @@ def detect_types(df: DataFrame, dataset: str) -> DataFrame:
     )
 
 
+def datatype_registry(
+    df: DataFrame, table: str, key: str, previous: DataFrame
+) -> DataFrame:
+    """Detected type, selected type and a sample per column of a text table.
+
+    `previous` (table, column, selected_type) carries earlier choices over
+    unless they are blank; the sample is the value of the row with the lowest key.
+    """
+    first = df.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col(key)).alias("r"))
+    samples = first.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col("r").getField(c).alias("sample_value"))
+        for c in df.columns
+    ])))
+    detected = detect_types(df, table).withColumnRenamed("dataset", "table")
+    chosen = usable_type(F.col("selected_type"))
+    return detected.join(previous, ["table", "column"], "left").join(samples, "column").select(
+        "table", "column", "detected_type",
+        F.coalesce(chosen, F.col("detected_type")).alias("selected_type"),
+        F.coalesce("sample_value", F.lit("")).alias("sample_value"),
+    )
+
+
 def usable_type(col: Column) -> Column:
     """A type entry that counts: not null, not blank, not the word 'null'."""
     text = strip(col)

@@ -120,12 +120,23 @@ def changed_databases(plan: DataFrame, databases: DataFrame) -> DataFrame:
     )
 
 
-def missing_columns(required: DataFrame, present: DataFrame) -> DataFrame:
-    """Required columns (table, column) that are not present, ignoring case."""
-    return (
-        _folded(required)
+def contract_breaches(required: DataFrame, present: DataFrame, counts: DataFrame) -> DataFrame:
+    """Tables that arrived without rows, and required columns that others lack, ignoring case.
+
+    Inputs: required and present (table, column), counts (table, record_count).
+    """
+    filled = counts.filter(F.col("record_count") > 0).select("table")
+    wanted = required.select("table", "column")
+    empty = wanted.select("table").distinct().join(filled, "table", "left_anti").select(
+        "table", F.lit(None).cast("string").alias("column"), F.lit("EMPTY_FILE").alias("problem")
+    )
+    lost = (
+        _folded(wanted)
         .join(_folded(present).select("table", "folded"), ["table", "folded"], "left_anti")
-        .select("table", "column")
+        .join(filled, "table", "left_semi")
+    )
+    return empty.unionByName(
+        lost.select("table", "column", F.lit("MISSING_COLUMN").alias("problem"))
     )
 
 

@@ -217,54 +217,49 @@ def profiling_issues(
     `semantics` is (dataset, column, semantic); columns without an entry raise
     no null finding. An empty table raises EMPTY_DATASET and nothing else.
     """
-    per_table = duplicates.select(
+    def issue(when, kind, severity, affected, share_, message):
+        return F.when(when, F.struct(
+            kind.alias("issue_type"), severity.alias("severity"),
+            affected.cast("long").alias("affected_records"),
+            share_.cast("double").alias("affected_percentage"), message.alias("message"),
+        ))
+
+    rows, repeats = F.col("total_rows"), F.col("duplicate_rows")
+    none = F.lit(None)
+    of_tables = duplicates.select(
         "database", "dataset", F.lit("").alias("column"), F.lit(-1).alias("position"),
-        "total_rows", "duplicate_rows", "duplicate_percentage",
-    )
-    empty = per_table.filter(F.col("total_rows") == 0).select(
-        "database", "dataset", "column", "position",
-        F.lit("EMPTY_DATASET").alias("issue_type"), F.lit(rules.HIGH).alias("severity"),
-        F.lit(0).cast("long").alias("affected_records"),
-        F.lit(None).cast("double").alias("affected_percentage"),
-        F.lit("the dataset has no rows").alias("message"),
-    )
-    repeated = per_table.filter(F.col("duplicate_rows") > 0).select(
-        "database", "dataset", "column", "position",
-        F.lit("DUPLICATE_ROWS").alias("issue_type"),
-        grade(F.col("duplicate_percentage"), rules.DUPLICATE_SEVERITY).alias("severity"),
-        F.col("duplicate_rows").alias("affected_records"),
-        F.col("duplicate_percentage").alias("affected_percentage"),
-        F.format_string("%d of %d rows repeat an earlier row",
-                        F.col("duplicate_rows"), F.col("total_rows")).alias("message"),
+        F.inline(F.array_compact(F.array(
+            issue(rows == 0, F.lit("EMPTY_DATASET"), F.lit(rules.HIGH), rows, none,
+                  F.lit("the dataset has no rows")),
+            issue(repeats > 0, F.lit("DUPLICATE_ROWS"),
+                  grade(F.col("duplicate_percentage"), rules.DUPLICATE_SEVERITY),
+                  repeats, F.col("duplicate_percentage"),
+                  F.format_string("%d of %d rows repeat an earlier row", repeats, rows)),
+        ))),
     )
     if semantics is None:
         ruled = columns.withColumn("semantic", F.lit("unknown"))
     else:
         ruled = columns.join(semantics, ["dataset", "column"], "left")
-    required = F.col("semantic").isin(list(rules.REQUIRED_SEMANTICS))
-    optional = (F.col("semantic") == "optional") & (
-        F.col("null_percentage") < rules.OPTIONAL_SILENT_FROM
-    )
-    nulls = ruled.filter((F.col("null_count") > 0) & (required | optional)).select(
-        "database", "dataset", "column", F.col("ordinal").alias("position"),
-        F.when(required, "NULL_VALUES").otherwise("NULL_VALUES_OPTIONAL").alias("issue_type"),
-        F.when(required, grade(F.col("null_percentage"), rules.NULL_SEVERITY))
-        .otherwise(rules.LOW).alias("severity"),
-        F.col("null_count").alias("affected_records"),
-        F.col("null_percentage").alias("affected_percentage"),
-        F.format_string("%d of %d values of %s are null",
-                        F.col("null_count"), F.col("total_rows"), F.col("column")).alias("message"),
+    nulls, null_share = F.col("null_count"), F.col("null_percentage")
+    required = F.coalesce(F.col("semantic").isin(list(rules.REQUIRED_SEMANTICS)), F.lit(False))
+    optional = F.coalesce(F.col("semantic") == "optional", F.lit(False)) & (
+        null_share < rules.OPTIONAL_SILENT_FROM
     )
-    constant = columns.filter(
-        (F.col("non_null_count") > 0) & (F.col("unique_value_count") == 1)
-    ).select(
+    null_message = F.format_string("%d of %d values of %s are null", nulls, rows, F.col("column"))
+    of_columns = ruled.select(
         "database", "dataset", "column", F.col("ordinal").alias("position"),
-        F.lit("CONSTANT_COLUMN").alias("issue_type"), F.lit(rules.LOW).alias("severity"),
-        F.col("non_null_count").alias("affected_records"),
-        F.lit(None).cast("double").alias("affected_percentage"),
-        F.format_string("every filled value of %s is the same", F.col("column")).alias("message"),
+        F.inline(F.array_compact(F.array(
+            issue((nulls > 0) & required, F.lit("NULL_VALUES"),
+                  grade(null_share, rules.NULL_SEVERITY), nulls, null_share, null_message),
+            issue((nulls > 0) & optional, F.lit("NULL_VALUES_OPTIONAL"), F.lit(rules.LOW),
+                  nulls, null_share, null_message),
+            issue((F.col("non_null_count") > 0) & (F.col("unique_value_count") == 1),
+                  F.lit("CONSTANT_COLUMN"), F.lit(rules.LOW), F.col("non_null_count"), none,
+                  F.format_string("every filled value of %s is the same", F.col("column"))),
+        ))),
     )
-    parts = [empty, repeated, nulls, constant]
+    parts = [of_tables, of_columns]
     if key_issues is not None:
         parts.append(key_issues)
     return as_findings(union_all(parts), "PROFILING")

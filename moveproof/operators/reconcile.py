@@ -113,3 +113,14 @@ def reconciliation_summary(reconciled: DataFrame, issues: DataFrame, executed: b
     return sides.join(severities, "database", "left").fillna(0).withColumn(
         "reconciliation_status", F.lit("EXECUTED" if executed else rules.NOT_EXECUTED)
     )
+
+
+def presence(registered: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Registered tables against the target: PRESENT with their row count, or MISSING."""
+    have = inventory.select(F.lower("dataset").alias("folded"), "record_count")
+    found = registered.withColumn("folded", F.lower("table")).join(have, "folded", "left")
+    return found.select(
+        "table",
+        F.when(F.col("record_count").isNull(), "MISSING").otherwise("PRESENT").alias("status"),
+        F.coalesce("record_count", F.lit(0)).cast("long").alias("record_count"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moveproof.functions.names import NameCollision, column_target, suffixed
 from moveproof.functions.types import cast_to
 from moveproof.operators.profile import union_all
+from moveproof.operators.ranking import numbered
 from moveproof.session import literal_rows
 
 
@@ -115,6 +116,29 @@ def quarantine(df: DataFrame, types: dict[str, str], required: list[str] = ()) -
     return df.withColumn("error", F.when(text != "", text))
 
 
+def resolve_collisions(names: DataFrame, chunk_width: int = 10_000) -> DataFrame:
+    """Repeated targets (table, ordinal, target) numbered in arrival order: x, x_2, x_3.
+
+    Arrival positions are cut into ranges, so a target that most rows share is
+    numbered by many tasks. `is_taken` marks a numbered name that also occurs
+    as a target of its own, which the sequential rule for one table's column
+    list (`suffixed`) would move on.
+    """
+    chunked = names.withColumn("chunk", F.floor(F.col("ordinal") / chunk_width))
+    ranked = numbered(chunked, ["table", "target"], ["chunk"], ["ordinal"], "arrival")
+    final = ranked.drop("chunk").withColumn(
+        "final_name",
+        F.when(F.col("arrival") == 1, F.col("target"))
+        .otherwise(F.concat_ws("_", "target", F.col("arrival").cast("string"))),
+    )
+    natural = names.select("table", F.col("target").alias("final_name")).distinct().withColumn(
+        "natural", F.lit(True)
+    )
+    return final.join(natural, ["table", "final_name"], "left").withColumn(
+        "is_taken", (F.col("arrival") > 1) & F.col("natural").isNotNull()
+    ).drop("natural")
+
+
 def target_collisions(names: DataFrame) -> DataFrame:
     """Targets that several sources of one table map to: (table, target, sources)."""
     return (

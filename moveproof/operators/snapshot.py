@@ -90,7 +90,7 @@ def dataset_growth(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def growth_summary(growth: DataFrame, current: DataFrame) -> DataFrame:
+def growth_summary(growth: DataFrame) -> DataFrame:
     """Totals per database; a database without an earlier snapshot becomes a baseline."""
     known = growth.groupBy("database").agg(
         F.count_if(F.col("status") != "NEW_DATASET").alias("seen_before"),

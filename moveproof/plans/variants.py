@@ -69,9 +69,27 @@ SQL = {
     "run_events": "SELECT CAST(user_id % 20 AS BIGINT) AS run_id, event_type AS stage, ts, "
                   "event_id AS event_no, CASE WHEN event_type = 'error' AND user_id % 3 = 0 "
                   "THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM events",
+    # names as data: one "table" per brand, one column name per part
+    "names": "SELECT p_brand AS \"table\", p_partkey AS ordinal, CASE p_partkey % 6 "
+             "WHEN 0 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), 'ID') "
+             "WHEN 1 THEN concat(' ', p_name, '__', p_type) "
+             "WHEN 2 THEN concat(p_brand, '-', p_type, '.', p_name) "
+             "WHEN 3 THEN concat(lower(p_type), upper(substr(p_name, 1, 1)), substr(p_name, 2), "
+             "'HTTPKey') WHEN 4 THEN concat(p_type, '*', p_name, '@x') "
+             "ELSE CASE WHEN p_size % 2 = 0 THEN 'CustomerID' ELSE 'contactemail' END END AS name "
+             "FROM part",
+    # a type registry as data: one row per part
+    "type_registry": "SELECT p_brand AS \"table\", concat('c', CAST(p_partkey AS STRING)) "
+                     "AS \"column\", CASE p_partkey % 7 WHEN 0 THEN 'BIGINT' WHEN 1 THEN ' null ' "
+                     "WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'varchar ' WHEN 5 THEN 'JSONB' "
+                     "ELSE 'DATE' END AS selected_type, CASE p_size % 5 WHEN 0 THEN 'INTEGER' "
+                     "WHEN 1 THEN 'NUMERIC' WHEN 2 THEN 'TIMESTAMP' WHEN 3 THEN NULL "
+                     "ELSE 'TEXT' END AS detected_type FROM part",
     # column registries of one "table" per customer: the priorities and states of its orders
     "registry_prev": "SELECT concat('t', CAST(o_custkey AS STRING)) AS \"table\", "
-                     "min(o_orderkey) AS ordinal, upper(o_orderpriority) AS \"column\" FROM orders "
+                     "min(o_orderkey) AS ordinal, CASE WHEN o_custkey % 3 = 0 THEN "
+                     "upper(o_orderpriority) ELSE lower(o_orderpriority) END AS \"column\" "
+                     "FROM orders "
                      "WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00' "
                      "GROUP BY o_custkey, o_orderpriority",
     "registry_cur": "SELECT concat('t', CAST(o_custkey AS STRING)) AS \"table\", "
