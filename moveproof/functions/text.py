@@ -110,12 +110,17 @@ def multiset_hash(first: Column, second: Column, weight: Column | None = None) -
     return out
 
 
+def _two(col: Column) -> Column:
+    """Ties to even before printing two places, as fixed-point printing of exact ties does."""
+    return F.bround(col, 2)
+
+
 def show_number(col: Column) -> Column:
     return F.coalesce(F.format_number(col, 0), F.lit("-"))
 
 
 def show_percentage(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", col.cast("double")), F.lit("-"))
+    return F.coalesce(F.format_string("%.2f%%", _two(col.cast("double"))), F.lit("-"))
 
 
 def show_bytes(col: Column) -> Column:
@@ -124,19 +129,41 @@ def show_bytes(col: Column) -> Column:
     out = F.when(size.isNull(), "-")
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
         out = out.when(size < 1024.0 ** (power + 1),
-                       F.format_string(f"%.2f {unit}", size / 1024.0 ** power))
-    return out.otherwise(F.format_string("%.2f TB", size / 1024.0 ** 4))
+                       F.format_string(f"%.2f {unit}", _two(size / 1024.0 ** power)))
+    return out.otherwise(F.format_string("%.2f TB", _two(size / 1024.0 ** 4)))
 
 
 def show_duration(col: Column) -> Column:
     """'s seconds', 'm min s sec' or 'h hr m min s sec'."""
     total = col.cast("double")
-    seconds = total % 60
+    seconds = _two(total % 60)
     minutes = F.floor(total / 60)
     return (
         F.when(total.isNull(), "N/A")
-        .when(total < 60, F.format_string("%.2f seconds", total))
+        .when(total < 60, F.format_string("%.2f seconds", _two(total)))
         .when(minutes < 60, F.format_string("%d min %.2f sec", minutes, seconds))
         .otherwise(F.format_string("%d hr %d min %.2f sec", F.floor(minutes / 60),
                                    minutes % 60, seconds))
     )
+
+
+def iso_text(col: Column, dtype: T.DataType) -> Column:
+    """Date or timestamp as ISO 8601 text; microseconds only where there are any."""
+    if isinstance(dtype, T.DateType):
+        return F.date_format(col, "yyyy-MM-dd")
+    whole = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
+    fine = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(F.date_format(col, "SSSSSS") == "000000", whole).otherwise(fine)
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Dates and timestamps as ISO text, decimals as doubles; everything else as it is."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            c = iso_text(c, f.dataType)
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        out.append(c.alias(f.name))
+    return df.select(*out)

@@ -22,6 +22,10 @@ _COLUMNS = (
 )
 
 
+def issue_order(issue_type: str) -> int:
+    return _ISSUE_ORDER.index(issue_type)
+
+
 def priority_rank(priority: Column) -> Column:
     order = F.create_map(*[F.lit(x) for kv in rules.PRIORITY_ORDER.items() for x in kv])
     return F.coalesce(F.try_element_at(order, priority), F.lit(99))
@@ -33,18 +37,31 @@ def rule_table(spark: SparkSession, extended: bool = False) -> DataFrame:
         spark,
         "source string, issue_type string, prefix string, category string, title string, "
         "issue_order int",
-        [(*r, _ISSUE_ORDER.index(r[1])) for r in chosen],
+        [(*r, issue_order(r[1])) for r in chosen],
     )
 
 
+def _advised(findings: DataFrame, extended: bool) -> DataFrame:
+    return findings.join(
+        rule_table(findings.sparkSession, extended), ["source", "issue_type"]
+    ).fillna({"run_id": "", "dataset": "", "position": 0})
+
+
+def unordered(findings: DataFrame, assessed: DataFrame, extended: bool = False) -> DataFrame:
+    """All recommendations without ids and order, for counting."""
+    parts = [
+        _advised(findings, extended).withColumnRenamed("severity", "priority"),
+        strategic(assessed),
+    ]
+    return union_all([x.select("run_id", "database", "category", "priority") for x in parts])
+
+
 def from_findings(findings: DataFrame, extended: bool = False) -> DataFrame:
     """Recommendations for findings that have a rule, numbered per run, database and source.
 
     Numbers run over datasets by name, then by kind of issue and column position.
     """
-    advised = findings.join(
-        rule_table(findings.sparkSession, extended), ["source", "issue_type"]
-    ).fillna({"run_id": "", "dataset": "", "position": 0})
+    advised = _advised(findings, extended)
     ranked = numbered(
         advised, ["run_id", "database", "prefix"], ["dataset"],
         ["issue_order", "position", "column"], "n",

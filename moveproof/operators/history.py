@@ -18,7 +18,8 @@ def stage_durations(events: DataFrame) -> DataFrame:
 
 
 def _seconds(start: str, end: str):
-    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, 2)
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (start, end)]
+    return F.round((micros[1] - micros[0]) / 1e6, 2)
 
 
 def run_durations(events: DataFrame) -> DataFrame:
@@ -107,3 +108,17 @@ def expected_objects(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.count_if(lost & (F.col("origin") == "custom")).alias("missing_custom"),
         F.when(F.count_if(lost) == 0, "PASS").otherwise("FAIL").alias("status"),
     )
+
+
+def executive_summary(assessed: DataFrame, recommended: DataFrame) -> DataFrame:
+    """Headline measures per (run, database) from assessment rows and recommendation counts."""
+    issues = F.col("profiling_high") + F.col("profiling_medium") + F.col("profiling_low")
+    counts = ("total_recommendations", "critical_recommendations", "high_recommendations")
+    return assessed.join(recommended, ["run_id", "database"], "left").select(
+        "database", "assessment_status", "risk_level", "complexity_level", "readiness_score",
+        "readiness_level", F.col("total_datasets").alias("total_source_datasets"),
+        F.col("total_rows").alias("total_source_rows"),
+        issues.alias("total_data_quality_issues"), "reconciled_datasets",
+        "not_reconciled_datasets", "missing_target_datasets", "extra_target_datasets",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+    )

@@ -9,7 +9,7 @@ from moveproof.operators import keys as k
 from moveproof.operators import profile as p
 from moveproof.plans.registry import query
 from moveproof.plans.variants import variant, with_variants
-from moveproof.session import TABLES, literal_rows, tables
+from moveproof.session import TABLES, literal_rows, stored, tables
 
 # --- layouts of the profiled inputs, for the SQL side -------------------------
 LAYOUT = {
@@ -245,14 +245,15 @@ def semantics(spark):
     return literal_rows(spark, "dataset string, column string, semantic string", SEMANTICS)
 
 
-def profile_findings(spark, root):
+def profile_findings(spark, root, duplicates=None):
     """Findings of the damaged inputs, with key checks where a key is declared."""
     f = frames(spark, root, *ISSUE_DATASETS)
+    repeats = p.duplicate_rows(f) if duplicates is None else duplicates
     key_issues = k.check_primary_key(f["d_events"], "d_events", ["event_id"]).drop(
         "run_id", "source", "expected", "actual"
     )
     return p.profiling_issues(
-        p.profile_columns(f), p.duplicate_rows(f), semantics(spark), key_issues
+        p.profile_columns(f), repeats, semantics(spark), key_issues
     )
 
 
@@ -342,7 +343,8 @@ GROUP BY GROUPING SETS ((d.database, d.dataset), (d.database))
 @query("profile_rollup", ROLLUP)
 def profile_rollup(spark, root):
     f = frames(spark, root, *ISSUE_DATASETS)
-    columns, duplicates = p.profile_columns(f), p.duplicate_rows(f)
+    columns = stored(p.profile_columns(f), "columns")
+    duplicates = stored(p.duplicate_rows(f), "duplicates")
     issues = p.profiling_issues(columns, duplicates, semantics(spark))
     summary = p.quality_summary(columns, duplicates).join(
         duplicates.select("database", "dataset", "total_rows", "total_columns"),

@@ -12,7 +12,7 @@ from moveproof.operators.profile import union_all
 from moveproof.plans.profiling import ISSUES_CTES, LAYOUT, profile_findings
 from moveproof.plans.registry import query
 from moveproof.plans.variants import counts_sql, variant, with_variants
-from moveproof.session import TABLES, literal_rows, table, tables
+from moveproof.session import TABLES, stored, table, tables
 from moveproof.sources.catalog import column_inventory, document_width, table_inventory
 
 # --- inventories ----------------------------------------------------------------
@@ -165,7 +165,7 @@ JOIN (SELECT database, count(*) AS total_issues,
 
 @query("reconcile_summary", RECONCILE_CTES + SUMMARY_SQL)
 def reconcile_summary(spark, root):
-    sides = reconciled(spark, root)
+    sides = stored(reconciled(spark, root), "reconciled")
     return rec.reconciliation_summary(sides, rec.reconciliation_issues(sides))
 
 
@@ -241,12 +241,12 @@ FINDING_VIEW = ("database", "dataset", "column", "source", "issue_type", "severi
 FINDING_RELATIONS = (RELATIONS[1], RELATIONS[3])
 
 
-def findings(spark, root):
+def findings(spark, root, duplicates=None, sides=None):
     """Profile, key, reconciliation and orphan findings in one layout."""
     relations = [relation(spark, root, *r) for r in FINDING_RELATIONS]
     return union_all([
-        profile_findings(spark, root),
-        rec.reconciliation_issues(reconciled(spark, root)),
+        profile_findings(spark, root, duplicates),
+        rec.reconciliation_issues(reconciled(spark, root) if sides is None else sides),
         k.orphan_findings(k.fk_orphans(relations), relations),
     ])
 

@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ("profiling", "reconciling", "naming", "drifting")
+MODULES = ("profiling", "reconciling", "naming", "drifting", "loading", "running", "assessing")
