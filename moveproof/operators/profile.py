@@ -22,35 +22,43 @@ def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _slot(col: Column, dtype: T.DataType, utc: bool) -> tuple[Column, Column, Column]:
-    """The value in exactly one of three typed slots: whole number, real, text.
+def _slot(col: Column, dtype: T.DataType, utc: bool) -> tuple[str, Column]:
+    """The value as a whole number, a real or text, whichever holds it exactly.
 
     Numbers, dates and timestamps stay eight bytes wide instead of being
-    printed, and grouping on the real slot treats 0.0 and -0.0 as one value.
-    Zoneless timestamps are numbers only under UTC, where no two of them merge.
+    printed, and grouping reals treats 0.0 and -0.0 as one value. Zoneless
+    timestamps are numbers only under UTC, where no two of them merge.
     """
-    none = (F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string"))
-    if isinstance(dtype, _WHOLE) or isinstance(dtype, T.BooleanType):
-        return col.cast("long"), none[1], none[2]
+    if isinstance(dtype, (*_WHOLE, T.BooleanType)):
+        return "whole", col.cast("long")
     if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("long"), none[1], none[2]
+        return "whole", F.unix_date(col).cast("long")
     if isinstance(dtype, T.TimestampType) or (utc and isinstance(dtype, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")), none[1], none[2]
+        return "whole", F.unix_micros(col.cast("timestamp"))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return none[0], comparable(col, dtype).cast("double"), none[2]
-    return none[0], none[1], comparable(col, dtype).cast("string")
-
-
-def _cells(df: DataFrame, dataset: str) -> DataFrame:
-    """One row per cell: (dataset, ordinal, whole, real, text); missing = all slots null."""
-    structs = []
-    utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT")
-    for i, f in enumerate(df.schema.fields):
-        whole, real, text = _slot(F.col(f"`{f.name}`"), f.dataType, utc)
-        structs.append(F.struct(
-            F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text")
-        ))
-    return df.select(F.lit(dataset).alias("dataset"), F.inline(F.array(*structs)))
+        return "real", comparable(col, dtype).cast("double")
+    return "text", comparable(col, dtype).cast("string")
+
+
+def _cells(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """(dataset, ordinal, value) rows, one frame per kind of value; a missing value is null.
+
+    Each frame reads only its own columns, so the frames together read every
+    column once, and long texts do not share a hash table with numbers.
+    """
+    by_kind: dict[str, list[DataFrame]] = {"whole": [], "real": [], "text": []}
+    for name, df in frames.items():
+        utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT")
+        columns: dict[str, list[Column]] = {}
+        for i, f in enumerate(df.schema.fields):
+            kind, value = _slot(F.col(f"`{f.name}`"), f.dataType, utc)
+            columns.setdefault(kind, []).append(value.alias(str(i)))
+        for kind, values in columns.items():
+            wide = df.select(*values)
+            by_kind[kind].append(wide.unpivot(
+                [], [f"`{c}`" for c in wide.columns], "ordinal", "value"
+            ).withColumn("dataset", F.lit(name)))
+    return [union_all(parts) for parts in by_kind.values() if parts]
 
 
 def column_list(spark: SparkSession, frames: dict[str, DataFrame], database: str) -> DataFrame:
@@ -70,33 +78,29 @@ def profile_columns(
 ) -> DataFrame:
     """Row, null, non-null and distinct counts of every column of every table.
 
-    Exact form: one scan and one shuffle of distinct (column, value) pairs for
-    all tables together. Each task first folds repeated values to one row with
-    a count, so a value held by a third of the rows costs one row per task,
-    and nulls and totals fall out of the same counts.
+    Exact form: one shuffle of distinct (column, value) pairs per kind of
+    value, for all tables together. Each task first folds repeated values to
+    one row with a count, so a value held by a third of the rows costs one row
+    per task, and nulls and totals fall out of the same counts.
 
-    `exact=False` replaces the distinct count by a sketch computed in the scan.
+    `exact=False` takes sketches of all columns in one pass instead, and
+    shuffles one row per task.
     """
     spark = next(iter(frames.values())).sparkSession
-    cells = union_all(_cells(df, name) for name, df in frames.items())
-    missing = F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull()
     if exact:
-        values = cells.groupBy("dataset", "ordinal", "whole", "real", "text").agg(
-            F.count(F.lit(1)).alias("copies")
-        )
-        counts = values.groupBy("dataset", "ordinal").agg(
-            F.sum("copies").alias("total_rows"),
-            F.sum(F.when(missing, F.col("copies")).otherwise(0)).alias("null_count"),
-            F.count_if(~missing).alias("unique_value_count"),
+        counts = union_all(
+            cells.groupBy("dataset", "ordinal", "value").agg(F.count(F.lit(1)).alias("copies"))
+            .groupBy("dataset", "ordinal").agg(
+                F.sum("copies").alias("total_rows"),
+                F.sum(F.when(F.col("value").isNull(), F.col("copies")).otherwise(0))
+                .alias("null_count"),
+                F.count("value").alias("unique_value_count"),
+            )
+            for cells in _cells(frames)
         )
     else:
-        counts = cells.groupBy("dataset", "ordinal").agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(missing).alias("null_count"),
-            F.approx_count_distinct(
-                F.when(~missing, F.struct("whole", "real", "text"))
-            ).alias("unique_value_count"),
-        )
+        counts = union_all(_sketched(df, name) for name, df in frames.items())
+    counts = counts.withColumn("ordinal", F.col("ordinal").cast("int"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     full = column_list(spark, frames, database).join(counts, ["dataset", "ordinal"], "left").select(
         "database", "dataset", "column", "ordinal", "detected_type",
@@ -112,6 +116,23 @@ def profile_columns(
     )
 
 
+def _sketched(df: DataFrame, dataset: str) -> DataFrame:
+    values = [comparable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(v).alias(f"c{i}") for i, v in enumerate(values)],
+        *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)],
+    )
+    return row.select(F.lit(dataset).alias("dataset"), F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("ordinal"), F.col("n").alias("total_rows"),
+            (F.col("n") - F.col(f"c{i}")).alias("null_count"),
+            F.col(f"d{i}").alias("unique_value_count"),
+        )
+        for i in range(len(values))
+    ])))
+
+
 def _row_copies(df: DataFrame) -> DataFrame:
     """Distinct rows with their number of copies; grouping, unlike a window, folds hot rows early."""
     cols = [

@@ -122,6 +122,11 @@ def profile_columns_events_dirty(spark, root):
     return p.profile_columns(frames(spark, root, "d_events"))
 
 
+@query("profile_columns_approximate")
+def profile_columns_approximate(spark, root):
+    return p.profile_columns(frames(spark, root, "lineitem", "documents"), exact=False)
+
+
 @query("profile_columns_all", columns_sql(*TABLES))
 def profile_columns_all(spark, root):
     return p.profile_columns(tables(spark, root))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, root: str, names=TABLES) -> dict[str, DataFrame]:
-    return {name: table(spark, root, name) for name in names}
+    """Several tables; their schemas are read at the same time, as each is a small job."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(names, pool.map(lambda n: table(spark, root, n), names)))
 
 
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
