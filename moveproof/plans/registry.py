@@ -16,4 +16,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ("profiling", "reconciling", "naming", "drifting", "loading", "running", "assessing")
+MODULES = (
+    "profiling", "reconciling", "naming", "drifting", "loading", "running", "assessing", "streams",
+)

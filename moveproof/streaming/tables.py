@@ -71,34 +71,24 @@ def ingest_files(
 class ChangeTable:
     """A keyed table kept as change batches; reading folds them to the last row per key.
 
-    A batch writes only its own changes, deletions as tombstones. `compact`
-    writes the folded state as a new base, so reads stay short.
+    A batch writes only its own changes, deletions as tombstones. Batch -1 is
+    the base: empty for a new table, the folded state after `compact`.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
+        self.path, self.keys = path, keys
         self.fields = [f.name for f in schema.fields]
         self.schema = T.StructType(
             schema.fields + [T.StructField("is_deleted", T.BooleanType())]
         )
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         _write_batch(rows.select(*self.fields, "is_deleted"), self.path, batch_id)
 
-    def _batches(self, before: int | None) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return None
-        layout = T.StructType(self.schema.fields + [T.StructField("batch", T.LongType())])
-        rows = self.spark.read.schema(layout).parquet(self.path)
-        return rows if before is None else rows.filter(F.col("batch") < before)
-
-    def read(self, before: int | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """Current rows, or the state that batches below `before` left."""
-        rows = self._batches(before)
-        if rows is None:
-            return self.spark.createDataFrame([], self.schema).select(*self.fields)
+        rows = _earlier(spark, self.path, before, self.schema, keep_batch=True)
         rest = [c for c in [*self.fields, "is_deleted"] if c not in self.keys]
         last = F.max_by(F.struct(*rest), F.col("batch")).alias("last")
         folded = rows.groupBy(*self.keys).agg(last).filter(~F.col("last.is_deleted"))
@@ -106,10 +96,10 @@ class ChangeTable:
             *[F.col(c) if c in self.keys else F.col(f"last.{c}").alias(c) for c in self.fields]
         )
 
-    def compact(self, target: str) -> "ChangeTable":
-        """The folded state written as batch -1 of a fresh table."""
-        out = ChangeTable(self.spark, target, T.StructType(self.schema.fields[:-1]), self.keys)
-        out.write(self.read().withColumn("is_deleted", F.lit(False)), -1)
+    def compact(self, spark: SparkSession, target: str) -> "ChangeTable":
+        """The folded state as the base of a fresh table."""
+        out = ChangeTable(spark, target, T.StructType(self.schema.fields[:-1]), self.keys)
+        out.write(self.read(spark).withColumn("is_deleted", F.lit(False)), -1)
         return out
 
 
@@ -126,7 +116,7 @@ def apply_changes(
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         rows = batch.withColumn("is_deleted", flag).select(*table.fields, "is_deleted")
         touched = rows.select(*table.keys).distinct()
-        stored = table.read(before=batch_id).join(touched, table.keys, "left_semi")
+        stored = table.read(batch.sparkSession, batch_id).join(touched, table.keys, "left_semi")
         live = rows.filter(~F.col("is_deleted"))
         status = change_status(stored, live, table.keys)
         changed = status.filter(F.col("change_status") != "UNCHANGED").select(
@@ -164,15 +154,13 @@ def drift_batches(
     With `evolve` new keys join the registry and all rows pass; without it
     rows that carry unknown keys are quarantined and the registry stays.
     """
-    spark = stream.sparkSession
+    schema = "table string, column string"
+    seed = literal_rows(stream.sparkSession, schema, [(table, c) for c in registry])
+    seed.write.mode("ignore").parquet(f"{path}/columns/batch=-1")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        known = literal_rows(
-            spark, "table string, column string", [(table, c) for c in registry]
-        )
-        if evolve:
-            grown = _earlier(spark, f"{path}/columns", batch_id, known.schema)
-            known = known.unionByName(grown).distinct()
+        before = batch_id if evolve else 0
+        known = _earlier(batch.sparkSession, f"{path}/columns", before, seed.schema)
         keys = F.json_object_keys(F.col(document))
         seen = batch.select(F.explode(keys).alias("column")).distinct().select(
             F.lit(table).alias("table"), "column"
@@ -181,20 +169,22 @@ def drift_batches(
         _write_batch(seen, f"{path}/columns", batch_id)
         if evolve:
             _write_batch(batch, f"{path}/rows", batch_id)
-        else:
-            strange = F.size(F.array_except(keys, F.array(*[F.lit(c) for c in registry]))) > 0
-            _write_batch(batch.filter(~F.coalesce(strange, F.lit(False))), f"{path}/rows", batch_id)
-            _write_batch(batch.filter(strange), f"{path}/quarantine", batch_id)
+            return
+        unknown = F.size(F.array_except(keys, F.array(*[F.lit(c) for c in registry]))) > 0
+        strange = F.coalesce(unknown, F.lit(False))
+        _write_batch(batch.filter(~strange), f"{path}/rows", batch_id)
+        _write_batch(batch.filter(strange), f"{path}/quarantine", batch_id)
 
     run_available(stream, checkpoint, apply)
 
 
-def _earlier(spark: SparkSession, path: str, before: int, schema: T.StructType) -> DataFrame:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return spark.createDataFrame([], schema)
+def _earlier(
+    spark: SparkSession, path: str, before: int | None, schema: T.StructType,
+    keep_batch: bool = False,
+) -> DataFrame:
+    """Rows of the batches below `before`; only their folders are listed and read."""
     layout = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
-    return spark.read.schema(layout).parquet(path).filter(F.col("batch") < before).select(
-        *schema.names
-    )
+    rows = spark.read.schema(layout).parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    return rows if keep_batch else rows.select(*schema.names)
