@@ -66,12 +66,9 @@ def detect_types(df: DataFrame, dataset: str) -> DataFrame:
     column with no value at all is TEXT.
     """
     fields = df.columns
-    pairs = df.select(
-        F.inline(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), strip(F.col(f"`{c}`").cast("string")).alias("value"))
-            for i, c in enumerate(fields)
-        ]))
-    )
+    pairs = df.select(*[
+        strip(F.col(f"`{c}`").cast("string")).alias(str(i)) for i, c in enumerate(fields)
+    ]).unpivot([], [f"`{i}`" for i in range(len(fields))], "ordinal", "value")
     filled = F.when(F.col("value") != "", F.col("value"))
     flags = _shape_flags(F.col("value"))
     folded = pairs.groupBy("ordinal").agg(
@@ -85,10 +82,11 @@ def detect_types(df: DataFrame, dataset: str) -> DataFrame:
     for name in flags:
         detected = detected.when(F.col(name), name)
     names = F.array(*[F.lit(c) for c in fields])
+    ordinal = F.col("ordinal").cast("int")
     return folded.select(
         F.lit(dataset).alias("dataset"),
-        F.element_at(names, F.col("ordinal") + 1).alias("column"),
-        "ordinal",
+        F.element_at(names, ordinal + 1).alias("column"),
+        ordinal.alias("ordinal"),
         "filled_values",
         detected.otherwise("TEXT").alias("detected_type"),
     )

@@ -168,18 +168,15 @@ def keep_first(df: DataFrame, identity: list[str], order: list[str]) -> DataFram
     """First row of each identity by `order`, with the number of rows it stands for.
 
     A group minimum over a struct merges inside every task, so even a group
-    holding a third of the table never meets in one place.
+    holding a third of the table never meets in one place. Long texts are
+    grouped by digest and travel once, inside the kept row.
     """
-    rest = [c for c in df.columns if c not in identity and c not in order]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keys = [comparable(F.col(f"`{c}`"), types[c]).alias(f"_k{i}") for i, c in enumerate(identity)]
+    rest = [c for c in df.columns if c not in order]
     first = F.min(F.struct(*[F.col(f"`{c}`") for c in order + rest])).alias("first")
-    grouped = df.groupBy(*identity).agg(first, F.count(F.lit(1)).alias("copies"))
-    return grouped.select(
-        *[
-            F.col(f"`{c}`") if c in identity else F.col("first").getField(c).alias(c)
-            for c in df.columns
-        ],
-        "copies",
-    )
+    grouped = df.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("copies"))
+    return grouped.select(*[F.col("first").getField(c).alias(c) for c in df.columns], "copies")
 
 
 _FIXED_WIDTH = {

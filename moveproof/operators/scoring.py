@@ -211,6 +211,52 @@ def assess(fleet: DataFrame) -> DataFrame:
     )
 
 
+def complexity_factors(scored: DataFrame) -> DataFrame:
+    """One row per factor of the complexity score; gaps and growth only when they score."""
+    def factor(name, score, observed, when=None):
+        row = F.struct(
+            F.lit(name).alias("factor"), F.col(score).cast("int").alias("score"),
+            observed.cast("double").alias("observed_value"),
+        )
+        return row if when is None else F.when(when, row)
+
+    gaps = (
+        F.col("missing_target_datasets") + F.col("extra_target_datasets")
+        + F.col("not_reconciled_datasets")
+    )
+    parts = [
+        factor("DATA_VOLUME", "volume_score", F.col("total_rows")),
+        factor("DATASET_COUNT", "dataset_score", F.col("total_datasets")),
+        factor("SCHEMA_WIDTH", "width_score", F.col("total_columns")),
+        factor("RECONCILIATION_FINDINGS", "reconciliation_score", gaps,
+               F.col("reconciliation_score") > 0),
+        factor("DATABASE_GROWTH", "growth_score", F.col("overall_growth_rate_percent"),
+               F.col("growth_score") > 0),
+    ]
+    return scored.select(*KEYS, F.inline(F.array_compact(F.array(*parts))))
+
+
+# --- fixed values: penalty column -> factor name ---
+READINESS_FACTORS = {
+    "profiling_penalty": "DATA_QUALITY", "reconciliation_penalty": "RECONCILIATION",
+    "risk_penalty": "MIGRATION_RISK", "complexity_penalty": "MIGRATION_COMPLEXITY",
+    "retention_penalty": "RETENTION_REQUIREMENTS", "sla_penalty": "SLA_REQUIREMENTS",
+}
+
+
+def readiness_factors(scored: DataFrame) -> DataFrame:
+    """One row per penalty above zero; a reconciliation that did not run is listed with zero."""
+    parts = []
+    for column, name in READINESS_FACTORS.items():
+        listed = F.col(column) > 0
+        if name == "RECONCILIATION":
+            listed = listed | (F.col("reconciliation_status") == rules.NOT_EXECUTED)
+        parts.append(F.when(listed, F.struct(
+            F.lit(name).alias("factor"), F.col(column).cast("int").alias("penalty")
+        )))
+    return scored.select(*KEYS, F.inline(F.array_compact(F.array(*parts))))
+
+
 def requirement_findings(requirements: DataFrame) -> DataFrame:
     """Findings for requirement rows (database, four text fields) that break a rule."""
     def whole(name):

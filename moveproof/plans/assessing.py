@@ -151,6 +151,29 @@ def readiness_score(spark, root):
     return scoring.assess(fleet(spark, root)).select(*READINESS_COLUMNS)
 
 
+@query("complexity_factors", FLEET + """
+SELECT run_id, database, 'DATA_VOLUME' AS factor, volume_score AS score,
+       CAST(total_rows AS DOUBLE) AS observed_value FROM complexity
+UNION ALL SELECT run_id, database, 'DATASET_COUNT', dataset_score, total_datasets FROM complexity
+UNION ALL SELECT run_id, database, 'SCHEMA_WIDTH', width_score, total_columns FROM complexity
+UNION ALL SELECT run_id, database, 'RECONCILIATION_FINDINGS', reconciliation_score,
+  missing_target_datasets + extra_target_datasets + not_reconciled_datasets FROM complexity
+  WHERE reconciliation_score > 0
+UNION ALL SELECT run_id, database, 'DATABASE_GROWTH', growth_score, overall_growth_rate_percent
+  FROM complexity WHERE growth_score > 0""")
+def complexity_factors(spark, root):
+    return scoring.complexity_factors(scoring.complexity(fleet(spark, root)))
+
+
+@query("readiness_factors", FLEET + " " + " UNION ALL ".join(
+    f"SELECT run_id, database, '{name}' AS factor, {c} AS penalty FROM ready WHERE {c} > 0"
+    + (" OR reconciliation_status = 'NOT_EXECUTED_DATABASE_REQUIRED'"
+       if name == "RECONCILIATION" else "")
+    for c, name in scoring.READINESS_FACTORS.items()))
+def readiness_factors(spark, root):
+    return scoring.readiness_factors(scoring.assess(fleet(spark, root)))
+
+
 @query("assessment_status", FLEET + """
 SELECT database, risk_level, complexity_level, readiness_level, assessment_status FROM assessed""")
 def assessment_status(spark, root):

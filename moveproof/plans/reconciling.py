@@ -13,7 +13,9 @@ from moveproof.plans.profiling import ISSUES_CTES, LAYOUT, profile_findings
 from moveproof.plans.registry import query
 from moveproof.plans.variants import counts_sql, variant, with_variants
 from moveproof.session import TABLES, stored, table, tables
-from moveproof.sources.catalog import column_inventory, document_width, table_inventory
+from moveproof.sources.catalog import (
+    column_inventory, create_count_function, document_width, table_inventory,
+)
 
 # --- inventories ----------------------------------------------------------------
 WIDTH = {t: len(LAYOUT[t]) for t in TABLES}
@@ -169,6 +171,31 @@ def reconcile_summary(spark, root):
     return rec.reconciliation_summary(sides, rec.reconciliation_issues(sides))
 
 
+@query("reconcile_not_executed", f"""
+SELECT 'source' AS database, count(*) AS expected_datasets, CAST(0 AS BIGINT) AS target_datasets,
+  CAST(0 AS BIGINT) AS reconciled_datasets, CAST(0 AS BIGINT) AS not_reconciled_datasets,
+  CAST(0 AS BIGINT) AS missing_target_datasets, CAST(0 AS BIGINT) AS extra_target_datasets,
+  CAST(0 AS BIGINT) AS total_issues, CAST(0 AS BIGINT) AS high_severity_issues,
+  CAST(0 AS BIGINT) AS medium_severity_issues, CAST(0 AS BIGINT) AS low_severity_issues,
+  'NOT_EXECUTED_DATABASE_REQUIRED' AS reconciliation_status
+FROM ({" UNION ALL ".join(counts_sql(t, t, WIDTH[t]) for t in SOURCE)}) s""")
+def reconcile_not_executed(spark, root):
+    source = table_inventory({n: table(spark, root, n) for n in SOURCE})
+    sides = rec.reconcile(source, source.limit(0))
+    return rec.reconciliation_summary(sides, rec.reconciliation_issues(sides), executed=False)
+
+
+@query("count_functions", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS record_count FROM {t}"
+    for t in ("orders", "lineitem", "events")))
+def count_functions(spark, root):
+    names = {t: create_count_function(spark, t, table(spark, root, t))
+             for t in ("orders", "lineitem", "events")}
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{t}' AS `table`, {f}() AS record_count" for t, f in names.items()
+    ))
+
+
 # --- orphans ------------------------------------------------------------------------
 def relation(spark, root, child, child_key, parent, parent_key):
     return {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moveproof import rules
 from moveproof.operators.profile import union_all
+from moveproof.operators.shape import sample_view
 from moveproof.session import literal_rows
 
 
@@ -65,3 +66,26 @@ def document_width(docs: DataFrame, column: str, by: list[str]) -> DataFrame:
     )
     # folded to one row per (group, key) inside each task before the count
     return keys.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("field_count"))
+
+
+def create_count_function(spark: SparkSession, name: str, df: DataFrame) -> str:
+    """A session SQL function `fn_<name>_count()` that counts the table's rows."""
+    view, function = f"v_{name}_rows", f"fn_{name}_count"
+    df.createOrReplaceTempView(view)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {function}() RETURNS BIGINT "
+        f"RETURN (SELECT count(*) FROM {view})"
+    )
+    return function
+
+
+def create_sample_view(df: DataFrame, name: str, order: list[str]) -> str:
+    """The generated view `v_<name>`: all columns, first rows in key order."""
+    view = f"v_{name}"
+    sample_view(df, order).createOrReplaceTempView(view)
+    return view
+
+
+def tables_without(frames: dict[str, DataFrame], column: str) -> list[str]:
+    """Tables a column-based rule, such as stamping, has to skip."""
+    return sorted(n for n, df in frames.items() if column not in df.columns)

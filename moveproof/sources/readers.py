@@ -52,6 +52,8 @@ def read_csv(spark: SparkSession, path: str, inspect: bool = True) -> DataFrame:
         groups = {}
         for row in inspect_text_files(spark, path).collect():  # one row per file
             groups.setdefault(_csv_options(row), []).append(row["file"])
+        if len(groups) == 1:  # the usual case: list the folder once, not every file
+            groups = {next(iter(groups)): [path]}
     frames = []
     for (encoding, multi_line), files in sorted(groups.items()):
         raw = spark.read.csv(
@@ -106,6 +108,8 @@ def read_json(
             spark, row["file"]
         )
         (documents if whole else by_line).append(row["file"])
+    if not (by_line and documents):  # one layout throughout: list the folder once
+        by_line, documents = ([path] if group else [] for group in (by_line, documents))
     frames = []
     for files, multi_line in ((by_line, False), (documents, True)):
         if files:
