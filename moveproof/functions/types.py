@@ -39,23 +39,31 @@ def logical_type(dtype: T.DataType) -> str:
     return "TEXT"
 
 
-def _shape_flags(value: Column) -> dict[str, Column]:
-    """Which types one stripped value fits; dates are parsed only when they look like dates."""
-    date_like = value.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
-    stamp_like = value.rlike(
-        r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s+[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
-    )
+# one bit per shape of a value
+_INTEGER, _NUMERIC, _DATE, _TIMESTAMP, _OTHER = 1, 2, 4, 8, 16
+
+
+_NUMBER = r"-?[0-9]+(\.[0-9]+)?"
+_DAY = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+_CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+
+
+def _shape(value: Column) -> Column:
+    """The bit of the one shape a stripped value has.
+
+    One pattern admits all shapes; single characters then tell them apart, and
+    only values that look like dates are parsed.
+    """
     single_space = F.regexp_replace(value, r"\s+", " ")
-    return {
-        "INTEGER": value.rlike(r"^-?[0-9]+$"),
-        "NUMERIC": value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"),
-        "DATE": F.when(
-            date_like, F.try_to_timestamp(value, F.lit("yyyy-M-d")).isNotNull()
-        ).otherwise(False),
-        "TIMESTAMP": F.when(
-            stamp_like, F.try_to_timestamp(single_space, F.lit("yyyy-M-d H:m:s")).isNotNull()
-        ).otherwise(False),
-    }
+    valid_date = F.try_to_timestamp(value, F.lit("yyyy-M-d")).isNotNull()
+    valid_stamp = F.try_to_timestamp(single_space, F.lit("yyyy-M-d H:m:s")).isNotNull()
+    return (
+        F.when(~value.rlike(rf"^({_NUMBER}|{_DAY}(\s+{_CLOCK})?)$"), _OTHER)
+        .when(F.contains(value, F.lit(":")), F.when(valid_stamp, _TIMESTAMP).otherwise(_OTHER))
+        .when(F.instr(value, "-") > 1, F.when(valid_date, _DATE).otherwise(_OTHER))
+        .when(F.contains(value, F.lit(".")), _NUMERIC)
+        .otherwise(_INTEGER)
+    )
 
 
 def detect_types(df: DataFrame, dataset: str) -> DataFrame:
@@ -70,17 +78,17 @@ def detect_types(df: DataFrame, dataset: str) -> DataFrame:
         strip(F.col(f"`{c}`").cast("string")).alias(str(i)) for i, c in enumerate(fields)
     ]).unpivot([], [f"`{i}`" for i in range(len(fields))], "ordinal", "value")
     filled = F.when(F.col("value") != "", F.col("value"))
-    flags = _shape_flags(F.col("value"))
     folded = pairs.groupBy("ordinal").agg(
         F.count(filled).alias("filled_values"),
-        *[
-            F.bool_and(F.when(filled.isNotNull(), flag)).alias(name)
-            for name, flag in flags.items()
-        ],
+        F.coalesce(F.bit_or(F.when(filled.isNotNull(), _shape(F.col("value")))), F.lit(_OTHER))
+        .alias("shapes"),
+    )
+    shapes = F.col("shapes")
+    detected = (
+        F.when(shapes == _INTEGER, "INTEGER")
+        .when(shapes.isin(_NUMERIC, _INTEGER | _NUMERIC), "NUMERIC")
+        .when(shapes == _DATE, "DATE").when(shapes == _TIMESTAMP, "TIMESTAMP").otherwise("TEXT")
     )
-    detected = F.when(F.col("filled_values") == 0, "TEXT")
-    for name in flags:
-        detected = detected.when(F.col(name), name)
     names = F.array(*[F.lit(c) for c in fields])
     ordinal = F.col("ordinal").cast("int")
     return folded.select(
@@ -88,7 +96,7 @@ def detect_types(df: DataFrame, dataset: str) -> DataFrame:
         F.element_at(names, ordinal + 1).alias("column"),
         ordinal.alias("ordinal"),
         "filled_values",
-        detected.otherwise("TEXT").alias("detected_type"),
+        detected.alias("detected_type"),
     )
 
 

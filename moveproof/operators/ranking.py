@@ -43,34 +43,30 @@ def change_numbered(
     first state, last state and number of changes are compared.
     """
     piece = Window.partitionBy(group, chunk).orderBy(*order)
-    earlier = F.lag(state).over(piece)
-    marked = df.withColumn(
-        "_changed", F.when(F.row_number().over(piece) == 1, 0)
-        .when(F.col(state).eqNullSafe(earlier), 0).otherwise(1)
-    ).withColumn("_inside", F.sum("_changed").over(piece.rowsBetween(Window.unboundedPreceding, 0)))
-    position = F.struct(*order)
-    pieces = df.groupBy(group, chunk).agg(
-        F.min_by(state, position).alias("_first"), F.max_by(state, position).alias("_last")
+    marked = df.withColumn("_row", F.row_number().over(piece)).withColumn(
+        "_changed",
+        F.when(F.col("_row") == 1, 0)
+        .when(F.col(state).eqNullSafe(F.lag(state).over(piece)), 0).otherwise(1),
+    ).withColumn("_inside", F.sum("_changed").over(
+        piece.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = marked.groupBy(group, chunk).agg(
+        F.min_by(state, "_row").alias("_first"), F.max_by(state, "_row").alias("_last"),
+        F.sum("_changed").alias("_n"),
     )
-    changes = marked.groupBy(group, chunk).agg(F.sum("_changed").alias("_n"))
     along = Window.partitionBy(group).orderBy(chunk)
-    last_before = F.lag("_last").over(along)
     opened = F.when(F.row_number().over(along) == 1, 1).when(
-        F.col("_first").eqNullSafe(last_before), 0
+        F.col("_first").eqNullSafe(F.lag("_last").over(along)), 0
     ).otherwise(1)
-    bases = (
-        pieces.join(changes, [group, chunk])
-        .withColumn("_open", opened)
-        .withColumn("_base", F.sum(F.col("_open") + F.col("_n")).over(
-            along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .select(group, chunk, "_base", "_open")
+    running = F.sum(F.col("_open") + F.col("_n")).over(
+        along.rowsBetween(Window.unboundedPreceding, 0)
+    )
+    bases = pieces.withColumn("_open", opened).select(
+        group, chunk, "_open", (running - F.col("_n")).alias("_base")
     )
-    first_row = F.row_number().over(piece) == 1
     return (
-        marked.withColumn("_is_first", first_row)
-        .join(bases, [group, chunk])
+        marked.join(bases, [group, chunk])
         .withColumn(into, (F.col("_base") + F.col("_inside")).cast("long"))
-        .withColumn("is_new_version", F.when(F.col("_is_first"), F.col("_open") == 1)
+        .withColumn("is_new_version", F.when(F.col("_row") == 1, F.col("_open") == 1)
                     .otherwise(F.col("_changed") == 1))
-        .drop("_changed", "_inside", "_base", "_open", "_is_first")
+        .drop("_row", "_changed", "_inside", "_base", "_open")
     )
