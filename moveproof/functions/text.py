@@ -111,8 +111,8 @@ def multiset_hash(first: Column, second: Column, weight: Column | None = None) -
 
 
 def _two(col: Column) -> Column:
-    """Ties to even before printing two places, as fixed-point printing of exact ties does."""
-    return F.bround(col, 2)
+    """Exact ties (odd eighths) to even before two places are printed, as C-style printing does."""
+    return F.when(col * 8 == F.floor(col * 8), F.bround(col, 2)).otherwise(col)
 
 
 def show_number(col: Column) -> Column:
@@ -120,7 +120,9 @@ def show_number(col: Column) -> Column:
 
 
 def show_percentage(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", _two(col.cast("double"))), F.lit("-"))
+    return F.when(col.isNull(), "-").otherwise(
+        F.format_string("%.2f%%", _two(col.cast("double")))
+    )
 
 
 def show_bytes(col: Column) -> Column:

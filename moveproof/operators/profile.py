@@ -145,19 +145,15 @@ def _row_copies(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(frames: dict[str, DataFrame], database: str = "source") -> DataFrame:
     """Rows beyond the first of each identical row, per table."""
-    spark = next(iter(frames.values())).sparkSession
     parts = union_all(
         _row_copies(df).agg(
-            F.lit(name).alias("dataset"),
+            F.lit(name).alias("dataset"), F.lit(len(df.columns)).alias("total_columns"),
             F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
         )
         for name, df in frames.items()
     )
-    widths = literal_rows(
-        spark, "dataset string, total_columns int", [(n, len(d.columns)) for n, d in frames.items()]
-    )
-    return parts.join(widths, "dataset").select(
+    return parts.select(
         F.lit(database).alias("database"), "dataset", "total_rows", "total_columns",
         "duplicate_rows",
         share(F.col("duplicate_rows"), F.col("total_rows")).alias("duplicate_percentage"),

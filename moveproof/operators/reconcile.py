@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moveproof import rules
 from moveproof.functions.rates import grade, match_share
 from moveproof.operators.findings import as_findings
+from moveproof.operators.profile import union_all
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, database: str = "source") -> DataFrame:
@@ -97,20 +98,25 @@ def reconciliation_summary(reconciled: DataFrame, issues: DataFrame, executed: b
     def count(cond):
         return F.when(run, F.count_if(cond)).otherwise(0).cast("long")
 
-    sides = reconciled.groupBy("database").agg(
-        F.count_if(~extra).alias("expected_datasets"),
-        count(~missing).alias("target_datasets"),
-        count(status == "RECONCILED").alias("reconciled_datasets"),
-        count(missing | (status == "NOT_RECONCILED")).alias("not_reconciled_datasets"),
-        count(missing).alias("missing_target_datasets"),
-        count(extra).alias("extra_target_datasets"),
-    )
-    severities = issues.groupBy("database").agg(
-        count(F.lit(True)).alias("total_issues"),
-        *[count(F.col("severity") == s).alias(f"{s.lower()}_severity_issues")
-          for s in (rules.HIGH, rules.MEDIUM, rules.LOW)],
-    )
-    return sides.join(severities, "database", "left").fillna(0).withColumn(
+    sides = {
+        "expected_datasets": F.count_if(~extra),
+        "target_datasets": count(~missing),
+        "reconciled_datasets": count(status == "RECONCILED"),
+        "not_reconciled_datasets": count(missing | (status == "NOT_RECONCILED")),
+        "missing_target_datasets": count(missing),
+        "extra_target_datasets": count(extra),
+    }
+    severities = {"total_issues": count(F.lit(True))} | {
+        f"{s.lower()}_severity_issues": count(F.col("severity") == s)
+        for s in (rules.HIGH, rules.MEDIUM, rules.LOW)
+    }
+    measured = union_all([
+        reconciled.groupBy("database").agg(*[c.alias(n) for n, c in sides.items()]),
+        issues.groupBy("database").agg(*[c.alias(n) for n, c in severities.items()]),
+    ])
+    return measured.groupBy("database").agg(*[
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in [*sides, *severities]
+    ]).withColumn(
         "reconciliation_status", F.lit("EXECUTED" if executed else rules.NOT_EXECUTED)
     )
 

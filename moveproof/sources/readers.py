@@ -12,8 +12,12 @@ from moveproof.operators.profile import union_all
 
 SUPPORTED = (".csv", ".json")
 
-# --- fixed values: bytes that windows-1252 leaves undefined ---
-UNDEFINED_CP1252 = r"[\x81\x8d\x8f\x90\x9d]"
+# --- fixed values: bytes that windows-1252 leaves undefined; the others from 80 to 9f are text ---
+UNDEFINED_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+_WINDOWS_BYTES = [b for b in range(0x80, 0xA0) if b not in UNDEFINED_CP1252]
+_UNDEFINED_PATTERN = "[" + "".join(rf"\x{b:02x}" for b in UNDEFINED_CP1252) + "]"
+_AS_LATIN = "".join(map(chr, _WINDOWS_BYTES))
+_AS_WINDOWS = bytes(_WINDOWS_BYTES).decode("cp1252")
 
 
 def inspect_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +33,7 @@ def inspect_text_files(spark: SparkSession, path: str) -> DataFrame:
     quotes = F.length(F.regexp_replace("value", '[^"]', ""))
     return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
-        F.bool_and(~single_bytes.rlike(UNDEFINED_CP1252)).alias("is_cp1252"),
+        F.bool_and(~single_bytes.rlike(_UNDEFINED_PATTERN)).alias("is_cp1252"),
         F.bool_or(quotes % 2 == 1).alias("spans_lines"),
         F.count(F.lit(1)).alias("lines"),
     )
@@ -41,6 +45,24 @@ def _csv_options(row) -> tuple[str, bool]:
     return ("windows-1252" if row["is_cp1252"] else "ISO-8859-1"), row["spans_lines"]
 
 
+def _read_group(spark: SparkSession, files: list[str], encoding: str, multi_line: bool):
+    """One encoding; windows-1252 is read byte for byte and its extra characters are mapped."""
+    windows = encoding == "windows-1252"
+    raw = spark.read.csv(
+        files, header=True, inferSchema=False, encoding="ISO-8859-1" if windows else encoding,
+        multiLine=multi_line, escape='"', nullValue="", emptyValue="",
+    )
+    names = [c.translate(str.maketrans(_AS_LATIN, _AS_WINDOWS)) if windows else c
+             for c in raw.columns]
+    values = [F.col(f"`{c}`") for c in raw.columns]
+    if windows:
+        values = [F.translate(v, _AS_LATIN, _AS_WINDOWS) for v in values]
+    # a quoted empty field arrives as an empty string and is a null as well
+    return raw.select(*[
+        F.when(v != "", v).alias(clean_header(n)) for v, n in zip(values, names)
+    ])
+
+
 def read_csv(spark: SparkSession, path: str, inspect: bool = True) -> DataFrame:
     """A CSV table as text columns: cleaned headers, empty string as null, nothing else changed.
 
@@ -54,17 +76,10 @@ def read_csv(spark: SparkSession, path: str, inspect: bool = True) -> DataFrame:
             groups.setdefault(_csv_options(row), []).append(row["file"])
         if len(groups) == 1:  # the usual case: list the folder once, not every file
             groups = {next(iter(groups)): [path]}
-    frames = []
-    for (encoding, multi_line), files in sorted(groups.items()):
-        raw = spark.read.csv(
-            files, header=True, inferSchema=False, encoding=encoding, multiLine=multi_line,
-            escape='"', nullValue="", emptyValue="",
-        )
-        frames.append(raw.toDF(*[clean_header(c) for c in raw.columns]))
-    # a quoted empty field arrives as an empty string and is a null as well
-    out = union_all(frames)
-    return out.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c)
-                        for c in out.columns])
+    return union_all(
+        _read_group(spark, files, encoding, multi_line)
+        for (encoding, multi_line), files in sorted(groups.items())
+    )
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
