@@ -94,12 +94,22 @@ def na_to_null(df: DataFrame) -> DataFrame:
 
 
 def json_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: does every filled line hold JSON of its own, or is the file one document."""
+    """Per file: is it one document spread over lines, or JSON line by line.
+
+    In a document some lines open brackets that later lines close, and all
+    brackets balance over the file. Lines that are broken on their own leave
+    either no open line or no balance. Counted per line, so a file of any size
+    is checked by many tasks.
+    """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")
     ).filter(F.col("line") != "")
-    return lines.groupBy("file").agg(
-        F.bool_and(F.try_parse_json("line").isNotNull()).alias("line_wise"),
+    # possessive, so that long strings are matched without recursion
+    bare = F.regexp_replace("line", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    opened = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
+    closed = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+    return lines.select("file", "line", (opened - closed).alias("balance")).groupBy("file").agg(
+        (F.bool_or(F.col("balance") != 0) & (F.sum("balance") == 0)).alias("is_document"),
         F.count(F.lit(1)).alias("lines"),
     )
 
@@ -118,11 +128,7 @@ def read_json(
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}[bad_lines]
     documents, by_line = [], []
     for row in json_layout(spark, path).collect():  # one row per file
-        lines_broken = not row["line_wise"]
-        whole = lines_broken and bad_lines == "fail" or lines_broken and _is_document(
-            spark, row["file"]
-        )
-        (documents if whole else by_line).append(row["file"])
+        (documents if row["is_document"] else by_line).append(row["file"])
     if not (by_line and documents):  # one layout throughout: list the folder once
         by_line, documents = ([path] if group else [] for group in (by_line, documents))
     frames = []
@@ -134,12 +140,6 @@ def read_json(
     return union_all(frames)
 
 
-def _is_document(spark: SparkSession, file: str) -> bool:
-    """A pretty-printed file opens with a bare bracket; NDJSON with one bad line does not."""
-    first = spark.read.text(file).filter(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0]["value"].strip() in ("[", "{")
-
-
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Reader by suffix."""
     if path.lower().endswith(".csv"):

@@ -50,6 +50,8 @@ def test_json_forms(spark, tmp_path):
         path = put(tmp_path / name, "a.json", text)
         got = sorted((r["a"], r["b"]) for r in readers.read_json(spark, path).collect())
         assert got == [(1, None), (2, "x")], name
+    tricky = put(tmp_path / "tricky", "a.json", '[\n{"a": 1, "b": "}]\\""},\n{"a": 2}\n]')
+    assert readers.read_json(spark, tricky).count() == 2
     one = put(tmp_path / "one", "a.json", json.dumps({"a": 1, "n": {"c": [1]}}, indent=1))
     assert readers.read_json(spark, one).first()["n"]["c"] == [1]
     both = tmp_path / "both"
@@ -58,6 +60,14 @@ def test_json_forms(spark, tmp_path):
     assert readers.read_json(spark, str(both)).count() == 4
 
 
+def test_long_strings(spark, tmp_path):
+    text = 'say "x" {[ ' * 60000
+    path = put(tmp_path / "long", "a.json", "\n".join(json.dumps({"t": text}) for _ in range(3)))
+    assert [len(r["t"]) for r in readers.read_json(spark, path).collect()] == [len(text)] * 3
+    row = put(tmp_path / "longcsv", "a.csv", "t\n" + "word " * 100000 + "\n")
+    assert len(readers.read_csv(spark, row).first()["t"]) == 500000
+
+
 def test_bad_lines(spark, tmp_path):
     path = put(tmp_path / "bad", "a.json", '{"a": 1}\n{"a": oops\n{"a": 3}\n')
     assert sorted(r["a"] for r in readers.read_json(spark, path, "a int", "skip").collect()) == [1, 3]
@@ -65,6 +75,9 @@ def test_bad_lines(spark, tmp_path):
     assert sorted(r["_corrupt_record"] is None for r in kept.collect()) == [False, True, True]
     with pytest.raises(Exception):
         readers.read_json(spark, path, "a int", "fail").collect()
+    first = put(tmp_path / "first", "a.json", '{"a": [1,\n{"a": 2}\n{"a": 3}\n')
+    with pytest.raises(Exception):
+        readers.read_json(spark, first, "a int", "fail").collect()
     with pytest.raises(ValueError):
         readers.read_json(spark, path, bad_lines="other")
 
