@@ -10,9 +10,9 @@ from moveproof.operators import profile as p
 from moveproof.operators import reconcile as rec
 from moveproof.operators.history import executive_summary as summary_row
 from moveproof.plans import reconciling as r
-from moveproof.plans.profiling import ISSUE_DATASETS, frames, profile_findings
+from moveproof.plans.profiling import ISSUE_DATASETS
 from moveproof.plans.registry import query
-from moveproof.plans.variants import variant, with_variants
+from moveproof.plans.variants import Inputs, variant, with_variants
 from moveproof.session import stored
 
 # --- the scores as SQL over a table named fleet ------------------------------------------
@@ -237,10 +237,10 @@ def measured(spark, root):
     Every measurement is stored when it is taken, so the tables are scanned
     once however many scores and lists are drawn from it.
     """
-    f = frames(spark, root, *ISSUE_DATASETS)
-    duplicates = stored(p.duplicate_rows(f), "duplicates")
-    sides = stored(r.reconciled(spark, root), "reconciled")
-    found = stored(r.findings(spark, root, duplicates, sides), "findings")
+    inputs = Inputs(spark, root, *r.FINDING_INPUTS)
+    duplicates = stored(p.duplicate_rows(inputs.only(*ISSUE_DATASETS)), "duplicates")
+    sides = stored(r.reconciled(inputs), "reconciled")
+    found = stored(r.findings(inputs, duplicates, sides), "findings")
     totals = duplicates.groupBy("database").agg(
         F.sum("total_rows").alias("total_rows"), F.count(F.lit(1)).alias("total_datasets"),
         F.sum("total_columns").cast("long").alias("total_columns"),

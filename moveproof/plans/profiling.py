@@ -8,7 +8,7 @@ from moveproof.operators import findings as fnd
 from moveproof.operators import keys as k
 from moveproof.operators import profile as p
 from moveproof.plans.registry import query
-from moveproof.plans.variants import variant, with_variants
+from moveproof.plans.variants import Inputs, variant, with_variants
 from moveproof.session import TABLES, literal_rows, stored, tables
 
 # --- layouts of the profiled inputs, for the SQL side -------------------------
@@ -99,7 +99,7 @@ def duplicates_sql(*datasets: str) -> str:
 
 
 def frames(spark, root, *names):
-    return {n: variant(spark, root, n) for n in names}
+    return Inputs(spark, root, *names).only(*names)
 
 
 @query("profile_basic_customer", duplicates_sql("customer"))
@@ -250,9 +250,9 @@ def semantics(spark):
     return literal_rows(spark, "dataset string, column string, semantic string", SEMANTICS)
 
 
-def profile_findings(spark, root, duplicates=None):
+def profile_findings(inputs, duplicates=None):
     """Findings of the damaged inputs, with key checks where a key is declared."""
-    f = frames(spark, root, *ISSUE_DATASETS)
+    spark, f = inputs.spark, inputs.only(*ISSUE_DATASETS)
     repeats = p.duplicate_rows(f) if duplicates is None else duplicates
     key_issues = k.check_primary_key(f["d_events"], "d_events", ["event_id"]).drop(
         "run_id", "source", "expected", "actual"
@@ -300,7 +300,7 @@ FROM cols WHERE non_null_count > 0 AND unique_value_count = 1
 SELECT database, dataset, "column", 'PROFILING' AS source, issue_type, severity, affected_records,
        affected_percentage, message, position FROM profile_issues""")
 def profile_issues(spark, root):
-    return profile_findings(spark, root).select(*ISSUE_COLUMNS)
+    return profile_findings(Inputs(spark, root, *ISSUE_DATASETS)).select(*ISSUE_COLUMNS)
 
 
 @query("issue_summary", ISSUES_CTES + """
@@ -310,7 +310,7 @@ SELECT database, dataset, count(*) AS total_issues,
        count(*) FILTER (WHERE severity = 'LOW') AS low_severity_issues
 FROM profile_issues GROUP BY database, dataset""")
 def issue_summary(spark, root):
-    return fnd.issue_counts(profile_findings(spark, root), ["database", "dataset"])
+    return fnd.issue_counts(profile_findings(Inputs(spark, root, *ISSUE_DATASETS)), ["database", "dataset"])
 
 
 ROLLUP = ISSUES_CTES + f""",

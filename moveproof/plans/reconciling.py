@@ -9,9 +9,9 @@ from moveproof.operators import keys as k
 from moveproof.operators import reconcile as rec
 from moveproof.operators import snapshot as snap
 from moveproof.operators.profile import union_all
-from moveproof.plans.profiling import ISSUES_CTES, LAYOUT, profile_findings
+from moveproof.plans.profiling import ISSUE_DATASETS, ISSUES_CTES, LAYOUT, profile_findings
 from moveproof.plans.registry import query
-from moveproof.plans.variants import counts_sql, variant, with_variants
+from moveproof.plans.variants import Inputs, counts_sql, variant, with_variants
 from moveproof.session import TABLES, stored, table, tables
 from moveproof.sources.catalog import (
     column_inventory, create_count_function, document_width, table_inventory,
@@ -73,13 +73,14 @@ def doc_field_count(spark, root):
 
 # --- reconcile --------------------------------------------------------------------
 SOURCE = ("orders", "lineitem", "customer", "supplier", "part", "nation")
+RECONCILED = (*SOURCE, "t_orders", "t_lineitem", "t_customer", "region")
 TARGET = {"orders": "t_orders", "lineitem": "t_lineitem", "customer": "t_customer",
           "PART": "part", "nation": "nation", "legacy_region": "region"}
 
 
-def reconciled(spark, root):
-    source = table_inventory({n: table(spark, root, n) for n in SOURCE})
-    target = table_inventory({n: variant(spark, root, v) for n, v in TARGET.items()})
+def reconciled(inputs):
+    source = table_inventory(inputs.only(*SOURCE))
+    target = table_inventory({n: inputs[v] for n, v in TARGET.items()})
     return rec.reconcile(source, target)
 
 
@@ -132,14 +133,14 @@ FROM reconciled WHERE status = 'NOT_RECONCILED' AND column_difference <> 0)
 
 @query("reconcile_datasets", RECONCILE_CTES + "SELECT * FROM reconciled")
 def reconcile_datasets(spark, root):
-    return reconciled(spark, root)
+    return reconciled(Inputs(spark, root, *RECONCILED))
 
 
 @query("reconcile_issues", RECONCILE_CTES + """
 SELECT database, dataset, issue_type, severity, expected, actual, message, position
 FROM recon_issues""")
 def reconcile_issues(spark, root):
-    return rec.reconciliation_issues(reconciled(spark, root)).select(
+    return rec.reconciliation_issues(reconciled(Inputs(spark, root, *RECONCILED))).select(
         "database", "dataset", "issue_type", "severity", "expected", "actual", "message", "position"
     )
 
@@ -167,7 +168,7 @@ JOIN (SELECT database, count(*) AS total_issues,
 
 @query("reconcile_summary", RECONCILE_CTES + SUMMARY_SQL)
 def reconcile_summary(spark, root):
-    sides = stored(reconciled(spark, root), "reconciled")
+    sides = stored(reconciled(Inputs(spark, root, *RECONCILED)), "reconciled")
     return rec.reconciliation_summary(sides, rec.reconciliation_issues(sides))
 
 
@@ -180,7 +181,7 @@ SELECT 'source' AS database, count(*) AS expected_datasets, CAST(0 AS BIGINT) AS
   'NOT_EXECUTED_DATABASE_REQUIRED' AS reconciliation_status
 FROM ({" UNION ALL ".join(counts_sql(t, t, WIDTH[t]) for t in SOURCE)}) s""")
 def reconcile_not_executed(spark, root):
-    source = table_inventory({n: table(spark, root, n) for n in SOURCE})
+    source = table_inventory(tables(spark, root, SOURCE))
     sides = rec.reconcile(source, source.limit(0))
     return rec.reconciliation_summary(sides, rec.reconciliation_issues(sides), executed=False)
 
@@ -197,11 +198,11 @@ def count_functions(spark, root):
 
 
 # --- orphans ------------------------------------------------------------------------
-def relation(spark, root, child, child_key, parent, parent_key):
+def relation(inputs, child, child_key, parent, parent_key):
     return {
         "name": f"{child}.{child_key} -> {parent}.{parent_key}", "child_name": child,
-        "child": variant(spark, root, child), "child_key": child_key,
-        "parent": variant(spark, root, parent), "parent_key": parent_key,
+        "child": inputs[child], "child_key": child_key,
+        "parent": inputs[parent], "parent_key": parent_key,
     }
 
 
@@ -236,12 +237,15 @@ ORPHANS_ALL = (
 
 @query("fk_orphans_orders", with_variants("d_orders_fk") + " " + orphan_sql(*RELATIONS[1]))
 def fk_orphans_orders(spark, root):
-    return k.fk_orphans([relation(spark, root, *RELATIONS[1])])
+    inputs = Inputs(spark, root, "d_orders_fk", "customer")
+    return k.fk_orphans([relation(inputs, *RELATIONS[1])])
 
 
 @query("fk_orphans_all", ORPHANS_ALL)
 def fk_orphans_all(spark, root):
-    return k.fk_orphans([relation(spark, root, *r) for r in RELATIONS])
+    names = {n for child, _, parent, _ in RELATIONS for n in (child, parent)}
+    inputs = Inputs(spark, root, *sorted(names))
+    return k.fk_orphans([relation(inputs, *r) for r in RELATIONS])
 
 
 NULLKEY = ("d_orders_fk", "o_custkey", "d_customer_nullkey", "c_custkey")
@@ -256,8 +260,9 @@ SELECT 'd_orders_fk.o_custkey -> customer.c_custkey', count(*), count(DISTINCT o
 FROM d_orders_fk
 WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
 def fk_orphans_not_in(spark, root):
+    inputs = Inputs(spark, root, "d_orders_fk", "d_customer_nullkey")
     return k.fk_orphans(
-        [relation(spark, root, *NULLKEY), relation(spark, root, *RELATIONS[1])], null_aware=True
+        [relation(inputs, *NULLKEY), relation(inputs, *RELATIONS[1])], null_aware=True
     )
 
 
@@ -268,12 +273,15 @@ FINDING_VIEW = ("database", "dataset", "column", "source", "issue_type", "severi
 FINDING_RELATIONS = (RELATIONS[1], RELATIONS[3])
 
 
-def findings(spark, root, duplicates=None, sides=None):
+FINDING_INPUTS = (*ISSUE_DATASETS, *RECONCILED, "d_orders_fk", "t_orders")
+
+
+def findings(inputs, duplicates=None, sides=None):
     """Profile, key, reconciliation and orphan findings in one layout."""
-    relations = [relation(spark, root, *r) for r in FINDING_RELATIONS]
+    relations = [relation(inputs, *r) for r in FINDING_RELATIONS]
     return union_all([
-        profile_findings(spark, root, duplicates),
-        rec.reconciliation_issues(reconciled(spark, root) if sides is None else sides),
+        profile_findings(inputs, duplicates),
+        rec.reconciliation_issues(reconciled(inputs) if sides is None else sides),
         k.orphan_findings(k.fk_orphans(relations), relations),
     ])
 
@@ -299,7 +307,7 @@ FROM orphans WHERE orphan_rows > 0)
 @query("all_findings", FINDINGS_CTES + f"""
 SELECT {", ".join('"column"' if c == "column" else c for c in FINDING_VIEW)} FROM all_findings""")
 def all_findings(spark, root):
-    return findings(spark, root).select(*FINDING_VIEW)
+    return findings(Inputs(spark, root, *FINDING_INPUTS)).select(*FINDING_VIEW)
 
 
 # --- changed keys -------------------------------------------------------------------------

@@ -6,9 +6,11 @@ dropped columns, nulls, repeats, orphans, earlier states, text forms.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from moveproof.session import TABLES, table
+from moveproof.session import TABLES, table, tables
 
 SQL = {
     "t_orders": "SELECT * FROM orders WHERE o_orderkey % 50 <> 0",
@@ -123,17 +125,45 @@ def with_variants(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({duck(SQL[n])})" for n in ordered)
 
 
+def _sources(name: str) -> list[str]:
+    return [s for s in [*TABLES, *SQL] if s != name and re.search(rf"FROM {s}\b", SQL[name])]
+
+
+def _base_tables(name: str) -> set[str]:
+    return {name} if name in TABLES else set().union(*map(_base_tables, _sources(name)))
+
+
+class Inputs(dict):
+    """Given tables and variants by name, each read once per query.
+
+    Base tables are bound to the variant's SQL as frames, not as catalog views.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, *names: str):
+        super().__init__()
+        self.spark, self.root = spark, root
+        self.update(tables(spark, root, sorted(set().union(*map(_base_tables, names)))))
+        for name in names:
+            self[name]
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            self[name] = table(self.spark, self.root, name)
+            return self[name]
+        text = SQL[name].replace('"', "`")
+        bound = {}
+        for source in _sources(name):
+            text = re.sub(rf"FROM {source}\b", f"FROM {{{source}}}", text)
+            bound[source] = self[source]
+        self[name] = self.spark.sql(text, **bound)
+        return self[name]
+
+    def only(self, *names: str) -> dict[str, DataFrame]:
+        return {n: self[n] for n in names}
+
+
 def variant(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A derived input as a frame; base tables are bound as frames, not as catalog views."""
-    if name in TABLES:
-        return table(spark, root, name)
-    text = SQL[name].replace('"', "`")
-    bound = {}
-    for source in [*TABLES, *SQL]:
-        if source != name and f"FROM {source}" in text:
-            text = text.replace(f"FROM {source}", f"FROM {{{source}}}")
-            bound[source] = variant(spark, root, source)
-    return spark.sql(text, **bound)
+    return Inputs(spark, root, name)[name]
 
 
 def counts_sql(source: str, name: str, columns: int) -> str:

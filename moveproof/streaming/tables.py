@@ -57,13 +57,14 @@ def ingest_files(
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        checked = quarantine(batch, types, list(required))
+        checked = quarantine(batch, types, list(required)).persist()  # read by three writes
         good = checked.filter(F.col("error").isNull()).drop("error")
         _write_batch(typed(good, types), f"{path}/data", batch_id)
         _write_batch(checked.filter(F.col("error").isNotNull()), f"{path}/quarantine", batch_id)
         _write_batch(
             load_history(checked, "source_file", "data", run_ts), f"{path}/history", batch_id
         )
+        checked.unpersist()
 
     run_available(tagged, checkpoint, apply)
 
