@@ -64,7 +64,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     its own; on a cluster the setting is required, since executors cannot see
     a driver's temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

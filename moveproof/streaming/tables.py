@@ -69,15 +69,24 @@ def ingest_files(
     run_available(tagged, checkpoint, apply)
 
 
+# a batch's keys are broadcast up to this many (checked by a count), and joined beyond it
+BROADCAST_KEYS = 200_000
+
+
 class ChangeTable:
     """A keyed table kept as change batches; reading folds them to the last row per key.
 
     A batch writes only its own changes, deletions as tombstones. Batch -1 is
-    the base: empty for a new table, the folded state after `compact`.
+    the base: empty for a new table, the folded state after `compact`. `order`
+    names columns that say which row of a key is later; without them the later
+    batch wins.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.path, self.keys = path, keys
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str],
+        order: list[str] = (),
+    ):
+        self.path, self.keys, self.order = path, keys, list(order)
         self.fields = [f.name for f in schema.fields]
         self.schema = T.StructType(
             schema.fields + [T.StructField("is_deleted", T.BooleanType())]
@@ -87,19 +96,31 @@ class ChangeTable:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         _write_batch(rows.select(*self.fields, "is_deleted"), self.path, batch_id)
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """Current rows, or the state that batches below `before` left."""
-        rows = _earlier(spark, self.path, before, self.schema, keep_batch=True)
+    def last_rows(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """One row per key, tombstones included; equal positions are settled by the values."""
         rest = [c for c in [*self.fields, "is_deleted"] if c not in self.keys]
-        last = F.max_by(F.struct(*rest), F.col("batch")).alias("last")
-        folded = rows.groupBy(*self.keys).agg(last).filter(~F.col("last.is_deleted"))
-        return folded.select(
-            *[F.col(c) if c in self.keys else F.col(f"last.{c}").alias(c) for c in self.fields]
+        last = F.max(F.struct(*[F.col(c) for c in order], *[
+            F.col(c) for c in rest if c not in order])).alias("last")
+        return rows.groupBy(*self.keys).agg(last).select(
+            *[F.col(c) if c in self.keys else F.col(f"last.{c}").alias(c) for c in self.fields],
+            F.col("last.is_deleted").alias("is_deleted"),
         )
 
+    def read(
+        self, spark: SparkSession, before: int | None = None, only: DataFrame | None = None
+    ) -> DataFrame:
+        """Current rows, or the state that batches below `before` left, of some keys only."""
+        rows = _earlier(spark, self.path, before, self.schema, keep_batch=True)
+        if only is not None:  # before folding, so other keys are never shuffled
+            rows = rows.join(only, self.keys, "left_semi")
+        folded = self.last_rows(rows, [*self.order, "batch"])
+        return folded.filter(~F.col("is_deleted")).select(*self.fields)
+
     def compact(self, spark: SparkSession, target: str) -> "ChangeTable":
         """The folded state as the base of a fresh table."""
-        out = ChangeTable(spark, target, T.StructType(self.schema.fields[:-1]), self.keys)
+        out = ChangeTable(
+            spark, target, T.StructType(self.schema.fields[:-1]), self.keys, self.order
+        )
         out.write(self.read(spark).withColumn("is_deleted", F.lit(False)), -1)
         return out
 
@@ -109,23 +130,28 @@ def apply_changes(
 ) -> None:
     """Insert new keys, replace changed ones, mark deleted ones; unchanged rows write nothing.
 
-    A batch row with `deleted` true is a tombstone. Within a batch a key occurs
-    once; the batch is compared with the state of all earlier batches, also on replay.
+    A batch row with `deleted` true is a tombstone. Several rows of one key in
+    a batch count as the last of them. The batch is compared with the state of
+    all earlier batches, also on replay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-        rows = batch.withColumn("is_deleted", flag).select(*table.fields, "is_deleted")
-        touched = rows.select(*table.keys).distinct()
-        stored = table.read(batch.sparkSession, batch_id).join(touched, table.keys, "left_semi")
+        tagged = batch.withColumn("is_deleted", flag).select(*table.fields, "is_deleted")
+        rows = table.last_rows(tagged, table.order).persist()
+        touched = rows.select(*table.keys)
+        if touched.count() <= BROADCAST_KEYS:
+            touched = F.broadcast(touched)
+        stored = table.read(batch.sparkSession, batch_id, touched).persist()
         live = rows.filter(~F.col("is_deleted"))
-        status = change_status(stored, live, table.keys)
-        changed = status.filter(F.col("change_status") != "UNCHANGED").select(
-            *table.keys, "change_status"
-        )
+        changed = change_status(stored, live, table.keys).filter(
+            F.col("change_status").isin("NEW", "CHANGED")
+        ).select(*table.keys)
         upserts = live.join(changed, table.keys, "left_semi")
         tombstones = rows.filter("is_deleted").join(stored, table.keys, "left_semi")
         table.write(upserts.unionByName(tombstones), batch_id)
+        stored.unpersist()
+        rows.unpersist()
 
     run_available(stream, checkpoint, apply)
 

@@ -51,6 +51,22 @@ def test_tombstones(spark, tmp_path):
     assert state(spark, table) == {1: "again", 2: "b"}
 
 
+def test_last_row_of_a_key_wins(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    schema = T.StructType([*KV.fields, T.StructField("at", T.LongType())])
+    table = st.ChangeTable(spark, f"{base}/t", schema, ["k"], order=["at"])
+    run = lambda: st.apply_changes(
+        st.file_stream(spark, f"{base}/in", schema), table, f"{base}/c")
+    feed(spark, f"{base}/in", [(1, "late", 9), (1, "early", 2), (2, "x", 1)],
+         "k long, v string, at long")
+    run()
+    assert state(spark, table) == {1: "late", 2: "x"}
+    monkeypatch.setattr(st, "BROADCAST_KEYS", 0)  # the shuffled join gives the same
+    feed(spark, f"{base}/in", [(1, "out of order", 5), (2, "y", 3)], "k long, v string, at long")
+    run()
+    assert state(spark, table) == {1: "late", 2: "y"}
+
+
 def test_ingest_in_steps_equals_one_batch(spark, tmp_path):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("n", "d")])
     rows = [(str(i) if i % 10 else "bad", "2024-01-0" + str(1 + i % 9)) for i in range(60)]
