@@ -18,8 +18,11 @@ def stage_durations(events: DataFrame) -> DataFrame:
 
 
 def _seconds(start: str, end: str):
-    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (start, end)]
-    return F.round((micros[1] - micros[0]) / 1e6, 2)
+    """Elapsed seconds to two places; from the interval, so zoneless times ignore clock changes."""
+    gap = F.col(end) - F.col(start)
+    units = (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))
+    total = sum((F.extract(F.lit(u), gap).cast("double") * n for u, n in units), F.lit(0.0))
+    return F.round(total, 2)
 
 
 def run_durations(events: DataFrame) -> DataFrame:

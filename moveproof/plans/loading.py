@@ -228,6 +228,23 @@ def mv_refresh_orders(spark, root):
     return view.read()
 
 
+@query("mv_refresh_nation", """
+SELECT n_nationkey, n_name, n_regionkey, coalesce(c.n, 0) AS customers
+FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) c
+ON c.c_nationkey = n_nationkey""")
+def mv_refresh_nation(spark, root):
+    held = table(spark, root, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    source = table(spark, root, "nation").join(held, "n_nationkey", "left").select(
+        "n_nationkey", "n_name", "n_regionkey",
+        F.coalesce("n", F.lit(0)).cast("long").alias("customers"),
+    )
+    view = writers.MaterializedView(source, scratch_dir(spark, "mv-nation"))
+    view.refresh()
+    return view.read()
+
+
 @query("stamp_created_at", """
 SELECT event_id, user_id, TIMESTAMP '2026-01-01 00:00:00' AS created_at, 'always' AS policy
 FROM events
