@@ -46,7 +46,7 @@ def styled(col: Column, style: str) -> Column:
         return F.upper(col)
     words = F.regexp_replace(col, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
     words = F.regexp_replace(words, r"([a-z0-9])([A-Z])", "$1_$2")
-    words = F.regexp_replace(words, r"[-\s.]+", "_")
+    words = F.regexp_replace(words, f"[-.{WHITE_SPACE}]+", "_")
     if style == "snake_case":
         return F.lower(words)
     if style == "kebab-case":

@@ -44,7 +44,7 @@ _INTEGER, _NUMERIC, _DATE, _TIMESTAMP, _OTHER = 1, 2, 4, 8, 16
 
 
 _NUMBER = r"-?[0-9]+(\.[0-9]+)?"
-_DAY = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+_DAY = r"(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 _CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
 
 
@@ -156,7 +156,17 @@ def hinted_key(name: Column) -> Column:
 
 
 def cast_to(col: Column, logical: str) -> Column:
-    """Value as the logical type's Spark type, null where it does not fit."""
+    """Value as the logical type's Spark type, null where it does not fit.
+
+    A date or time must be written in full; a plain cast would take '2024' for
+    the first of January.
+    """
+    if logical in ("TEXT", "VARCHAR"):
+        return col
+    value = strip(col.cast("string"))
+    fitted = value.try_cast(SPARK_TYPES[logical])
+    if logical == "DATE":
+        return F.when(value.rlike(rf"^{_DAY}$"), fitted)
     if logical == "TIMESTAMP":
-        return F.try_to_timestamp(strip(col))
-    return strip(col).try_cast(SPARK_TYPES[logical]) if logical not in ("TEXT", "VARCHAR") else col
+        return F.when(value.rlike(rf"^{_DAY}([ T]+{_CLOCK}(\.[0-9]+)?)?$"), fitted)
+    return fitted

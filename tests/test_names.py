@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from moveproof import rules
@@ -108,3 +110,29 @@ def test_table_mapping(rows):
 
 def test_clean_header():
     assert nm.clean_header("﻿ id ") == "id"
+
+
+def words_by_hand(name):
+    """Word borders read off character by character, for random names."""
+    out = []
+    for i, ch in enumerate(name):
+        if ch in "-." or ch.isspace():
+            if not (i and (name[i - 1] in "-." or name[i - 1].isspace())):
+                out.append("_")
+            continue
+        before, after = name[i - 1] if i else "", name[i + 1] if i + 1 < len(name) else ""
+        upper, lower = "A" <= ch <= "Z", "a" <= after <= "z"
+        if upper and ("a" <= before <= "z" or "0" <= before <= "9"
+                      or ("A" <= before <= "Z" and lower)):
+            out.append("_")
+        out.append(ch)
+    return "".join(out).lower()
+
+
+def test_words_against_brute_force(rows):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("aBc9XyZ_-. \u00a0") for _ in range(rng.randint(0, 9)))
+             for _ in range(1500)]
+    got = rows(names, lambda c: nm.styled(c, "snake_case"))
+    wrong = [(n, g, words_by_hand(n)) for n, g in zip(names, got) if g != words_by_hand(n)]
+    assert not wrong

@@ -1,3 +1,7 @@
+import random
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,3 +71,54 @@ def test_hints(rows):
 def test_casts_never_fail(rows):
     assert rows(["5", "x", " 6 ", None], lambda c: ty.cast_to(c, "INTEGER")) == [5, None, 6, None]
     assert rows(["true", "maybe"], lambda c: ty.cast_to(c, "BOOLEAN")) == [True, None]
+    assert rows(["2024", "2024-1-5", "2024-02-30", "2024-01-05 10:00:00"],
+                lambda c: ty.cast_to(c, "DATE").cast("string")) == [None, "2024-01-05", None, None]
+    assert rows(["2024", "2024-01-05", "2024-01-05 1:02:03", "2024-01-05T10:00:00.5"],
+                lambda c: ty.cast_to(c, "TIMESTAMP").cast("string")) == [
+        None, "2024-01-05 00:00:00", "2024-01-05 01:02:03", "2024-01-05 10:00:00.5"]
+
+
+def fits(value, pattern):
+    try:
+        datetime.strptime(value, pattern)
+        return True
+    except ValueError:
+        return False
+
+
+def brute_force(values):
+    """The detection rules in plain Python, for random columns."""
+    held = [v.strip() for v in values if v.strip()]
+    if not held:
+        return "TEXT"
+    if all(re.fullmatch(r"-?[0-9]+", v) for v in held):
+        return "INTEGER"
+    if all(re.fullmatch(r"-?[0-9]+([.][0-9]+)?", v) for v in held):
+        return "NUMERIC"
+    for name, pattern in (("DATE", "%Y-%m-%d"), ("TIMESTAMP", "%Y-%m-%d %H:%M:%S")):
+        if all(fits(v, pattern) for v in held):
+            return name
+    return "TEXT"
+
+
+def test_detection_against_brute_force(spark):
+    rng = random.Random(7)
+    pools = [
+        ["1", "-5", "007", " 12 ", ""], ["1.5", "2", "-0.25", "\u00a03"],
+        ["2024-01-05", "2024-1-5", "1999-12-31", " "],
+        ["2024-01-05 10:00:00", "2024-1-5 1:2:3", "2024-01-05\t10:00:00"],
+        ["2024-02-29", "2023-02-29", "0000-01-01", "2024-13-01", "2024-00-10", "99-01-01"],
+        ["2024-01-05 23:59:60", "2024-01-05 10:60:00", "2024-01-05 10:00"],
+        ["-", ".", "-.5", "5.", "1e5", "abc", "--1", "1-2", "1:2", "\x1c4"], ["", "  ", "\u2003"],
+    ]
+    columns = []
+    for _ in range(120):
+        pool = rng.choice(pools) + (rng.choice(pools) if rng.random() < 0.3 else [])
+        columns.append([rng.choice(pool) for _ in range(rng.randint(1, 6))])
+    height = max(map(len, columns))
+    data = [tuple(c[i] if i < len(c) else "" for c in columns) for i in range(height)]
+    df = spark.createDataFrame(data, ", ".join(f"c{i} string" for i in range(len(columns))))
+    got = {r["column"]: r["detected_type"] for r in ty.detect_types(df, "t").collect()}
+    wrong = {f"c{i}": (c, got[f"c{i}"], brute_force(c)) for i, c in enumerate(columns)
+             if got[f"c{i}"] != brute_force(c)}
+    assert not wrong
