@@ -83,6 +83,22 @@ def is_missing(col: Column, dtype: T.DataType) -> Column:
     return col.isNull()
 
 
+def hashable(col: Column, dtype: T.DataType) -> Column:
+    """Input for a hash or sketch: plain values as they are, NaN as null, nesting as canonical JSON.
+
+    Unlike `comparable` this leaves long text alone, since only its hash is
+    kept. Nested values are printed, because a hash of the value itself skips
+    nulls inside it and would give [1, null] and [null, 1] one result.
+    """
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col)
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return canonical_json(col, dtype)
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(col)
+    return col
+
+
 def row_hashes(df: DataFrame, columns: list[str] | None = None) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes of a row.
 
@@ -93,7 +109,7 @@ def row_hashes(df: DataFrame, columns: list[str] | None = None) -> tuple[Column,
     for f in df.schema.fields:
         if columns is None or f.name in columns:
             c = F.col(f"`{f.name}`")
-            args += [comparable(c, f.dataType), c.isNull()]
+            args += [hashable(c, f.dataType), c.isNull()]
     return F.xxhash64(F.lit(1), *args), F.xxhash64(F.lit(2), *args)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from moveproof import rules
 from moveproof.functions.rates import grade, share
-from moveproof.functions.text import comparable, is_missing
+from moveproof.functions.text import comparable, hashable
 from moveproof.functions.types import logical_type
 from moveproof.operators.findings import as_findings
 from moveproof.session import literal_rows
@@ -117,7 +117,7 @@ def profile_columns(
 
 
 def _sketched(df: DataFrame, dataset: str) -> DataFrame:
-    values = [comparable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    values = [hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(v).alias(f"c{i}") for i, v in enumerate(values)],

@@ -50,7 +50,7 @@ def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFra
     Its size is known to the optimizer, so joins against it broadcast by the
     session's size threshold instead of by hint.
     """
-    struct = T._parse_datatype_string(schema)
+    struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
     columns = list(zip(*rows)) if rows else [()] * len(struct.fields)
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]

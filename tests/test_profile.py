@@ -38,6 +38,8 @@ def test_all_types_are_profiled(spark):
     got = by_column(p.profile_columns({"t": df}))
     assert len(got) == 10 and got["i"]["null_count"] == 1
     assert all(r["unique_value_count"] == 1 for c, r in got.items() if c != "i")
+    near = by_column(p.profile_columns({"t": df}, exact=False))
+    assert all(near[c]["unique_value_count"] == r["unique_value_count"] for c, r in got.items())
 
 
 def test_empty_table(spark):

@@ -63,6 +63,18 @@ def test_moved_null_and_repeats_are_changes(spark):
     assert got == {1: "CHANGED", 2: "CHANGED", 3: "UNCHANGED", None: "UNCHANGED"}
 
 
+def test_nulls_moved_inside_nested_values_are_changes(spark):
+    schema = "k int, a array<int>, s struct<x: string, y: string>, m map<string,int>"
+    before = spark.createDataFrame(
+        [(1, [1, None], None, None), (2, [], ("p", None), {"a": 1, "b": 2}),
+         (3, None, None, {"a": None})], schema)
+    now = spark.createDataFrame(
+        [(1, [None, 1], None, None), (2, [], ("p", None), {"b": 2, "a": 1}),
+         (3, None, None, {})], schema)
+    got = {r["k"]: r["change_status"] for r in snap.change_status(before, now, ["k"]).collect()}
+    assert got == {1: "CHANGED", 2: "UNCHANGED", 3: "CHANGED"}
+
+
 def test_fingerprint_ignores_order_only(spark, root):
     df = spark.read.parquet(f"{root}/orders.parquet")
     of = lambda d: snap.table_fingerprint(d, "t").first()["fingerprint"]
