@@ -12,9 +12,13 @@ from moveproof.session import stored as stored  # noqa: F401
 LAST_ID = (1 << 63) - 1
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **others: str
+) -> DataFrame:
     """id, key, text: what operators need of documents, under names of their own.
 
+    `others` names further columns to carry, as new name = column.
+
     `id` is the document's id, a null id counting as the largest. `key` tells
     rows of equal id but unequal text apart; repeated rows share both and get
     the same result.
@@ -22,7 +26,8 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64(text).alias("key"), text.alias("text"))
+        F.xxhash64(text).alias("key"), text.alias("text"),
+        *[F.col(f"`{column}`").alias(name) for name, column in others.items()])
 
 
 def public_id(name: str = "id") -> Column:

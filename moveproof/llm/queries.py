@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moveproof.llm import substring
-from moveproof.session import table
+from moveproof.llm import line_rules, substring, url_rules
+from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,80 @@ def query(name: str, sql: str | None = None):
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, root, "documents"))
+
+
+# --- fixed values: the rules that the url query is asked with ---
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+judged AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN judged USING (host, path)"""
+
+
+@query("op2_url_filters", URL_SQL)
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    rules = literal_rows(spark, "host string, path string, verdict string", URL_RULES)
+    return url_rules.filter_urls(table(spark, root, "pages"), rules)
+
+
+QUALITY_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, p, array_to_string(list_slice(w, p, p + 4), ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM docs WHERE len(w) >= 5)),
+twice AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+repeated AS (
+  SELECT r, sum(least(5, coalesce(n - p, 5))) AS n_repeat_words
+  FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS n FROM twice) GROUP BY r),
+raw_lines AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+full_lines AS (
+  SELECT r, doc_id, source, text, line, regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY r),
+lines AS (SELECT r, doc_id, source, text, array_to_string(w, ' ') AS line, len(w) AS n FROM full_lines),
+hosts AS (SELECT source, count(DISTINCT text) AS texts FROM docs GROUP BY source),
+limits AS (
+  SELECT l.source, l.line, arg_min(l.text, l.doc_id) AS first
+  FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line
+  HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) > 0.01 * any_value(texts)),
+removed AS (
+  SELECT r, sum(n) AS n_common_words FROM lines l JOIN limits m
+    ON l.source IS NOT DISTINCT FROM m.source AND l.line = m.line
+  WHERE l.text <> m.first GROUP BY r),
+base AS (
+  SELECT doc_id, len(w) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_common_words, 0)::BIGINT AS n_common_words
+  FROM docs LEFT JOIN dups USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+  AND n_words - n_common_words >= 10 AND n_words - n_common_words >= 0.3 * n_words AS kept
+FROM base"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, root, "documents")).drop("key")
