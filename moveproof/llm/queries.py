@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moveproof.llm import line_rules, substring, url_rules
+from moveproof.llm import jaccard, line_rules, substring, url_rules
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ FROM base"""
 @query("op8_quality_rules", QUALITY_SQL)
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, root, "documents")).drop("key")
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, root, "documents")).drop("key", "is_first")

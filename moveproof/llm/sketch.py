@@ -111,3 +111,77 @@ def repeats(
         twice[row][at:at + step] = np.frombuffer(found["twice"], np.uint8)[:step]
         often[row][at:at + step] = np.frombuffer(found["often"], np.uint8)[:step]
     return Repeats(bits, twice, often)
+
+
+def frequencies(
+    df: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int
+) -> np.ndarray:
+    """Counts per cell of a one-row sketch of `cells` cells; a task sends each cell once."""
+    bits = cells.bit_length() - 1
+    block = min(1 << BLOCK_BITS, cells)
+
+    def count(batches):
+        total = np.zeros(cells, np.int64)
+        for hashes in hashes_of(batches):
+            total += np.bincount(cells_of(hashes, 0, bits).astype(np.int64), minlength=cells)
+        if total.any():
+            small = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(-1, block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(small)), pa.int64()), pa.array([r.tobytes() for r in small])],
+                ["block", "counts"])
+
+    def merge(table):
+        total = np.zeros(block, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), "<u4")
+        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()])})
+
+    merged = df.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(
+        merge, "block long, counts binary")
+    out = np.zeros((cells // block, block), np.uint32)
+    for found in merged.collect():
+        out[found["block"]] = np.frombuffer(found["counts"], "<u4")
+    return out.reshape(-1)
+
+
+class Members:
+    """A Bloom filter with one hash over `cells` bits; it may say yes for a stranger, never no for a member."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray):
+        self.bits, self.bitmap = bits, bitmap
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        cell = cells_of(hashes, 0, self.bits)
+        return (self.bitmap[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def members(df: DataFrame, column: str, cells: int) -> Members:
+    """A filter for the values of a long column, built per block of cells and of fixed size."""
+    bits = cells.bit_length() - 1
+    block_bits = min(BLOCK_BITS, bits)
+    size = max(1, (1 << block_bits) // 8)
+
+    def mark(batches):
+        held = [b.column(0).to_numpy().view(np.uint64) for b in batches]
+        cell = np.unique(cells_of(np.concatenate(held), 0, bits)) if held else np.zeros(0, np.uint64)
+        of = (cell >> np.uint64(block_bits)).astype(np.int64)
+        edge = np.flatnonzero(np.diff(of, prepend=-1))
+        inside = (cell & np.uint64((1 << block_bits) - 1)).astype("<u4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of[edge]), pa.array([inside[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)])],
+                                          pa.binary())], ["block", "cells"])
+
+    def merge(table):
+        seen = np.zeros(1 << block_bits, bool)
+        for cell in table.column("cells"):
+            seen[np.frombuffer(cell.as_buffer(), "<u4")] = True
+        packed = np.packbits(seen, bitorder="little").tobytes()
+        return pa.table({"block": table.column("block")[:1], "bitmap": pa.array([packed])})
+
+    merged = df.select(column).mapInArrow(mark, "block long, cells binary").groupBy("block").applyInArrow(
+        merge, "block long, bitmap binary")
+    bitmap = np.zeros(max(1, cells // 8), np.uint8)
+    for found in merged.collect():
+        bitmap[found["block"] * size:(found["block"] + 1) * size] = np.frombuffer(found["bitmap"], np.uint8)
+    return Members(bits, bitmap)

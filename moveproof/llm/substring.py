@@ -34,6 +34,7 @@ WINDOW = 50
 GRAM = 18
 #: Occurrences of an anchor from which its windows are grouped one by one.
 HOT = 4096
+SALTS = 16
 #: Bound of the sketch: four bitmaps of this many bits are broadcast.
 MOST_CELLS = 1 << 28
 
@@ -179,7 +180,10 @@ def marked_windows(
     firsts = stored(
         single.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("_last"))
         .filter("first < _last").drop("_last"), "first-windows")
-    later = single.join(firsts, ["anchor", "window"]).filter("id > first")
+    # a window that a third of all documents share would be one join key: cut it into SALTS
+    salted = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    single = single.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
+    later = single.join(salted, ["anchor", "window", "salt"]).filter("id > first")
     return marks.unionByName(later.select("id", "key", "start", F.lit(b"\x01").alias("flags")))
 
 
