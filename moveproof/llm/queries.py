@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moveproof.llm import jaccard, line_rules, substring, url_rules
+from moveproof.llm import jaccard, line_rules, substring, suffixes, url_rules
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -106,3 +106,8 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, root, "documents")).drop("key", "is_first")
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, root, "documents"))

@@ -110,16 +110,6 @@ def _later(batches):
                 + [W.binary(picked, length[keep])], ["id", "key", "start", "flags"])
 
 
-def removed_words(marks: list[dict], n_words: int, window: int) -> np.ndarray:
-    """Which words are covered by the marked windows."""
-    edges = np.zeros(n_words + 1, np.int32)
-    for mark in marks:
-        at = mark["start"] + np.flatnonzero(np.frombuffer(mark["flags"], np.uint8))
-        np.add.at(edges, at, 1)
-        np.add.at(edges, np.minimum(at + window, n_words), -1)
-    return np.cumsum(edges[:-1]) > 0
-
-
 def _cut(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     """The text without each run of removed words and the white space after it."""
     edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
@@ -139,7 +129,7 @@ def _assemble(window, with_text):
                 raw = texts.data[texts.bounds[i]:texts.bounds[i + 1]].tobytes()
                 kept = words = raw.split()
                 if marks[i].is_valid:
-                    gone = removed_words(marks[i].as_py(), len(words), window)
+                    gone = W.covered(marks[i].as_py(), len(words), window)
                     kept = list(compress(words, ~gone))
                     if with_text:
                         starts = found.starts[found.bounds[i]:found.bounds[i + 1]]

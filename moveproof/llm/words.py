@@ -257,3 +257,12 @@ def column_of(table: pa.Table, name: str) -> pa.Array:
     """A column of a table in one piece."""
     found = table.column(name).combine_chunks()
     return found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+
+
+def covered(marks: list[dict], n: int, window: int) -> np.ndarray:
+    """Which of n places are covered by marked windows; a mark has a start and flags from there."""
+    starts = np.zeros(n + window, np.int32)
+    for mark in marks:
+        starts[mark["start"] + np.flatnonzero(np.frombuffer(mark["flags"], np.uint8)) + window] = 1
+    total = np.cumsum(starts)
+    return total[window:] > total[:n]
