@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moveproof.llm import jaccard, line_rules, substring, suffixes, url_rules
+from moveproof.llm import jaccard, line_rules, packing, substring, suffixes, url_rules
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -111,3 +111,15 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, root: str) -> DataFrame:
     return suffixes.dedup_bytes(table(spark, root, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file; the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"), tokenizer_path())
