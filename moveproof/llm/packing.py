@@ -28,6 +28,7 @@ import os
 import zlib
 from bisect import bisect_left
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +76,17 @@ def units_of(texts: W.Texts) -> W.Words:
     # U+00D7 and U+00F7 are no letters, U+0130 is lower-cased to a letter and a mark
     odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
     odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
-    total = np.concatenate([[0], np.cumsum(odd)])
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(odd, out=total[1:])
     whole = total[found.ends] > total[found.starts]
+    depth = np.zeros(len(data) + 1, np.int8)
+    depth[found.starts[whole]] += 1
+    depth[found.ends[whole]] -= 1
     begin = np.zeros(len(data) + 1, bool)
     begin[found.starts] = True
-    if len(data) > 1:
-        change = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[found.starts[~whole]] += 1
-        np.add.at(inside, found.ends[~whole], -1)
-        inside = np.cumsum(inside[:-1]) > 0
-        begin[1:-1] |= change & inside[1:] & inside[:-1]
+    blank = kind == BLANK
+    change = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begin[1:len(data)] |= change & ~blank[1:] & ~blank[:-1] & (np.cumsum(depth[:-1], dtype=np.int8)[1:] == 0)
     starts = np.flatnonzero(begin[:-1])
     of_word = np.searchsorted(found.starts, starts, "right") - 1
     ends = found.ends[of_word].copy()
@@ -123,7 +124,7 @@ class Encoder:
             self.clear()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+        new = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used:self.used + len(new)] = new
@@ -161,7 +162,7 @@ class Encoder:
         found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids
                  for a, b in zip(bounds[:-1], bounds[1:])]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum())), size
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, whole: np.ndarray, size: int) -> list[int]:
@@ -200,11 +201,11 @@ def cuts(places: np.ndarray, penalty: np.ndarray, whole: np.ndarray, size: int)
     # the rest after the cheapest cut within reach of the block's end goes with the next block
     reach = bisect_left(position, position[-1] - size)
     best = min(range(reach, len(position) - 1), key=cost.__getitem__)
-    chain = []
+    chosen = []
     while best:
-        chain.append(best - 1)
+        chosen.append(best - 1)
         best = came[best]
-    return chain[::-1]
+    return chosen[::-1]
 
 
 def tail_lengths(length: int, size: int) -> list[int]:
