@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moveproof.llm import jaccard, line_rules, packing, substring, suffixes, url_rules
+from moveproof.llm import hmm, jaccard, line_rules, packing, substring, suffixes, url_rules
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -123,3 +124,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query("op9_packing")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"), tokenizer_path())
+
+
+def remainder(by: int, name: str = "doc_id"):
+    """crc32 of an id as text, modulo `by`: the fold of a document."""
+    return F.crc32(F.col(name).cast("string")) % by
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return hmm.hmm_scores(table(spark, root, "documents"), remainder(5) == 1)
