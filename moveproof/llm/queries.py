@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moveproof.llm import hmm, jaccard, line_rules, packing, substring, suffixes, url_rules
+from moveproof.llm import hmm, jaccard, line_rules, packing, substring, suffixes, toxicity, url_rules
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -134,3 +134,9 @@ def remainder(by: int, name: str = "doc_id"):
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return hmm.hmm_scores(table(spark, root, "documents"), remainder(5) == 1)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    docs, labels = table(spark, root, "documents"), table(spark, root, "labels")
+    return toxicity.toxicity(docs, labels, remainder(3) == 1)
