@@ -33,18 +33,6 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 BIAS = 0
 
-MARKS = np.zeros(256, bool)
-MARKS[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
-
-
-def _trimmed(texts: W.Texts, found: W.Words) -> W.Words:
-    """Words without up to three marks at either end."""
-    starts, ends = found.starts.copy(), found.ends.copy()
-    for _ in range(3):
-        starts += MARKS[texts.data[np.minimum(starts, len(texts.data) - 1)]] & (starts < ends - 1)
-        ends -= MARKS[texts.data[ends - 1]] & (starts < ends - 1)
-    return W.Words(starts, ends, found.bounds)
-
 
 def features(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates of all features, with repeats, and the text each is of."""
@@ -52,7 +40,7 @@ def features(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     found = W.words_of(texts)
     if not len(found.starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = W.word_hashes(texts, _trimmed(texts, found))
+    hashes = W.word_hashes(texts, W.trimmed(texts, found))
     of = np.repeat(np.arange(len(texts.bounds) - 1), np.diff(found.bounds))
     out, owner = [hashes], [of]
     for step, factor in ((1, 3), (2, 5)):

@@ -84,6 +84,20 @@ def words_of(texts: Texts) -> Words:
     return Words(starts, ends, np.searchsorted(starts, bounds))
 
 
+MARKS = np.zeros(256, bool)
+MARKS[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
+
+
+def trimmed(texts: Texts, found: Words) -> Words:
+    """Words without up to three ASCII marks at either end; one byte at least stays."""
+    starts, ends = found.starts.copy(), found.ends.copy()
+    if len(starts):
+        for _ in range(3):
+            starts += MARKS[texts.data[starts]] & (starts < ends - 1)
+            ends -= MARKS[texts.data[ends - 1]] & (starts < ends - 1)
+    return Words(starts, ends, found.bounds)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
