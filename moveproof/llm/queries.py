@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moveproof.llm import hmm, jaccard, line_rules, packing, substring, suffixes, toxicity, url_rules
+from moveproof.llm import (
+    decontaminate, hmm, jaccard, line_rules, packing, site_quality, substring, suffixes, toxicity, url_rules,
+)
 from moveproof.session import literal_rows, table
 
 QUERIES: dict = {}
@@ -140,3 +142,15 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 def op4(spark: SparkSession, root: str) -> DataFrame:
     docs, labels = table(spark, root, "documents"), table(spark, root, "labels")
     return toxicity.toxicity(docs, labels, remainder(3) == 1)
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    docs, benchmark = table(spark, root, "documents"), table(spark, root, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).drop("key")
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    docs, labels = table(spark, root, "documents"), table(spark, root, "labels")
+    return site_quality.classify(docs, labels, remainder(3) == 1)
