@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmarks, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmarks, packing.
+
+Each stage takes a table with the columns of `documents` and returns one, the
+last the pieces of packed sequences. Null texts, ids and other columns, repeated
+rows and empty tables have the results that the operators state; further columns of the input are dropped.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +15,62 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from moveproof.llm import substring  # noqa: E402
+from moveproof.llm import decontaminate, jaccard, line_rules, packing, substring  # noqa: E402
+from moveproof.llm.queries import tokenizer_path  # noqa: E402
 from moveproof.session import scratch_dir, table  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents other than those named by doc_id and key, the hash of the text."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(gone, same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; the others stay as they are."""
+    return line_rules.kept_documents(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of alike documents the one of least id stays, of repeated rows one."""
+    docs = docs.select(*COLUMNS)
+    first = _without(docs, jaccard.jaccard_join(docs).filter("not is_first"))
+    return first.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; documents left without a word go.
+    """Passages that an earlier document has are cut out; documents left without a word by this go.
 
-    Untouched documents keep their text byte for byte. Rows that repeat id and
-    text stay repeated.
+    Untouched documents keep their text byte for byte.
     """
-    cut = substring.dedup_substrings(docs, with_text=True).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "kept_text",
-        (F.col("n_words") > F.col("n_removed")).alias("_left")).dropDuplicates(["_id", "_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    text = F.coalesce("kept_text", "text")
-    return docs.select(*COLUMNS).join(cut, same, "left").filter(F.coalesce("_left", F.lit(True))).select(
-        "doc_id", text.alias("text"), "lang", "source",
-        F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(
-            F.length("kept_text")).cast("long").alias("n_chars"))
+    cut = substring.dedup_substrings(
+        docs, with_text=True, carry=("text", "lang", "source", "n_chars"))
+    touched = F.col("n_removed") > 0
+    return cut.filter(~touched | (F.col("n_words") > F.col("n_removed"))).select(
+        "doc_id", F.when(touched, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(touched, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    docs = docs.select(*COLUMNS)
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents' ids in sequences of at most 4096."""
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
     ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", decontaminated),
+    ("packing", packed),
 ]
 
 #: Several stages cannot be written in SQL; the stages are tested against brute force.

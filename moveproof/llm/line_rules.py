@@ -118,13 +118,10 @@ def common_lines(
     )
 
 
-def quality_rules(
-    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE,
-    least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id",
-    text_col: str = "text", host_col: str = "source",
+def _removed(
+    found: DataFrame, most_documents: int, most_share: float
 ) -> DataFrame:
-    """doc_id, key, n_words, the base measures, base_failed, n_common_words, kept; a row per document."""
-    found = identified(docs, id_col, text_col, host=host_col)
+    """_host, _key, _removed: words of common lines that texts lose; stored."""
     lines = text_lines(found)
     texts = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))
     common = common_lines(lines, texts, most_documents, most_share)
@@ -132,13 +129,13 @@ def quality_rules(
     removed = lines.join(common, in_text).filter("key != first").groupBy("host", "key").agg(
         F.sum("n").alias("n")).alias("r")
     same = F.col("r.host").eqNullSafe(F.col("t.host")) & (F.col("r.key") == F.col("t.key"))
-    removed = stored(removed.join(texts.alias("t"), same).select(
+    return stored(removed.join(texts.alias("t"), same).select(
         F.col("r.host").alias("_host"), F.col("r.key").alias("_key"),
         (F.col("n") / F.col("copies")).cast("long").alias("_removed")), "common-lines")
 
-    measures = base_measures(F.col("text"))
-    base = found.select("id", "key", "host", *[c.alias(n) for n, c in measures.items()]).select(
-        "id", "key", "host", "counted.*", *[n for n in measures if n != "counted"])
+
+def _judged(base: DataFrame, removed: DataFrame, least_words: int, least_share: float) -> DataFrame:
+    """Rows of host, key and base measures with n_common_words, base_failed and kept."""
     failed = (F.col("n_words") < LEAST_BASE_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
@@ -149,6 +146,36 @@ def quality_rules(
         .withColumn("n_common_words", F.coalesce("_removed", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .select(public_id().alias("doc_id"), "key", "n_words", "word_chars", "n_symbols",
-                "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept")
     )
+
+
+def quality_rules(
+    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE,
+    least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id",
+    text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """doc_id, key, n_words, the base measures, base_failed, n_common_words, kept; a row per document."""
+    found = identified(docs, id_col, text_col, host=host_col)
+    measures = base_measures(F.col("text"))
+    base = found.select("id", "key", "host", *[c.alias(n) for n, c in measures.items()]).select(
+        "id", "key", "host", "counted.*", *[n for n in measures if n != "counted"])
+    judged = _judged(base, _removed(found, most_documents, most_share), least_words, least_share)
+    return judged.select(
+        public_id().alias("doc_id"), "key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "n_common_words", "kept")
+
+
+def kept_documents(
+    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE,
+    least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id",
+    text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """The rows that `quality_rules` keeps, with all their columns."""
+    found = identified(docs, id_col, text_col, host=host_col)
+    counted = base_measures(F.col(f"row.`{text_col}`"))["counted"]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col(f"row.`{host_col}`").alias("host"),
+        F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("key"), counted.alias("counted"),
+    ).select("row", "host", "key", "counted.*")
+    judged = _judged(base, _removed(found, most_documents, most_share), least_words, least_share)
+    return judged.filter("kept").select("row.*")

@@ -32,8 +32,8 @@ from moveproof.llm.frames import identified, partitions, power_of_two, public_id
 
 WINDOW = 50
 GRAM = 18
-#: Occurrences of an anchor from which its windows are grouped one by one.
-HOT = 4096
+#: Occurrences of an anchor from which its windows are grouped one by one; bounds a group to 6 MB.
+HOT = 1 << 15
 SALTS = 16
 #: Bound of the sketch: four bitmaps of this many bits are broadcast.
 MOST_CELLS = 1 << 28
@@ -119,7 +119,7 @@ def _cut(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(begin, np.append(low, len(raw))))
 
 
-def _assemble(window, with_text):
+def _assemble(window, with_text, carried):
     def rows(batches):
         for batch, texts in W.sliced(batches):
             found = W.words_of(texts) if with_text else None
@@ -145,6 +145,8 @@ def _assemble(window, with_text):
             if with_text:
                 columns += [batch.column("key"), pa.array(out["kept_text"], pa.string())]
                 names += ["key", "kept_text"]
+            columns += [batch.column(c) for c in carried]
+            names += carried
             yield pa.RecordBatch.from_arrays(columns, names)
     return rows
 
@@ -159,6 +161,7 @@ def marked_windows(
     cells = power_of_two(8 * size / (3 * (window - gram + 2)), 1 << 18, most_cells)
     found = sketch.repeats(docs.select("text"), _anchor_hashes(window, gram), cells, hot)
     seen = spark.sparkContext.broadcast(found)
+    docs = docs.select("id", "key", "text")
     runs = docs.mapInArrow(_candidates(seen, window, gram, False), RUNS)
     marks = (
         runs.repartition(partitions(docs, size / 2), "anchor").sortWithinPartitions("anchor")
@@ -180,20 +183,23 @@ def marked_windows(
 def dedup_substrings(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT,
     most_cells: int = MOST_CELLS, id_col: str = "doc_id", text_col: str = "text",
-    with_text: bool = False,
+    with_text: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256.
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, then the columns to carry.
 
     `kept_sha256` is the digest of the kept words joined by one space. With
     `with_text` also `key` (the hash of the input text) and `kept_text`: the
     text with each removed run and the white space after it cut out, all
     else as it was.
     """
-    found = identified(docs, id_col, text_col)
+    own = {f"carried_{i}": column for i, column in enumerate(carry)}
+    found = identified(docs, id_col, text_col, **own)
     marks = marked_windows(found, window, gram, hot, most_cells)
     per_doc = marks.groupBy("id", "key").agg(
         F.collect_list(F.struct("start", "flags")).alias("marks"))
-    schema = RESULT + (", key long, kept_text string" if with_text else "")
+    schema = RESULT + (", key long, kept_text string" if with_text else "") + "".join(
+        f", {name} {found.schema[name].dataType.simpleString()}" for name in own)
     out = found.join(per_doc, ["id", "key"], "left").mapInArrow(
-        _assemble(window, with_text), schema)
-    return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "id"])
+        _assemble(window, with_text, list(own)), schema)
+    return out.select(public_id().alias("doc_id"), *[
+        F.col(c).alias(own.get(c, c)) for c in out.columns if c != "id"])
