@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from moveproof.plans import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
