@@ -99,30 +99,74 @@ def hashable(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-def row_hashes(df: DataFrame, columns: list[str] | None = None) -> tuple[Column, Column]:
-    """Two independently seeded 64-bit hashes of a row.
+_INTEGRAL = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
+_DIGITS = (3, 5, 10, 19)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which values of both types are compared; text when nothing closer holds both."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    whole = [_INTEGRAL.index(t) if t in _INTEGRAL else None for t in (a, b)]
+    if None not in whole:
+        return _INTEGRAL[max(whole)]
+    if all(isinstance(t, T.NumericType) for t in (a, b)):
+        if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (a, b)):
+            return T.DoubleType()
+        sizes = [(t.precision - t.scale, t.scale) if i is None else (_DIGITS[i], 0)
+                 for t, i in zip((a, b), whole)]
+        scale = max(s for _, s in sizes)
+        return T.DecimalType(min(38, max(p for p, _ in sizes) + scale), scale)
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(a, times) and isinstance(b, times):
+        return T.TimestampType() if T.TimestampType() in (a, b) else T.TimestampNTZType()
+    return T.StringType()
+
+
+def common_layout(left: T.StructType, right: T.StructType, leave: list[str] = ()) -> list[tuple]:
+    """(name, type) of the columns of either side in name order; a side without one has nulls there."""
+    sides = [{f.name: f.dataType for f in s.fields if f.name not in leave} for s in (left, right)]
+    return [
+        (name, common_type(*(s.get(name, T.NullType()) for s in sides)))
+        for name in sorted(set(sides[0]) | set(sides[1]))
+    ]
+
+
+def _nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
+def row_hashes(df: DataFrame, layout: list[tuple] | None = None) -> tuple[Column, Column]:
+    """Two independently seeded 64-bit hashes of a row, in the order and types of a layout.
 
     The null flags are hashed too, because xxhash64 skips nulls and would give
     ('a', null) and (null, 'a') one value.
     """
+    own = {f.name: f.dataType for f in df.schema.fields}
     args = []
-    for f in df.schema.fields:
-        if columns is None or f.name in columns:
-            c = F.col(f"`{f.name}`")
-            args += [hashable(c, f.dataType), c.isNull()]
+    for name, dtype in layout if layout is not None else own.items():
+        if name not in own:
+            args += [F.lit(None).cast("string"), F.lit(True)]
+            continue
+        c, have = F.col(f"`{name}`"), own[name]
+        value = hashable(c, have) if _nested(have) or have == dtype else hashable(c.cast(dtype), dtype)
+        args += [value, c.isNull()]
     return F.xxhash64(F.lit(1), *args), F.xxhash64(F.lit(2), *args)
 
 
 def multiset_hash(first: Column, second: Column, weight: Column | None = None) -> list[Column]:
-    """Order-insensitive sums over the 32-bit halves of two row hashes.
+    """Order-insensitive sums over the 16-bit quarters of two row hashes.
 
-    Sums (unlike xor) do not cancel repeated rows; halves keep them inside a
-    long for two billion rows per group.
+    Sums (unlike xor) do not cancel repeated rows; a sum of quarters stays
+    inside a long for 2**47 rows of one group, more than any table holds.
     """
     out = []
     for h in (first, second):
-        for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))):
-            out.append(F.sum(half if weight is None else F.when(weight, half).otherwise(0)))
+        for shift in (48, 32, 16, 0):
+            part = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFF))
+            out.append(F.sum(part if weight is None else F.when(weight, part).otherwise(0)))
     return out
 
 

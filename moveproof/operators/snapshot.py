@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.functions.rates import growth_rate
-from moveproof.functions.text import multiset_hash, row_hashes
+from moveproof.functions.text import common_layout, multiset_hash, row_hashes
 
 
 def change_status(
@@ -17,22 +17,26 @@ def change_status(
     Both sides are reduced to key and row hashes and folded with one group-by
     instead of a full outer join: a repeated key adds up instead of producing
     all pairs, hot keys merge inside each task, and no row content is shuffled.
-    A key is UNCHANGED when both sides hold the same multiset of rows.
+    A key is UNCHANGED when both sides hold the same multiset of rows. Values
+    are compared, not layouts: columns by name in any order, values in a type
+    that holds both sides', and a column that one side lacks as null there.
     """
-    compared = columns or [c for c in current.columns if c in previous.columns]
+    layout = common_layout(previous.schema, current.schema, keys)
+    if columns is not None:
+        layout = [(name, dtype) for name, dtype in layout if name in columns]
+    quoted = [F.col(f"`{k}`") for k in keys]
 
     def side(df, is_current):
-        first, second = row_hashes(df, compared)
+        first, second = row_hashes(df, layout)
         return df.select(
-            *[F.col(k) for k in keys], first.alias("h1"), second.alias("h2"),
-            F.lit(is_current).alias("is_current"),
+            *quoted, first.alias("_h1"), second.alias("_h2"), F.lit(is_current).alias("_is_current"),
         )
 
     both = side(previous, False).unionByName(side(current, True))
-    now, before = F.col("is_current"), ~F.col("is_current")
-    sums_now = multiset_hash(F.col("h1"), F.col("h2"), now)
-    sums_before = multiset_hash(F.col("h1"), F.col("h2"), before)
-    folded = both.groupBy(*keys).agg(
+    now, before = F.col("_is_current"), ~F.col("_is_current")
+    sums_now = multiset_hash(F.col("_h1"), F.col("_h2"), now)
+    sums_before = multiset_hash(F.col("_h1"), F.col("_h2"), before)
+    folded = both.groupBy(*quoted).agg(
         F.count_if(before).alias("rows_before"), F.count_if(now).alias("rows_now"),
         *[c.alias(f"b{i}") for i, c in enumerate(sums_before)],
         *[c.alias(f"n{i}") for i, c in enumerate(sums_now)],
@@ -41,7 +45,7 @@ def change_status(
     for i in range(len(sums_now)):
         equal = equal & (F.col(f"b{i}") == F.col(f"n{i}"))
     return folded.select(
-        *keys,
+        *quoted,
         F.when(F.col("rows_before") == 0, "NEW").when(F.col("rows_now") == 0, "DELETED")
         .when(equal, "UNCHANGED").otherwise("CHANGED").alias("change_status"),
         "rows_before", "rows_now",
@@ -63,7 +67,7 @@ def table_fingerprint(df: DataFrame, dataset: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         *[c.alias(f"s{i}") for i, c in enumerate(multiset_hash(F.col("h1"), F.col("h2")))],
     )
-    line = F.struct("bucket", F.concat_ws(":", "bucket", "n", "s0", "s1", "s2", "s3").alias("t"))
+    line = F.struct("bucket", F.concat_ws(":", "bucket", "n", *[f"s{i}" for i in range(8)]).alias("t"))
     return per_bucket.agg(
         F.lit(dataset).alias("dataset"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
@@ -72,6 +76,21 @@ def table_fingerprint(df: DataFrame, dataset: str) -> DataFrame:
     )
 
 
+def bucket_fingerprints(df: DataFrame, dataset: str) -> DataFrame:
+    """Row counts and content sums of sixteen buckets, from digests any engine can compute.
+
+    A row's digest is the MD5 of its values as text, joined by "|", nulls as "~"; the
+    first hex digit names the bucket, the next eight are summed, which holds 2**31
+    rows of a bucket times 2**32.
+    """
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns]
+    digest = F.md5(F.concat_ws("|", *text))
+    part = F.conv(F.substring(digest, 2, 8), 16, 10).cast("long")
+    return df.groupBy(F.substring(digest, 1, 1).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(part).alias("fingerprint"),
+    ).select(F.lit(dataset).alias("dataset"), "bucket", "row_count", "fingerprint")
+
+
 def dataset_growth(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Status and growth of every dataset of two snapshots (database, dataset, record_count)."""
     keys = ["database", "dataset"]

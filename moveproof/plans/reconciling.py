@@ -326,30 +326,26 @@ def snapshot_diff_customer(spark, root):
     )
 
 
-@query("snapshot_diff_repeated_keys", """
-WITH prev AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
-              WHERE l_orderkey % 9 <> 0),
-cur AS (SELECT l_orderkey, l_linenumber, l_partkey,
-               CASE WHEN l_partkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity
-        FROM lineitem WHERE l_orderkey % 8 <> 0),
-g AS (SELECT l_orderkey, 'p' AS side,
-             string_agg(concat(l_linenumber, '/', l_partkey, '/', l_quantity), ';'
-                        ORDER BY l_linenumber, l_partkey, l_quantity) AS body, count(*) AS n
-      FROM prev GROUP BY l_orderkey
-      UNION ALL
-      SELECT l_orderkey, 'c', string_agg(concat(l_linenumber, '/', l_partkey, '/', l_quantity), ';'
-                        ORDER BY l_linenumber, l_partkey, l_quantity), count(*)
-      FROM cur GROUP BY l_orderkey)
-SELECT coalesce(c.l_orderkey, p.l_orderkey) AS l_orderkey,
-       CASE WHEN p.body IS NULL THEN 'NEW' WHEN c.body IS NULL THEN 'DELETED'
-            WHEN p.body = c.body THEN 'UNCHANGED' ELSE 'CHANGED' END AS change_status,
-       coalesce(p.n, 0) AS rows_before, coalesce(c.n, 0) AS rows_now
-FROM (SELECT * FROM g WHERE side = 'c') c FULL OUTER JOIN (SELECT * FROM g WHERE side = 'p') p
-     ON c.l_orderkey = p.l_orderkey""")
+LINE_KEY = "l_orderkey"
+LINE_REST = ", ".join(c for c in (
+    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate"))
+
+
+@query("snapshot_diff_repeated_keys", f"""
+WITH prev AS (SELECT l_orderkey, {LINE_REST} FROM lineitem WHERE l_orderkey % 9 <> 0),
+cur AS (SELECT * REPLACE (CASE WHEN l_partkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END
+                          AS l_quantity)
+        FROM (SELECT l_orderkey, {LINE_REST} FROM lineitem WHERE l_orderkey % 8 <> 0)),
+folded AS (SELECT l_orderkey, sum(b) AS b, sum(n) AS n FROM (
+    SELECT *, 1 AS b, 0 AS n FROM prev UNION ALL SELECT *, 0, 1 FROM cur)
+  GROUP BY l_orderkey, {LINE_REST}),
+keys AS (SELECT l_orderkey, bool_and(b = n) AS same, CAST(sum(b) AS BIGINT) AS rows_before,
+                CAST(sum(n) AS BIGINT) AS rows_now FROM folded GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN rows_before = 0 THEN 'NEW' WHEN rows_now = 0 THEN 'DELETED'
+       WHEN same THEN 'UNCHANGED' ELSE 'CHANGED' END AS change_status, rows_before, rows_now FROM keys""")
 def snapshot_diff_repeated_keys(spark, root):
-    line = table(spark, root, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"
-    )
+    line = table(spark, root, "lineitem")
     raised = F.when(F.col("l_partkey") % 50 == 0, F.col("l_quantity") + 1).otherwise(
         F.col("l_quantity")
     )
@@ -360,6 +356,41 @@ def snapshot_diff_repeated_keys(spark, root):
     )
 
 
+@query("snapshot_diff_layouts", """
+SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'CHANGED' ELSE 'UNCHANGED' END AS change_status,
+       1::BIGINT AS rows_before, 1::BIGINT AS rows_now FROM customer""")
+def snapshot_diff_layouts(spark, root):
+    """The same rows with columns in another order, narrower, and one column that is new."""
+    customer = table(spark, root, "customer")
+    before = customer.select(
+        "c_mktsegment", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_name",
+        "c_custkey")
+    note = F.when(F.col("c_custkey") % 6 == 0, "checked")
+    return snap.change_status(before, customer.withColumn("note", note), ["c_custkey"])
+
+
+FINGERPRINT_SQL = " UNION ALL ".join(f"""
+SELECT '{name}' AS dataset, CAST(substr(d, 1, 1) AS VARCHAR) AS bucket, count(*) AS row_count,
+  CAST(sum(('0x' || substr(d, 2, 8))::BIGINT) AS BIGINT) AS fingerprint
+FROM (SELECT md5(concat_ws('|', {", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)})) AS d
+      FROM {name}) x GROUP BY 1, 2""" for name, columns in (
+    ("nation", ("n_nationkey", "n_name", "n_regionkey")),
+    ("customer", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    ("documents", ("doc_id", "text", "lang", "source", "n_chars")),
+    ("pages", ("page_id", "url", "html"))))
+
+
+@query("table_buckets", FINGERPRINT_SQL)
+def table_buckets(spark, root):
+    return union_all(
+        snap.bucket_fingerprints(df.select(*columns), name) for name, df, columns in (
+            (n, table(spark, root, n), c) for n, c in (
+                ("nation", ("n_nationkey", "n_name", "n_regionkey")),
+                ("customer", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+                ("documents", ("doc_id", "text", "lang", "source", "n_chars")),
+                ("pages", ("page_id", "url", "html")))))
+
+
 @query("table_fingerprint")
 def table_fingerprint(spark, root):
     return union_all(
