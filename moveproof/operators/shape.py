@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moveproof.functions.names import NameCollision, column_target, suffixed
+from moveproof.functions.names import NameCollision, column_target, strip, suffixed
 from moveproof.functions.types import cast_to
 from moveproof.operators.profile import union_all
 from moveproof.operators.ranking import numbered
@@ -105,38 +105,49 @@ def quarantine(df: DataFrame, types: dict[str, str], required: list[str] = ()) -
     problems = []
     for c, logical in types.items():
         value = F.col(f"`{c}`")
-        filled = F.trim(value) != ""
+        filled = strip(value) != ""
         problems.append(
             F.when(filled & cast_to(value, logical).isNull(), f"{c}: not {logical}")
         )
     for c in required:
-        problems.append(F.when(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) == "",
+        problems.append(F.when(F.coalesce(strip(F.col(f"`{c}`")), F.lit("")) == "",
                                f"{c}: missing"))
     text = F.concat_ws("; ", *problems)
     return df.withColumn("error", F.when(text != "", text))
 
 
 def resolve_collisions(names: DataFrame, chunk_width: int = 10_000) -> DataFrame:
-    """Repeated targets (table, ordinal, target) numbered in arrival order: x, x_2, x_3.
+    """Repeated targets (table, ordinal, target) numbered in arrival order, no name given twice.
 
+    The first arrival keeps its target, the others get x_2, x_3 and so on,
+    leaving out numbered names that are a target of the table themselves. Names
+    numbered from different targets cannot meet, so this settles all of them.
     Arrival positions are cut into ranges, so a target that most rows share is
-    numbered by many tasks. `is_taken` marks a numbered name that also occurs
-    as a target of its own, which the sequential rule for one table's column
-    list (`suffixed`) would move on.
+    numbered by many tasks. `is_moved` marks names that left out a number.
     """
     chunked = names.withColumn("chunk", F.floor(F.col("ordinal") / chunk_width))
-    ranked = numbered(chunked, ["table", "target"], ["chunk"], ["ordinal"], "arrival")
-    final = ranked.drop("chunk").withColumn(
+    ranked = numbered(chunked, ["table", "target"], ["chunk"], ["ordinal"], "arrival").drop("chunk")
+    natural = names.select("table", "target").distinct()
+    parts = F.regexp_extract("target", r"^(.*)_([1-9][0-9]{0,17})$", 1)
+    number = F.regexp_extract("target", r"^(.*)_([1-9][0-9]{0,17})$", 2).try_cast("long")
+    taken = natural.select("table", parts.alias("target"), number.alias("number")).filter("number > 1")
+    # the j-th taken number, less the j - 1 before it, moves every arrival at or above it by one
+    taken = taken.groupBy("table", "target").agg(F.array_sort(F.collect_list("number")).alias("taken"))
+    moves = F.transform("taken", lambda n, j: n - j)
+    moved = F.coalesce(F.size(F.filter(moves, lambda n: n <= F.col("arrival"))), F.lit(0))
+    placed = ranked.join(taken, ["table", "target"], "left").withColumn(
+        "number", F.col("arrival") + F.when(F.col("arrival") > 1, F.greatest(moved, F.lit(0))).otherwise(0))
+    return placed.withColumn(
         "final_name",
         F.when(F.col("arrival") == 1, F.col("target"))
-        .otherwise(F.concat_ws("_", "target", F.col("arrival").cast("string"))),
-    )
-    natural = names.select("table", F.col("target").alias("final_name")).distinct().withColumn(
-        "natural", F.lit(True)
-    )
-    return final.join(natural, ["table", "final_name"], "left").withColumn(
-        "is_taken", (F.col("arrival") > 1) & F.col("natural").isNotNull()
-    ).drop("natural")
+        .otherwise(F.concat_ws("_", "target", F.col("number").cast("string"))),
+    ).withColumn("is_moved", F.col("number") > F.col("arrival")).drop("taken", "number")
+
+
+def empty_names(names: DataFrame, target: str) -> DataFrame:
+    """Findings for names of which clean-up leaves nothing."""
+    return names.filter(F.col(target).isNull()).withColumns(
+        {"issue_type": F.lit("EMPTY_NAME"), "severity": F.lit("HIGH")})
 
 
 def target_collisions(names: DataFrame) -> DataFrame:

@@ -77,18 +77,45 @@ def resolve_names(spark, root):
     return resolved(spark, root)
 
 
-@query("resolve_collisions", RESOLVED + """,
+# names that are numbered already arrive before and after the names they could collide with
+CHAINED = RESOLVED + """,
+chained AS (
+SELECT "table", ordinal * 2 AS ordinal, target FROM resolved WHERE target IS NOT NULL
+UNION ALL SELECT "table", ordinal * 2 + 1, concat(target, CASE WHEN ordinal % 2 = 0 THEN '_2' ELSE '_3' END)
+FROM resolved WHERE ordinal % 3 = 0 AND target IS NOT NULL)"""
+
+
+def chained(spark, root):
+    names = resolved(spark, root).select("table", "ordinal", "target").dropna(subset=["target"])
+    ending = F.when(F.col("ordinal") % 2 == 0, "_2").otherwise("_3")
+    return names.withColumn("ordinal", F.col("ordinal") * 2).unionByName(
+        names.filter(F.col("ordinal") % 3 == 0).select(
+            "table", (F.col("ordinal") * 2 + 1).alias("ordinal"), F.concat("target", ending).alias("target")))
+
+
+@query("resolve_collisions", CHAINED + """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY "table", target ORDER BY ordinal) AS arrival
-             FROM resolved),
-final AS (SELECT *, CASE WHEN arrival = 1 THEN target ELSE concat(target, '_', arrival) END
-          AS final_name FROM numbered)
-SELECT f."table", f.ordinal, f.target, f.arrival, f.final_name,
-       f.arrival > 1 AND EXISTS (SELECT 1 FROM resolved r
-         WHERE r."table" = f."table" AND r.target = f.final_name) AS is_taken
-FROM final f""")
+             FROM chained),
+taken AS (SELECT "table", target, n - row_number() OVER (PARTITION BY "table", target ORDER BY n) + 1 AS at
+  FROM (SELECT DISTINCT "table", regexp_extract(target, '^(.*)_([1-9][0-9]{0,17})$', 1) AS target,
+               TRY_CAST(regexp_extract(target, '^(.*)_([1-9][0-9]{0,17})$', 2) AS BIGINT) AS n
+        FROM chained) c WHERE n > 1),
+placed AS (SELECT *, CASE WHEN arrival = 1 THEN 0 ELSE (SELECT count(*) FROM taken t
+    WHERE t."table" = f."table" AND t.target = f.target AND t.at <= f.arrival) END AS moved
+  FROM numbered f)
+SELECT "table", ordinal, target, arrival,
+  CASE WHEN arrival = 1 THEN target ELSE concat(target, '_', arrival + moved) END AS final_name,
+  moved > 0 AS is_moved FROM placed""")
 def resolve_collisions(spark, root):
-    names = resolved(spark, root).select("table", "ordinal", "target")
-    return shape.resolve_collisions(names, chunk_width=500)
+    return shape.resolve_collisions(chained(spark, root), chunk_width=500)
+
+
+@query("empty_names", RESOLVED + """
+SELECT "table", ordinal, name, 'EMPTY_NAME' AS issue_type, 'HIGH' AS severity
+FROM resolved WHERE target IS NULL""")
+def empty_names(spark, root):
+    return shape.empty_names(resolved(spark, root), "target").select(
+        "table", "ordinal", "name", "issue_type", "severity")
 
 
 NORMAL = "regexp_replace(regexp_replace(lower({0}), '_+', '_', 'g'), '^_+|_+$', '', 'g')"

@@ -77,6 +77,20 @@ def test_one_target_holds_most_rows(spark):
     assert got == wanted
 
 
+@pytest.mark.parametrize("targets, wanted", [
+    (["x", "x", "x_2"], ["x", "x_3", "x_2"]), (["x_2", "x", "x"], ["x_2", "x", "x_3"]),
+    (["x", "x", "x", "x_2", "x_3", "x_2"], ["x", "x_4", "x_5", "x_2", "x_3", "x_2_2"]),
+    (["x"] * 4 + ["x_3"], ["x", "x_2", "x_4", "x_5", "x_3"]), (["x", "x", "x_02"], ["x", "x_2", "x_02"]),
+])
+def test_no_name_is_given_twice(spark, targets, wanted):
+    names = spark.createDataFrame(
+        [("t", i, x) for i, x in enumerate(targets)], "table string, ordinal long, target string")
+    got = shape.resolve_collisions(names, chunk_width=2).orderBy("ordinal").collect()
+    assert [r["final_name"] for r in got] == wanted
+    assert [r["is_moved"] for r in got] == [
+        w != n and w != f"{n}_{targets[:i + 1].count(n)}" for i, (n, w) in enumerate(zip(targets, wanted))]
+
+
 def test_mapping_precedence(spark):
     df = spark.createDataFrame([(1,) * 5], "CustomerID int, firstname int, _Nation int, "
                                            "Drop_Me int, `Order Total` int")
