@@ -10,11 +10,13 @@ from moveproof import rules
 from moveproof.functions.names import strip
 from moveproof.functions.rates import cases
 
-# logical type -> Spark type a loaded column gets
+# Decimals that a loaded number keeps; one with more is refused, never rounded.
+SCALE = 18
+# logical type -> Spark type a loaded column gets; whole numbers get room for any that detection admits
 SPARK_TYPES = {
-    "INTEGER": T.IntegerType(),
+    "INTEGER": T.LongType(),
     "BIGINT": T.LongType(),
-    "NUMERIC": T.DecimalType(18, 4),
+    "NUMERIC": T.DecimalType(38, SCALE),
     "TEXT": T.StringType(),
     "VARCHAR": T.StringType(),
     "DATE": T.DateType(),
@@ -165,6 +167,9 @@ def cast_to(col: Column, logical: str) -> Column:
         return col
     value = strip(col.cast("string"))
     fitted = value.try_cast(SPARK_TYPES[logical])
+    if logical == "NUMERIC":
+        rounded = value.rlike(rf"\.[0-9]{{{SCALE}}}[0-9]*[1-9]") | value.rlike(r"[eE]-")
+        return F.when(~rounded, fitted)
     if logical == "DATE":
         return F.when(value.rlike(rf"^{_DAY}$"), fitted)
     if logical == "TIMESTAMP":

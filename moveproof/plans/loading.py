@@ -35,7 +35,8 @@ def csv_ingest_supplier(spark, root):
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
        CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL
             ELSE c_mktsegment END AS c_mktsegment,
-       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey,
+       c_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal
 FROM customer""")
 def csv_na_tokens(spark, root):
     folder = scratch_dir(spark, "csv-customer")
@@ -46,57 +47,59 @@ def csv_na_tokens(spark, root):
         .otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
         F.when(key % 5 == 0, "").otherwise(F.col("c_nationkey").cast("string"))
         .alias("c_nationkey"),
+        "c_name", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal"),
     ).write.csv(folder, header=True)
     return readers.na_to_null(readers.read_csv(spark, folder))
 
 
 @query("json_ingest_events", """
 SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id,
-       CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events""")
+       CASE WHEN event_id % 2 = 0 THEN value END AS value,
+       CASE WHEN event_id % 2 = 0 THEN props END AS props,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM events""")
 def json_ingest_events(spark, root):
     folder = scratch_dir(spark, "json-events")
     events = table(spark, root, "events")
     user = F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("user_id")
     even = F.col("event_id") % 2 == 0
-    events.filter(even).select("event_id", "event_type", user, "value").write.json(folder)
-    events.filter(~even).select("event_type", "event_id", user).write.mode("append").json(folder)
-    return readers.read_json(spark, folder).select("event_id", "event_type", "user_id", "value")
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")
+    events.filter(even).select("event_id", "event_type", user, "value", "props", ts).write.json(folder)
+    events.filter(~even).select(ts, "event_type", "event_id", user).write.mode("append").json(folder)
+    return readers.read_json(spark, folder).select(
+        "event_id", "event_type", "user_id", "value", "props", "ts")
 
 
 # --- load modes -----------------------------------------------------------------------
-KEPT = ("o_orderkey", "o_custkey", "o_totalprice")
-
-
-@query("load_append_orders", f"SELECT {', '.join(KEPT)} FROM orders")
+@query("load_append_orders", "SELECT * FROM orders")
 def load_append_orders(spark, root):
     path = scratch_dir(spark, "load-append")
-    orders = table(spark, root, "orders").select(*KEPT)
+    orders = table(spark, root, "orders")
     for half in (0, 1):
         writers.write_table(orders.filter(F.col("o_orderkey") % 2 == half), path, "skip")
     return spark.read.parquet(path)
 
 
-@query("load_mode_reload", f"SELECT {', '.join(KEPT)} FROM orders WHERE o_orderkey % 3 <> 0")
+@query("load_mode_reload", "SELECT * FROM orders WHERE o_orderkey % 3 <> 0")
 def load_mode_reload(spark, root):
     path = scratch_dir(spark, "load-reload")
-    orders = table(spark, root, "orders").select(*KEPT)
+    orders = table(spark, root, "orders")
     writers.write_table(orders, path, "force")
     writers.write_table(orders.filter(F.col("o_orderkey") % 3 != 0), path, "reload")
     return spark.read.parquet(path)
 
 
 @query("doc_load_events", """
-SELECT event_id, user_id, value FROM events WHERE event_id % 2 = 0
-UNION ALL SELECT event_id, user_id, value FROM events WHERE event_id % 5 = 0""")
+SELECT event_id, user_id, value, ts, event_type, props FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, user_id, value, ts, event_type, props FROM events WHERE event_id % 5 = 0""")
 def doc_load_events(spark, root):
     path = scratch_dir(spark, "documents")
     docs = table(spark, root, "events").select(
-        "event_id", F.struct("user_id", "value").alias("payload")
+        "event_id", F.struct("user_id", "value", "ts", "event_type", "props").alias("payload")
     )
     writers.write_documents(docs.filter(F.col("event_id") % 7 == 0), path, "NEW")
     writers.write_documents(docs.filter(F.col("event_id") % 2 == 0), path, "CHANGED")
     writers.write_documents(docs.filter(F.col("event_id") % 5 == 0), path, "UNCHANGED")
-    return spark.read.parquet(path).select("event_id", "payload.user_id", "payload.value")
+    return spark.read.parquet(path).select("event_id", "payload.*")
 
 
 @query("skip_processed", """
@@ -118,7 +121,7 @@ def skip_processed(spark, root):
 
 
 # --- quarantine and history -------------------------------------------------------------
-TYPES = {"o_custkey": "BIGINT", "o_totalprice": "NUMERIC", "o_orderday": "DATE"}
+TYPES = {"o_custkey": "INTEGER", "o_totalprice": "NUMERIC", "o_orderday": "DATE"}
 
 CHECKED = with_variants("s_orders_dirty") + """,
 checked AS (SELECT *, nullif(concat_ws('; ',
@@ -141,13 +144,18 @@ def quarantine_rows(spark, root):
 
 
 @query("typed_rows", CHECKED + """
-SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey,
-       CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS DOUBLE) AS price,
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) + 3000000000 AS o_custkey,
+       concat(o_totalprice, printf('%04d', CAST(o_custkey AS BIGINT) % 10000)) AS price,
        CAST(o_orderday AS DATE) AS o_orderday FROM checked WHERE error IS NULL""")
 def typed_rows(spark, root):
     good = checked(spark, root).filter(F.col("error").isNull())
+    number = F.col("o_custkey").cast("bigint")  # keys beyond 32 bits, prices with six decimals
+    good = good.withColumns({
+        "o_custkey": (number + 3000000000).cast("string"),
+        "o_totalprice": F.concat("o_totalprice", F.format_string("%04d", number % 10000)),
+    })
     return shape.typed(good, {**TYPES, "o_orderkey": "BIGINT"}).select(
-        "o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("price"),
+        "o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(38,6)").cast("string").alias("price"),
         "o_orderday",
     )
 
@@ -210,20 +218,18 @@ def view_sample_part(spark, root):
 
 
 @query("sample_rows_100", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
-ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 100""")
+SELECT * FROM lineitem
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate,
+         l_returnflag, l_discount LIMIT 100""")
 def sample_rows_100(spark, root):
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return shape.sample_view(table(spark, root, "lineitem").select(*order), order, 100)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+             "l_shipdate", "l_returnflag", "l_discount"]
+    return shape.sample_view(table(spark, root, "lineitem"), order, 100)
 
 
-@query("mv_refresh_orders", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""")
+@query("mv_refresh_orders", "SELECT * FROM orders")
 def mv_refresh_orders(spark, root):
-    source = table(spark, root, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
-    )
-    view = writers.MaterializedView(source, scratch_dir(spark, "mv"))
+    view = writers.MaterializedView(table(spark, root, "orders"), scratch_dir(spark, "mv"))
     view.refresh()
     return view.read()
 
@@ -326,12 +332,14 @@ def canonical_json_events(spark, root):
 
 
 @query("json_export", """
-SELECT o_orderkey, concat('{"o_orderkey":', o_orderkey, ',"o_orderdate":"',
-       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '","o_totalprice":', o_totalprice, '}') AS document
+SELECT o_orderkey, concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey,
+       ',"o_orderstatus":"', o_orderstatus, '","o_totalprice":', o_totalprice, ',"o_orderdate":"',
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '","o_orderpriority":"', o_orderpriority, '"}') AS document
 FROM orders""")
 def json_export(spark, root):
     orders = table(spark, root, "orders").select(
-        "o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), "o_orderdate", "o_orderpriority",
     )
     return tx.json_safe(orders).select(
         "o_orderkey", F.to_json(F.struct("*")).alias("document")
