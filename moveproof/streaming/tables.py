@@ -69,10 +69,6 @@ def ingest_files(
     run_available(tagged, checkpoint, apply)
 
 
-# a batch's keys are broadcast up to this many (checked by a count), and joined beyond it
-BROADCAST_KEYS = 200_000
-
-
 class ChangeTable:
     """A keyed table kept as change batches; reading folds them to the last row per key.
 
@@ -139,10 +135,7 @@ def apply_changes(
         flag = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         tagged = batch.withColumn("is_deleted", flag).select(*table.fields, "is_deleted")
         rows = table.last_rows(tagged, table.order).persist()
-        touched = rows.select(*table.keys)
-        if touched.count() <= BROADCAST_KEYS:
-            touched = F.broadcast(touched)
-        stored = table.read(batch.sparkSession, batch_id, touched).persist()
+        stored = table.read(batch.sparkSession, batch_id, rows.select(*table.keys)).persist()
         live = rows.filter(~F.col("is_deleted"))
         changed = change_status(stored, live, table.keys).filter(
             F.col("change_status").isin("NEW", "CHANGED")
