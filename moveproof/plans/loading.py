@@ -10,7 +10,7 @@ from moveproof.operators.profile import union_all
 from moveproof.plans.registry import query
 from moveproof.plans.variants import variant, with_variants
 from moveproof.session import scratch_dir, table
-from moveproof.sources import readers, writers
+from moveproof.sources import load, readers, writers
 
 # --- readers ----------------------------------------------------------------------
 @query("csv_ingest_supplier", """
@@ -69,6 +69,119 @@ def json_ingest_events(spark, root):
         "event_id", "event_type", "user_id", "value", "props", "ts")
 
 
+@query("csv_mixed_headers", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+  CASE WHEN c_custkey % 3 <> 2 THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) END AS c_acctbal,
+  c_mktsegment, CASE WHEN c_custkey % 3 = 2 THEN concat('note ', c_custkey) END AS note FROM customer""")
+def csv_mixed_headers(spark, root):
+    """One folder, three headers: another order, a column less, a column more."""
+    folder = scratch_dir(spark, "csv-headers")
+    customer = table(spark, root, "customer").withColumn(
+        "c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    slot = F.col("c_custkey") % 3
+    names = customer.columns
+    note = F.format_string("note %d", "c_custkey").alias("note")
+    for i, columns in enumerate((names, names[::-1], [note, *[c for c in names if c != "c_acctbal"]])):
+        customer.filter(slot == i).select(*columns).write.mode("append").csv(folder, header=True)
+    return readers.read_csv(spark, folder).select(*names, "note")
+
+
+@query("json_array_items", """
+SELECT event_id, event_type, value FROM events
+UNION ALL SELECT NULL, NULL, NULL FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT NULL, NULL, NULL FROM events WHERE event_id % 3 = 0""")
+def json_array_items(spark, root):
+    """Arrays in which items are objects, numbers and nulls; what is no object is an empty row."""
+    folder = scratch_dir(spark, "json-arrays")
+    item = F.to_json(F.struct("event_id", "event_type", "value"))
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[7, "), item, F.lit(", null]"))).otherwise(
+        F.concat(F.lit("["), item, F.lit("]")))
+    table(spark, root, "events").select(line.alias("value")).write.text(folder)
+    return readers.read_json(spark, folder).select("event_id", "event_type", "value")
+
+
+def _named_file(lines, folder: str, name: str) -> None:
+    """One text file of a given name, as files of other systems have; rows keep their order."""
+    spark = lines.sparkSession
+    aside = scratch_dir(spark, "file")
+    lines.coalesce(1).write.text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(folder, name)
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(folder))
+    part = files.globStatus(hadoop.Path(aside, "part-*"))[0].getPath()
+    if files.exists(to):
+        files.delete(to, False)
+    files.rename(part, to)
+
+
+LINE_DIGEST = """
+lines AS (SELECT f.file, f.size, u.line, u.i FROM files f,
+  LATERAL (SELECT unnest(string_split(f.body, chr(10))) AS line, generate_subscripts(string_split(f.body, chr(10)), 1) - 1 AS i) u),
+blocks AS (SELECT file, size, i // 65536 AS block, sha256(string_agg(sha256(line), '' ORDER BY i)) AS hash
+  FROM lines GROUP BY ALL)
+SELECT file, sha256(concat(size, ':', sha256(string_agg(hash, '' ORDER BY block)))) AS digest
+FROM blocks GROUP BY file, size"""
+
+
+@query("file_digests", """
+WITH files AS (
+SELECT concat(lang, '.txt') AS file, string_agg(text, chr(10) ORDER BY doc_id) AS body,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size FROM documents GROUP BY lang),""" + LINE_DIGEST)
+def file_digests(spark, root):
+    folder = scratch_dir(spark, "digests")
+    docs = table(spark, root, "documents")
+    for row in docs.select("lang").distinct().collect():  # one file per language
+        own = docs.filter(F.col("lang") == row["lang"]).coalesce(1).sortWithinPartitions("doc_id")
+        _named_file(own.select("text"), folder, f"{row['lang']}.txt")
+    return writers.file_digests(spark, folder)
+
+
+@query("ingest_folder", """
+WITH n AS (SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM orders) AS orders,
+  (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS half)
+SELECT 'r1' AS run_ts, 'broken.json' AS file, 'broken' AS "table", 0::BIGINT AS rows_inserted,
+       1::BIGINT AS rows_rejected, 'FAILED' AS status, 'rows do not fit' AS error FROM n
+UNION ALL SELECT 'r1', 'Customers.csv', 'customers', customers, 0, 'SUCCESS', NULL FROM n
+UNION ALL SELECT 'r1', 'notes.txt', NULL, 0, 0, 'UNSUPPORTED', 'UNSUPPORTED_FILE' FROM n
+UNION ALL SELECT 'r1', 'orders.json', 'orders', orders, 0, 'SUCCESS', NULL FROM n
+UNION ALL SELECT 'r2', 'broken.json', 'broken', 0, 1, 'FAILED', 'rows do not fit' FROM n
+UNION ALL SELECT 'r2', 'Customers.csv', 'customers', half, 0, 'SUCCESS', NULL FROM n
+UNION ALL SELECT 'all', 'rows', 'customers', customers + half, 0, 'SUCCESS', NULL FROM n
+UNION ALL SELECT 'all', 'rows', 'orders', orders, 0, 'SUCCESS', NULL FROM n""")
+def ingest_folder(spark, root):
+    """Good, malformed, unsupported and changed files in one folder, loaded twice."""
+    base = scratch_dir(spark, "ingest")
+    customer, orders = table(spark, root, "customer"), table(spark, root, "orders")
+    header = spark.createDataFrame([(",".join(customer.columns),)], "value string")
+    rows = customer.select(F.concat_ws(",", *[F.col(c).cast("string") for c in customer.columns]).alias("value"))
+    _named_file(header.union(rows), f"{base}/in", "Customers.csv")
+    _named_file(orders.select(F.to_json(F.struct("*")).alias("value")), f"{base}/in", "orders.json")
+    nations = table(spark, root, "nation").select(F.to_json(F.struct("*")).alias("value"))
+    torn = spark.createDataFrame([('{"n_nationkey": oops',)], "value string")
+    _named_file(nations.union(torn), f"{base}/in", "broken.json")
+    _named_file(table(spark, root, "region").select("r_name"), f"{base}/in", "notes.txt")
+    runs = [load.ingest(spark, f"{base}/in", f"{base}/out", "r1")]
+    even = rows.filter(F.split("value", ",")[0].cast("bigint") % 2 == 0)
+    _named_file(header.union(even), f"{base}/in", "Customers.csv")
+    runs.append(load.ingest(spark, f"{base}/in", f"{base}/out", "r2"))
+    columns = ("run_ts", "file", "table", "rows_inserted", "rows_rejected", "status", "error")
+    counts = [load.read_loaded(spark, f"{base}/out", name).agg(
+        F.lit("all").alias("run_ts"), F.lit("rows").alias("file"), F.lit(name).alias("table"),
+        F.count(F.lit(1)).alias("rows_inserted"), F.lit(0).cast("long").alias("rows_rejected"),
+        F.lit("SUCCESS").alias("status"), F.lit(None).cast("string").alias("error")) for name in ("customers", "orders")]
+    return union_all([*(r.select(*columns) for r in runs), *counts])
+
+
+@query("unsupported_files", """
+SELECT 'notes.txt' AS dataset, 'UNSUPPORTED_FILE' AS issue_type, 'LOW' AS severity FROM region LIMIT 1""")
+def unsupported_files(spark, root):
+    folder = scratch_dir(spark, "kinds")
+    _named_file(table(spark, root, "region").select("r_name"), folder, "notes.txt")
+    _named_file(table(spark, root, "nation").select("n_name"), folder, "nations.csv")
+    return readers.unsupported_files(spark, folder)
+
+
 # --- load modes -----------------------------------------------------------------------
 @query("load_append_orders", "SELECT * FROM orders")
 def load_append_orders(spark, root):
@@ -103,21 +216,21 @@ def doc_load_events(spark, root):
 
 
 @query("skip_processed", """
-SELECT concat('f', doc_id, '.txt') AS file, sha256(text) AS sha256 FROM documents d
+SELECT concat('f', doc_id, '.txt') AS file, sha256(text) AS digest FROM documents d
 WHERE NOT (doc_id % 4 = 0) AND NOT (doc_id % 4 = 1 AND doc_id % 8 = 1)""")
 def skip_processed(spark, root):
     files = table(spark, root, "documents").select(
         "doc_id", F.format_string("f%d.txt", "doc_id").alias("file"),
-        F.sha2("text", 256).alias("sha256"),
+        F.sha2("text", 256).alias("digest"),
     )
     slot = F.col("doc_id") % 4
     history = files.filter(slot < 3).select(
         "file",
-        F.when(slot == 2, "outdated").otherwise(F.col("sha256")).alias("sha256"),
+        F.when(slot == 2, "outdated").otherwise(F.col("digest")).alias("digest"),
         F.when((slot == 1) & (F.col("doc_id") % 8 != 1), "FAILED").otherwise("SUCCESS")
         .alias("status"),
     )
-    return writers.unprocessed(files.select("file", "sha256"), history)
+    return writers.unprocessed(files.select("file", "digest"), history)
 
 
 # --- quarantine and history -------------------------------------------------------------

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moveproof.functions.text import multiset_hash
+from moveproof.sources.readers import file_name
 
 LOAD_MODES = ("skip", "force", "reload")
 JDBC_BATCH = 500
@@ -18,9 +18,9 @@ def check_mode(mode: str) -> str:
 
 
 def unprocessed(candidates: DataFrame, history: DataFrame) -> DataFrame:
-    """Candidates (file, sha256) without a successful load of the same name and content."""
-    done = history.filter(F.col("status") == "SUCCESS").select("file", "sha256")
-    return candidates.join(done, ["file", "sha256"], "left_anti")
+    """Candidates (file, digest) without a successful load of the same name and content."""
+    done = history.filter(F.col("status") == "SUCCESS").select("file", "digest")
+    return candidates.join(done, ["file", "digest"], "left_anti")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "skip") -> None:
@@ -65,47 +65,76 @@ def append_history(history: DataFrame, path: str) -> None:
     history.write.mode("append").json(path)
 
 
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
+#: Lines that one digest covers; with it a digest's input stays bounded.
+BLOCK_LINES = 1 << 16
 
 
-def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 per file.
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """file, digest: a digest of each file's bytes in their order, the same way for every size.
 
-    Files up to 64 MB are digested whole, equal to the usual file checksum.
-    Larger ones are digested line by line where the lines are read, and the
-    line hashes are folded per bucket, so no task holds such a file.
+    Lines (cut at "\\n" only, so other bytes stay) are hashed where they are read
+    and numbered through the file: within the piece of the file that a task reads,
+    and by the sizes of the pieces before it. Blocks of `BLOCK_LINES` line hashes
+    are digested in order, then the blocks' digests with the file's size, which
+    tells whether the last line is closed and whether a byte order mark precedes the first.
+    Spark lists no files without content, so they have no row.
     """
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
-    files = spark.read.format("binaryFile").load(folder)
-    whole = files.filter(F.col("length") <= WHOLE_FILE_LIMIT).select(
-        name, F.sha2("content", 256).alias("sha256")
+    name = file_name()
+    lines = spark.read.text(folder, lineSep="\n").select(
+        name.alias("file"), F.col("_metadata.file_block_start").alias("piece"),
+        F.monotonically_increasing_id().alias("at"), F.sha2(F.col("value").cast("binary"), 256).alias("hash"),
     )
-    large = files.filter(F.col("length") > WHOLE_FILE_LIMIT).select(name)
-    lines = spark.read.text(folder).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"),
-        F.col("_metadata.file_size").alias("size"),
-        F.xxhash64(F.lit(1), "value").alias("h1"), F.xxhash64(F.lit(2), "value").alias("h2"),
-    ).filter(F.col("size") > WHOLE_FILE_LIMIT)
-    sums = lines.groupBy("file", F.pmod("h1", F.lit(1024)).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[c.alias(f"s{i}") for i, c in enumerate(multiset_hash(F.col("h1"), F.col("h2")))],
-    )
-    text = F.concat_ws(":", "bucket", "n", "s0", "s1", "s2", "s3")
-    folded = sums.groupBy("file").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "|"), 256).alias("sha256")
-    )
-    return whole.unionByName(large.join(folded, "file", "left"))
+    pieces = spark.read.text(folder, lineSep="\n").select(
+        name.alias("file"), F.col("_metadata.file_block_start").alias("piece"),
+    ).groupBy("file", "piece").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("file", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("file", "piece").orderBy("at")) - 1
+    numbered = lines.withColumn("inside", inside).join(starts, ["file", "piece"]).withColumn(
+        "line", F.col("start") + F.col("inside"))
+    blocks = numbered.groupBy("file", F.floor(F.col("line") / BLOCK_LINES).alias("block")).agg(
+        _digest_in_order("line", "hash").alias("hash"))
+    content = blocks.groupBy("file").agg(_digest_in_order("block", "hash").alias("content"))
+    files = spark.read.format("binaryFile").load(folder).select(  # the content is not read
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    return files.join(content, "file", "left").select(
+        "file", F.sha2(F.concat_ws(":", "length", "content"), 256).alias("digest"))
+
+
+def _digest_in_order(order: str, value: str):
+    ordered = F.array_sort(F.collect_list(F.struct(order, value)))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: x[value]), ""), 256)
+
+
+VERSION = "version long"
 
 
 class MaterializedView:
-    """A stored copy of a frame's result, created empty and overwritten on refresh."""
+    """A stored copy of a frame's result: empty when new, replaced by each refresh.
+
+    A refresh is written aside as a version of its own and then named in the list
+    of versions, so readers see the old copy or the new one, and creating the
+    object again keeps what is stored.
+    """
 
     def __init__(self, source: DataFrame, path: str):
         self.source, self.path = source, path
-        source.limit(0).write.mode("overwrite").parquet(path)
+        spark = source.sparkSession
+        spark.createDataFrame([], VERSION).write.mode("ignore").parquet(f"{path}/versions")
+
+    def _last(self) -> int:
+        spark = self.source.sparkSession
+        found = spark.read.schema(VERSION).parquet(f"{self.path}/versions").agg(F.max("version")).first()[0]
+        return -1 if found is None else found
 
     def refresh(self) -> None:
-        self.source.write.mode("overwrite").parquet(self.path)
+        spark, version = self.source.sparkSession, self._last() + 1
+        self.source.write.mode("overwrite").parquet(f"{self.path}/version-{version}")
+        spark.createDataFrame([(version,)], VERSION).write.mode("append").parquet(f"{self.path}/versions")
 
     def read(self) -> DataFrame:
-        return self.source.sparkSession.read.schema(self.source.schema).parquet(self.path)
+        last = self._last()
+        if last < 0:
+            return self.source.limit(0)
+        spark = self.source.sparkSession
+        return spark.read.schema(self.source.schema).parquet(f"{self.path}/version-{last}")

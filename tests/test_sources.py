@@ -33,6 +33,27 @@ def test_mixed_folder_keeps_every_row(spark, tmp_path):
     assert got == {"1": "plain", "2": "café", "3": 'two\nlines, "quoted"', "4": "x"}
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "h"
+    put(folder, "a.csv", "id,name\n1,ann\n3,cy\n")
+    put(folder, "b.csv", "\n name , id\nbob,2\n")
+    put(folder, "c.csv", "id,name,extra\n4,dan,x\n")
+    put(folder, "d.csv", '"id","na\nme"\n5,eve\n')
+    got = sorted(map(tuple, readers.read_csv(spark, str(folder)).select("id", "name", "extra", "`na\nme`").collect()))
+    assert got == [("1", "ann", None, None), ("2", "bob", None, None), ("3", "cy", None, None),
+                   ("4", "dan", "x", None), ("5", None, None, "eve")]
+
+
+def test_array_items_that_are_no_objects(spark, tmp_path):
+    path = put(tmp_path / "arr", "a.json", '[1, {"a": 1, "n": {"q": 1.5}},\n null, "s", {"a": 2, "b": [1]}]')
+    df = readers.read_json(spark, path)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "array<bigint>", "n": "struct<q:double>"}
+    assert sorted((r["a"] or 0) for r in df.collect()) == [0, 0, 0, 1, 2]
+    assert readers.read_json(spark, path, "a int").agg(F.sum("a")).first()[0] == 3
+    only = put(tmp_path / "arr2", "a.json", "[1, 2]")
+    assert readers.read_json(spark, only).count() == 2
+
+
 def test_only_empty_is_null_for_loads(spark, tmp_path):
     path = put(tmp_path / "n", "a.csv", 'a,b\n"",NA\n" ",null\n')
     df = readers.read_csv(spark, path)
@@ -94,15 +115,31 @@ def test_suffix_picks_the_reader(spark, tmp_path):
     assert [(r["dataset"], r["issue_type"]) for r in found] == [("notes.txt", "UNSUPPORTED_FILE")]
 
 
-def test_file_checksums(spark, tmp_path, monkeypatch):
-    data = {f"f{i}.txt": f"line {i}\nsecond\n" for i in range(3)}
-    for name, text in data.items():
-        put(tmp_path / "c", name, text)
-    got = {r["file"]: r["sha256"] for r in writers.file_checksums(spark, str(tmp_path / "c")).collect()}
-    assert got == {n: hashlib.sha256(t.encode()).hexdigest() for n, t in data.items()}
-    monkeypatch.setattr(writers, "WHOLE_FILE_LIMIT", 1)  # every file counts as large
-    large = {r["file"]: r["sha256"] for r in writers.file_checksums(spark, str(tmp_path / "c")).collect()}
-    assert len(set(large.values())) == 3 and None not in large.values()
+def test_file_digests(spark, tmp_path, monkeypatch):
+    def digests(files):
+        folder = tmp_path / f"c{len(list(tmp_path.iterdir()))}"
+        for name, data in files.items():
+            put(folder, name, data)
+        return {r["file"]: r["digest"] for r in writers.file_digests(spark, str(folder)).collect()}
+
+    lines = [f"line {i}" for i in range(500)]
+    text = "\n".join(lines) + "\n"
+    variants = {
+        "same": text, "again": text, "reordered": "\n".join(lines[::-1]) + "\n", "open": text[:-1],
+        "crlf": text.replace("\n", "\r\n"), "cr": text.replace("\n", "\r"), "bom": "\ufeff" + text,
+        "latin": text.encode() + b"\xe9", "blank": "\n",
+    }
+    for block in (1 << 16, 64):  # the block's size changes digests, never what they tell apart
+        monkeypatch.setattr(writers, "BLOCK_LINES", block)
+        got = digests(variants)
+        assert None not in got.values() and got["same"] == got["again"]
+        assert len(set(got.values())) == len(variants) - 1
+    whole = digests(variants)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert digests(variants) == whole  # however the file is cut for reading
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_load_modes(spark, tmp_path):
@@ -118,10 +155,10 @@ def test_load_modes(spark, tmp_path):
 
 
 def test_failed_or_changed_files_load_again(spark):
-    files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "file string, sha256 string")
+    files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "file string, digest string")
     history = spark.createDataFrame(
         [("a", "1", "SUCCESS"), ("b", "2", "FAILED"), ("c", "0", "SUCCESS")],
-        "file string, sha256 string, status string")
+        "file string, digest string, status string")
     assert {r["file"] for r in writers.unprocessed(files, history).collect()} == {"b", "c"}
 
 
