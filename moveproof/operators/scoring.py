@@ -257,6 +257,15 @@ def readiness_factors(scored: DataFrame) -> DataFrame:
     return scored.select(*KEYS, F.inline(F.array_compact(F.array(*parts))))
 
 
+def parsed_requirements(requirements: DataFrame) -> DataFrame:
+    """Requirement rows (database, four text fields) as numbers and a flag; what breaks a rule is null."""
+    number = lambda c: F.col(c).try_cast("int")
+    least = {"retention_days": 0, "max_duration_minutes": 1, "max_downtime_minutes": 0}
+    return requirements.select(
+        "database", *[F.when(number(c) >= n, number(c)).alias(c) for c, n in least.items()],
+        F.col("archive_required").try_cast("boolean").alias("archive_required"))
+
+
 def requirement_findings(requirements: DataFrame) -> DataFrame:
     """Findings for requirement rows (database, four text fields) that break a rule."""
     def whole(name):

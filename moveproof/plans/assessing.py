@@ -8,12 +8,14 @@ from moveproof import rules
 from moveproof.operators import advise, scoring
 from moveproof.operators import profile as p
 from moveproof.operators import reconcile as rec
+from moveproof.operators import snapshot as snap
 from moveproof.operators.history import executive_summary as summary_row
+from moveproof.operators.profile import union_all
 from moveproof.plans import reconciling as r
 from moveproof.plans.profiling import ISSUE_DATASETS
 from moveproof.plans.registry import query
 from moveproof.plans.variants import Inputs, variant, with_variants
-from moveproof.session import stored
+from moveproof.session import stored, table
 
 # --- the scores as SQL over a table named fleet ------------------------------------------
 ASSESS_CTES = """
@@ -231,8 +233,32 @@ def governance_decision(spark, root):
 
 
 # --- from findings to a decision, over the given tables --------------------------------------
+# the inventory of the run before: fewer events and documents, lines before they were repeated
+EARLIER = {"d_events": "SELECT count(*) AS n FROM {events} WHERE event_id % 10 <> 0",
+           "d_lineitem": "SELECT count(*) AS n FROM {lineitem}",
+           "documents": "SELECT count(*) AS n FROM {documents} WHERE doc_id % 8 <> 0",
+           "labels": "SELECT count(*) AS n FROM {labels}"}
+# what the source's owner asks for, as text, the retention from the span of the orders
+REQUIREMENT_SQL = """SELECT 'source' AS database, CAST({days} AS STRING) AS retention_days,
+'true' AS archive_required, '60' AS max_duration_minutes, '15' AS max_downtime_minutes FROM {orders}"""
+
+
+def earlier_inventory(spark, root):
+    names = ("events", "lineitem", "documents", "labels")
+    given = {n: table(spark, root, n) for n in names}
+    return union_all(
+        spark.sql(sql, **{n: df for n, df in given.items() if "{" + n + "}" in sql}).select(
+            F.lit("source").alias("database"), F.lit(dataset).alias("dataset"),
+            F.col("n").alias("record_count")) for dataset, sql in EARLIER.items())
+
+
+def requirements(spark, root):
+    sql = REQUIREMENT_SQL.replace("{days}", "datediff(max(o_orderdate), min(o_orderdate))")
+    return spark.sql(sql, orders=table(spark, root, "orders"))
+
+
 def measured(spark, root):
-    """Findings, and the measured tables as one fleet row with fixed requirements.
+    """Findings, and the measured tables as one fleet row with their growth and requirements.
 
     Every measurement is stored when it is taken, so the tables are scanned
     once however many scores and lists are drawn from it.
@@ -256,12 +282,12 @@ def measured(spark, root):
         "extra_target_datasets", "not_reconciled_datasets",
     )
     fleet_row = totals.join(states, "database").join(counts, "database", "left").fillna(0)
-    return found, fleet_row.withColumns({
-        "run_id": F.lit(""), "growth_status": F.lit("ANALYZED"),
-        "overall_growth_rate_percent": F.lit(12.5), "retention_days": F.lit(365),
-        "archive_required": F.lit(True), "max_duration_minutes": F.lit(60),
-        "max_downtime_minutes": F.lit(15),
-    })
+    current = duplicates.select("database", "dataset", F.col("total_rows").alias("record_count"))
+    growth = snap.growth_summary(snap.dataset_growth(earlier_inventory(spark, root), current)).select(
+        "database", "growth_status", "overall_growth_rate_percent")
+    needs = scoring.parsed_requirements(requirements(spark, root))
+    return found, fleet_row.join(growth, "database", "left").join(needs, "database", "left").withColumn(
+        "run_id", F.lit(""))
 
 
 RULE_ROWS = ", ".join(
@@ -269,7 +295,18 @@ RULE_ROWS = ", ".join(
     for s, t, pre, c, title in rules.RECOMMENDATION_RULES
 )
 
+GROWTH_SQL = " UNION ALL ".join(
+    f"SELECT '{dataset}' AS dataset, n FROM ({sql.replace('{', '').replace('}', '')}) x"
+    for dataset, sql in EARLIER.items())
+
 DECISION_CTES = r.FINDINGS_CTES + f""",
+earlier AS ({GROWTH_SQL}),
+grown AS (SELECT CASE WHEN count(*) FILTER (WHERE e.dataset IS NOT NULL) > 0 THEN 'ANALYZED'
+                      ELSE 'BASELINE_CREATED' END AS growth_status,
+    round(100.0 * (sum(coalesce(d.total_rows, 0)) - sum(coalesce(e.n, 0))) / sum(coalesce(e.n, 0)), 2) AS rate
+  FROM dups d FULL OUTER JOIN earlier e ON d.dataset = e.dataset),
+needs AS ({REQUIREMENT_SQL.replace('STRING', 'VARCHAR').replace('{orders}', 'orders').replace(
+    '{days}', "date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)")}),
 fleet AS (
 SELECT '' AS run_id, 'source' AS database,
   (SELECT count(*) FROM all_findings WHERE source = 'PROFILING' AND severity = 'HIGH')
@@ -291,8 +328,12 @@ SELECT '' AS run_id, 'source' AS database,
   (SELECT count(*) FROM reconciled WHERE status = 'EXTRA_TARGET_DATASET') AS extra_target_datasets,
   (SELECT count(*) FROM reconciled WHERE status IN ('MISSING_TARGET_DATASET', 'NOT_RECONCILED'))
     AS not_reconciled_datasets,
-  'ANALYZED' AS growth_status, 12.5 AS overall_growth_rate_percent, 365 AS retention_days,
-  true AS archive_required, 60 AS max_duration_minutes, 15 AS max_downtime_minutes,
+  (SELECT growth_status FROM grown) AS growth_status,
+  (SELECT rate FROM grown) AS overall_growth_rate_percent,
+  (SELECT CAST(retention_days AS INTEGER) FROM needs) AS retention_days,
+  (SELECT archive_required = 'true' FROM needs) AS archive_required,
+  (SELECT CAST(max_duration_minutes AS INTEGER) FROM needs) AS max_duration_minutes,
+  (SELECT CAST(max_downtime_minutes AS INTEGER) FROM needs) AS max_downtime_minutes,
   (SELECT CAST(sum(total_rows) AS BIGINT) FROM dups) AS total_rows,
   (SELECT count(*) FROM dups) AS total_datasets,
   (SELECT CAST(sum(total_columns) AS BIGINT) FROM dups) AS total_columns),
@@ -360,3 +401,19 @@ def executive_summary(spark, root):
     assessed = stored(scoring.assess(fleet_row), "assessed")
     counts = advise.recommendation_counts(advise.unordered(found, assessed))
     return summary_row(assessed, counts)
+
+
+@query("governance_recommended", DECISION_CTES + f"""
+SELECT run_id, database,
+  CASE WHEN count(*) FILTER (WHERE {BLOCKING_SQL}) > 0 THEN 'APPROVAL_BLOCKED'
+       WHEN count(*) > 0 THEN 'APPROVAL_WITH_ACTIONS' ELSE 'APPROVAL_READY' END AS governance_decision,
+  count(*) AS total_actions, count(*) AS open_actions,
+  count(*) FILTER (WHERE {BLOCKING_SQL}) AS blocking_actions,
+  count(*) FILTER (WHERE priority = 'CRITICAL') AS critical_actions,
+  count(*) FILTER (WHERE priority = 'HIGH') AS high_actions,
+  count(*) FILTER (WHERE priority = 'MEDIUM') AS medium_actions,
+  count(*) FILTER (WHERE priority = 'LOW') AS low_actions
+FROM recommended GROUP BY run_id, database""")
+def governance_recommended(spark, root):
+    """The decision on the recommendations themselves, with the category rule and their numbers."""
+    return advise.governance(advise.action_plan(recommended(spark, root)))
