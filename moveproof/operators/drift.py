@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from moveproof import rules
 from moveproof.functions.names import strip
 from moveproof.functions.types import physical_type, resolved_type
-from moveproof.operators.ranking import change_numbered
+from moveproof.operators.ranking import change_numbered, numbered
+
+#: Registry positions that are numbered together.
+CHUNK = 10_000
 
 
 def _folded(df: DataFrame) -> DataFrame:
@@ -46,6 +49,19 @@ def schema_drift(registry: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def column_changes(registry: DataFrame, current: DataFrame) -> DataFrame:
+    """(table, column, change): ADDED and REMOVED columns of the current tables, ignoring case, a row each."""
+    tables = current.select("table").distinct()
+    seen = (
+        _folded(registry).join(tables, "table", "left_semi").select("table", "folded", F.lit(True).alias("old"))
+        .unionByName(_folded(current).select("table", "folded", F.lit(False).alias("old")))
+        .groupBy("table", "folded")
+        .agg(F.bool_or("old").alias("was"), F.bool_or(~F.col("old")).alias("is"))
+    )
+    return seen.filter(F.col("was") != F.col("is")).select(
+        "table", F.col("folded").alias("column"), F.when(F.col("is"), "ADDED").otherwise("REMOVED").alias("change"))
+
+
 def schema_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """New, removed and existing columns per table, case-sensitive, in registry order.
 
@@ -81,10 +97,9 @@ def registry_merge(registry: DataFrame, current: DataFrame) -> DataFrame:
         tagged(registry, 0).unionByName(tagged(current, 1))
         .groupBy("table", "folded").agg(F.min("seen").alias("seen"))
     )
-    ordered = first.groupBy("table").agg(F.array_sort(F.collect_list("seen")).alias("columns"))
-    return ordered.select("table", F.posexplode("columns").alias("ordinal", "seen")).select(
-        "table", "ordinal", F.col("seen.column").alias("column")
-    )
+    placed = first.select("table", "seen.*").withColumn("chunk", F.floor(F.col("ordinal") / CHUNK))
+    ranked = numbered(placed, ["table"], ["source", "chunk"], ["ordinal", "column"])
+    return ranked.select("table", (F.col("rank") - 1).cast("int").alias("ordinal"), "column")
 
 
 def schema_versions(log: DataFrame, chunk: str, order: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moveproof.operators.drift import schema_drift
+from moveproof.functions.names import strip
+from moveproof.operators.drift import column_changes
 from moveproof.operators.profile import duplicate_rows, profile_columns, profiling_issues
 from moveproof.operators.shape import quarantine, typed
 from moveproof.operators.snapshot import change_status
@@ -69,28 +70,47 @@ def ingest_files(
     run_available(tagged, checkpoint, apply)
 
 
+BUCKETS = 16
+#: Batches after which a change table folds its log into a new base.
+COMPACT_EVERY = 20
+BASE = "version long"
+
+
 class ChangeTable:
     """A keyed table kept as change batches; reading folds them to the last row per key.
 
-    A batch writes only its own changes, deletions as tombstones. Batch -1 is
-    the base: empty for a new table, the folded state after `compact`. `order`
-    names columns that say which row of a key is later; without them the later
-    batch wins.
+    A batch writes only its own changes, deletions as tombstones, under folders
+    by a hash of the key, so that the state of some keys is read from their
+    buckets alone. Every `compact_every` batches the log so far is folded into a new
+    base, tombstones included, and later reads start from it, so a batch costs
+    no more the longer the stream runs. A base is named in a list when it is complete; a
+    replayed batch starts from the bases before it. `order` names columns that
+    say which row of a key is later; without them the later batch wins.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str],
-        order: list[str] = (),
+        order: list[str] = (), buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY,
     ):
         self.path, self.keys, self.order = path, keys, list(order)
+        self.buckets, self.compact_every = buckets, compact_every
         self.fields = [f.name for f in schema.fields]
         self.schema = T.StructType(
             schema.fields + [T.StructField("is_deleted", T.BooleanType())]
         )
-        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+        spark.createDataFrame([], BASE).write.mode("ignore").parquet(f"{path}/bases")
+        empty = spark.createDataFrame([], self.schema).withColumn("key_bucket", F.lit(0))
+        empty.write.mode("ignore").partitionBy("key_bucket").parquet(f"{path}/log/batch=-1")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        held = rows.select(*self.fields, "is_deleted", self._bucket().alias("key_bucket"))
+        held.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(path)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        _write_batch(rows.select(*self.fields, "is_deleted"), self.path, batch_id)
+        self._write(rows, f"{self.path}/log/batch={batch_id}")
 
     def last_rows(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """One row per key, tombstones included; equal positions are settled by the values."""
@@ -102,22 +122,44 @@ class ChangeTable:
             F.col("last.is_deleted").alias("is_deleted"),
         )
 
+    def _folded(self, spark: SparkSession, before: int | None, only: DataFrame | None) -> DataFrame:
+        bases = spark.read.schema(BASE).parquet(f"{self.path}/bases")
+        if before is not None:
+            bases = bases.filter(F.col("version") <= before)
+        base = bases.agg(F.max("version")).first()[0]
+        layout = T.StructType([*self.schema.fields, T.StructField("key_bucket", T.IntegerType()),
+                               T.StructField("batch", T.LongType())])
+        log = spark.read.schema(layout).option("basePath", f"{self.path}/log").parquet(f"{self.path}/log")
+        log = log.filter(F.col("batch") >= (base or 0))
+        if before is not None:
+            log = log.filter(F.col("batch") < before)
+        rows = log
+        if base is not None:
+            held = T.StructType(layout.fields[:-1])
+            rows = rows.unionByName(spark.read.schema(held).parquet(f"{self.path}/base-{base}")
+                                    .withColumn("batch", F.lit(-1).cast("long")))
+        if only is not None:  # before folding, so other keys are never shuffled
+            touched = [r[0] for r in only.select(self._bucket()).distinct().collect()]  # bucket numbers
+            rows = rows.filter(F.col("key_bucket").isin(touched)).join(only, self.keys, "left_semi")
+        return self.last_rows(rows, [*self.order, "batch"])
+
     def read(
         self, spark: SparkSession, before: int | None = None, only: DataFrame | None = None
     ) -> DataFrame:
         """Current rows, or the state that batches below `before` left, of some keys only."""
-        rows = _earlier(spark, self.path, before, self.schema, keep_batch=True)
-        if only is not None:  # before folding, so other keys are never shuffled
-            rows = rows.join(only, self.keys, "left_semi")
-        folded = self.last_rows(rows, [*self.order, "batch"])
-        return folded.filter(~F.col("is_deleted")).select(*self.fields)
+        return self._folded(spark, before, only).filter(~F.col("is_deleted")).select(*self.fields)
+
+    def fold(self, spark: SparkSession, before: int) -> None:
+        """A new base of all batches below `before`; the log stays for replays."""
+        self._write(self._folded(spark, before, None), f"{self.path}/base-{before}")
+        spark.createDataFrame([(before,)], BASE).write.mode("append").parquet(f"{self.path}/bases")
 
     def compact(self, spark: SparkSession, target: str) -> "ChangeTable":
-        """The folded state as the base of a fresh table."""
+        """The folded state, without tombstones, as the first batch of a fresh table."""
         out = ChangeTable(
-            spark, target, T.StructType(self.schema.fields[:-1]), self.keys, self.order
-        )
-        out.write(self.read(spark).withColumn("is_deleted", F.lit(False)), -1)
+            spark, target, T.StructType(self.schema.fields[:-1]), self.keys, self.order,
+            self.buckets, self.compact_every)
+        out.write(self.read(spark).withColumn("is_deleted", F.lit(False)), 0)
         return out
 
 
@@ -143,6 +185,8 @@ def apply_changes(
         upserts = live.join(changed, table.keys, "left_semi")
         tombstones = rows.filter("is_deleted").join(stored, table.keys, "left_semi")
         table.write(upserts.unionByName(tombstones), batch_id)
+        if batch_id and batch_id % table.compact_every == 0:
+            table.fold(batch.sparkSession, batch_id)
         stored.unpersist()
         rows.unpersist()
 
@@ -169,7 +213,7 @@ def drift_batches(
     stream: DataFrame, table: str, document: str, path: str, checkpoint: str,
     registry: list[str], evolve: bool = True,
 ) -> None:
-    """Keys of each batch's JSON documents against the registry of all earlier batches.
+    """Keys of each batch's JSON documents against the registry of all earlier batches, a row per change.
 
     With `evolve` new keys join the registry and all rows pass; without it
     rows that carry unknown keys are quarantined and the registry stays.
@@ -185,8 +229,13 @@ def drift_batches(
         seen = batch.select(F.explode(keys).alias("column")).distinct().select(
             F.lit(table).alias("table"), "column"
         )
-        _write_batch(schema_drift(known, seen), f"{path}/drift", batch_id)
-        _write_batch(seen, f"{path}/columns", batch_id)
+        changes = column_changes(known, seen).persist()  # read by both writes
+        _write_batch(changes, f"{path}/drift", batch_id)
+        new = changes.filter(F.col("change") == "ADDED").select("table", F.col("column").alias("folded"))
+        folded = seen.withColumn("folded", F.lower(strip(F.col("column"))))
+        _write_batch(folded.join(new, ["table", "folded"], "left_semi").select("table", "column"),
+                     f"{path}/columns", batch_id)  # the registry grows by new columns only
+        changes.unpersist()
         if evolve:
             _write_batch(batch, f"{path}/rows", batch_id)
             return
