@@ -41,23 +41,24 @@ def _slot(col: Column, dtype: T.DataType, utc: bool) -> tuple[str, Column]:
 
 
 def _cells(frames: dict[str, DataFrame]) -> list[DataFrame]:
-    """(dataset, ordinal, value) rows, one frame per kind of value; a missing value is null.
+    """(id, value) rows, one frame per kind of value; a missing value is null.
 
-    Each frame reads only its own columns, so the frames together read every
-    column once, and long texts do not share a hash table with numbers.
+    `id` numbers the columns of all frames in order. Each frame reads only its
+    own columns, so the frames together read every column once, and long texts
+    do not share a hash table with numbers.
     """
+    first = 0
     by_kind: dict[str, list[DataFrame]] = {"whole": [], "real": [], "text": []}
     for name, df in frames.items():
         utc = df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT")
         columns: dict[str, list[Column]] = {}
         for i, f in enumerate(df.schema.fields):
             kind, value = _slot(F.col(f"`{f.name}`"), f.dataType, utc)
-            columns.setdefault(kind, []).append(value.alias(str(i)))
-        for kind, values in columns.items():
-            wide = df.select(*values)
-            by_kind[kind].append(wide.unpivot(
-                [], [f"`{c}`" for c in wide.columns], "ordinal", "value"
-            ).withColumn("dataset", F.lit(name)))
+            cell = F.struct(F.lit(first + i).alias("id"), value.alias("value"))
+            columns.setdefault(kind, []).append(cell)
+        for kind, cells in columns.items():
+            by_kind[kind].append(df.select(F.inline(F.array(*cells))))
+        first += len(df.columns)
     return [union_all(parts) for parts in by_kind.values() if parts]
 
 
@@ -69,7 +70,8 @@ def column_list(spark: SparkSession, frames: dict[str, DataFrame], database: str
     ]
     return literal_rows(
         spark,
-        "database string, dataset string, column string, ordinal int, detected_type string", rows,
+        "id int, database string, dataset string, column string, ordinal int, detected_type string",
+        [(i, *row) for i, row in enumerate(rows)],
     )
 
 
@@ -89,8 +91,8 @@ def profile_columns(
     spark = next(iter(frames.values())).sparkSession
     if exact:
         counts = union_all(
-            cells.groupBy("dataset", "ordinal", "value").agg(F.count(F.lit(1)).alias("copies"))
-            .groupBy("dataset", "ordinal").agg(
+            cells.groupBy("id", "value").agg(F.count(F.lit(1)).alias("copies"))
+            .groupBy("id").agg(
                 F.sum("copies").alias("total_rows"),
                 F.sum(F.when(F.col("value").isNull(), F.col("copies")).otherwise(0))
                 .alias("null_count"),
@@ -99,10 +101,12 @@ def profile_columns(
             for cells in _cells(frames)
         )
     else:
-        counts = union_all(_sketched(df, name) for name, df in frames.items())
-    counts = counts.withColumn("ordinal", F.col("ordinal").cast("int"))
+        starts = [0]
+        for df in frames.values():
+            starts.append(starts[-1] + len(df.columns))
+        counts = union_all(_sketched(df, first) for df, first in zip(frames.values(), starts))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    full = column_list(spark, frames, database).join(counts, ["dataset", "ordinal"], "left").select(
+    full = column_list(spark, frames, database).join(counts, "id", "left").select(
         "database", "dataset", "column", "ordinal", "detected_type",
         *[zero(c).alias(c) for c in ("total_rows", "null_count", "unique_value_count")],
     )
@@ -116,16 +120,16 @@ def profile_columns(
     )
 
 
-def _sketched(df: DataFrame, dataset: str) -> DataFrame:
+def _sketched(df: DataFrame, first: int) -> DataFrame:
     values = [hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(v).alias(f"c{i}") for i, v in enumerate(values)],
         *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)],
     )
-    return row.select(F.lit(dataset).alias("dataset"), F.inline(F.array(*[
+    return row.select(F.inline(F.array(*[
         F.struct(
-            F.lit(i).alias("ordinal"), F.col("n").alias("total_rows"),
+            F.lit(first + i).alias("id"), F.col("n").alias("total_rows"),
             (F.col("n") - F.col(f"c{i}")).alias("null_count"),
             F.col(f"d{i}").alias("unique_value_count"),
         )

@@ -80,7 +80,7 @@ def schema_audit(spark, root):
 
 
 LOG = """SELECT concat('t', CAST(o_custkey AS STRING)) AS "table", o_orderkey, o_orderdate,
-       CAST(year(o_orderdate) AS BIGINT) AS chunk,
+       CAST(o_orderdate AS DATE) AS chunk,
        concat('id', CASE WHEN o_totalprice > 250000 THEN ',amount' ELSE '' END,
               CASE WHEN o_orderstatus = 'F' THEN ',closed_at' ELSE '' END) AS "columns"
 FROM {orders}"""

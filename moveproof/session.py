@@ -57,6 +57,10 @@ def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFra
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
 
 
+#: Folders made for local sessions; they go when the process ends.
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names.
 
@@ -68,7 +72,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="moveproof-")
+        _OWN.append(tempfile.TemporaryDirectory(prefix="moveproof-", ignore_cleanup_errors=True))
+        base = _OWN[-1].name
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
