@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moveproof import rules
 from moveproof.functions.names import strip
+from moveproof.functions.text import comparable
 from moveproof.functions.types import physical_type, resolved_type
 from moveproof.operators.ranking import change_numbered, numbered
 
@@ -179,6 +180,8 @@ def schema_audit(registry: DataFrame, current: DataFrame, run_ts: str) -> DataFr
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key by `order`: a group maximum, so it merges inside every task."""
     rest = [c for c in df.columns if c not in keys]
-    ordered = order + [c for c in rest if c not in order]
-    last = F.max(F.struct(*[F.col(c) for c in ordered])).alias("last")
-    return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rank = F.struct(*[F.col(c) for c in order], *[
+        comparable(F.col(f"`{c}`"), types[c]) for c in rest if c not in order])
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("last")
+    return df.groupBy(*keys).agg(last).select(*keys, *[F.col("last").getField(c).alias(c) for c in rest])

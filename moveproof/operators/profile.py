@@ -174,7 +174,9 @@ def keep_first(df: DataFrame, identity: list[str], order: list[str]) -> DataFram
     types = {f.name: f.dataType for f in df.schema.fields}
     keys = [comparable(F.col(f"`{c}`"), types[c]).alias(f"_k{i}") for i, c in enumerate(identity)]
     rest = [c for c in df.columns if c not in order]
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in order + rest])).alias("first")
+    rank = F.struct(*[comparable(F.col(f"`{c}`"), types[c]) if c in rest or isinstance(types[c], T.MapType)
+                      else F.col(f"`{c}`") for c in order + rest])  # a map cannot be ordered itself
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), rank).alias("first")
     grouped = df.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("copies"))
     return grouped.select(*[F.col("first").getField(c).alias(c) for c in df.columns], "copies")
 

@@ -58,8 +58,10 @@ def tidied_sql(expr: str) -> str:
     return f"nullif(regexp_replace({inner}, '^_+|_+$', '', 'g'), '')"
 
 
+# what the query's user overrides, for names that the style would spell otherwise
+OVERRIDES = {"CustomerID": "client_number", "ContactEmail": "mail"}
 OVERRIDE_SQL = "CASE lower(name) " + " ".join(
-    f"WHEN '{k.lower()}' THEN '{v}'" for k, v in rules.COLUMN_OVERRIDES.items()
+    f"WHEN '{k.lower()}' THEN '{v}'" for k, v in OVERRIDES.items()
 ) + " END"
 TARGET_SQL = f"coalesce({OVERRIDE_SQL}, {tidied_sql(f'lower({words(replaced_sql('name'))})')})"
 RESOLVED = with_variants("names") + f""",
@@ -68,7 +70,7 @@ resolved AS (SELECT "table", ordinal, name, {TARGET_SQL} AS target FROM names)""
 
 def resolved(spark, root):
     return variant(spark, root, "names").withColumn("target", nm.resolved(
-        F.col("name"), "snake_case", rules.CHARACTER_REPLACEMENTS, rules.COLUMN_OVERRIDES
+        F.col("name"), "snake_case", rules.CHARACTER_REPLACEMENTS, OVERRIDES
     ))
 
 
@@ -110,12 +112,15 @@ def resolve_collisions(spark, root):
     return shape.resolve_collisions(chained(spark, root), chunk_width=500)
 
 
-@query("empty_names", RESOLVED + """
-SELECT "table", ordinal, name, 'EMPTY_NAME' AS issue_type, 'HIGH' AS severity
-FROM resolved WHERE target IS NULL""")
+@query("empty_names", with_variants("names") + """
+SELECT "table", ordinal, ' *__* ' AS name, 'EMPTY_NAME' AS issue_type, 'HIGH' AS severity
+FROM names WHERE ordinal % 17 = 0""")
 def empty_names(spark, root):
-    return shape.empty_names(resolved(spark, root), "target").select(
-        "table", "ordinal", "name", "issue_type", "severity")
+    """Some names hold nothing but characters that clean-up takes away."""
+    blank = F.when(F.col("ordinal") % 17 == 0, " *__* ").otherwise(F.col("name"))
+    names = variant(spark, root, "names").withColumn("name", blank).withColumn("target", nm.resolved(
+        F.col("name"), "snake_case", rules.CHARACTER_REPLACEMENTS, OVERRIDES))
+    return shape.empty_names(names, "target").select("table", "ordinal", "name", "issue_type", "severity")
 
 
 NORMAL = "regexp_replace(regexp_replace(lower({0}), '_+', '_', 'g'), '^_+|_+$', '', 'g')"

@@ -96,19 +96,6 @@ BLOCKING_CATEGORIES = ("MIGRATION_COMPLETENESS", "SCHEMA_RECONCILIATION")
 
 # --- fixed values: names and types --------------------------------------------
 CHARACTER_REPLACEMENTS = [(" ", "_"), ("-", "_"), (".", "_"), ("@", "_"), ("#", "_"), ("*", "")]
-TABLE_OVERRIDES = {"Customer Records": "customers", "Supplier Master": "suppliers"}
-COLUMN_OVERRIDES = {
-    "CustomerID": "customer_id",
-    "FirstName": "first_name",
-    "LastName": "last_name",
-    "EmailAddr": "email",
-    "Phone": "phone",
-    "SupplierCode": "supplier_id",
-    "SupplierName": "supplier_name",
-    "ContactEmail": "email",
-    "ContactPhone": "phone",
-    "City": "city",
-}
 
 DEFAULT_LOGICAL_TYPE = "TEXT"
 PHYSICAL_TYPES = {
@@ -145,4 +132,5 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# tables that schema-change tools keep in every database they manage; no user data
 SYSTEM_TABLES = ("databasechangelog", "databasechangeloglock")

@@ -50,7 +50,7 @@ def test_resolved_names(rows):
     wanted = ["123_customer", "customer_name", "customer_name", "customer_id", "customer_id",
               "customer_name", None, "email", "phone"]
     assert rows(names, lambda c: nm.resolved(
-        c, "snake_case", rules.CHARACTER_REPLACEMENTS, rules.COLUMN_OVERRIDES)) == wanted
+        c, "snake_case", rules.CHARACTER_REPLACEMENTS, {"EmailAddr": "email", "Phone": "phone"})) == wanted
 
 
 def test_suffixes():

@@ -207,3 +207,13 @@ def test_sketch_is_close(spark, root):
     for c, row in exact.items():
         assert near[c]["null_count"] == row["null_count"]
         assert math.isclose(near[c]["unique_value_count"], row["unique_value_count"], rel_tol=0.15)
+
+
+def test_first_rows_of_tables_with_maps(spark):
+    from moveproof.operators import drift
+
+    df = spark.sql("SELECT id % 2 AS k, id AS n, map('a', id) AS m FROM range(6)")
+    got = {r["k"]: (r["n"], r["m"], r["copies"]) for r in p.keep_first(df, ["k"], ["n"]).collect()}
+    assert got == {0: (0, {"a": 0}, 3), 1: (1, {"a": 1}, 3)}
+    last = {r["k"]: r["m"] for r in drift.latest_per_key(df, ["k"], ["n"]).collect()}
+    assert last == {0: {"a": 4}, 1: {"a": 5}}
