@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moveproof.session import stored as stored  # noqa: F401
 
 LAST_ID = (1 << 63) - 1
+BATCH_BYTES = "16m"
+
+
+#: Per application the folder whose archive its executors fetch; kept as long as this process.
+_sent: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def send_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as `--py-files` would.
+
+    Tasks import the operators' modules by name, wherever the driver found them. The
+    batches of texts that tasks exchange with Python are bounded too.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.TemporaryDirectory(prefix="moveproof-code-", ignore_cleanup_errors=True)
+    copy = os.path.join(folder.name, "code")
+    shutil.copytree(os.path.join(root, "moveproof"), os.path.join(copy, "moveproof"),
+                    ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(os.path.join(folder.name, "moveproof"), "zip", copy)
+    context.addPyFile(os.path.realpath(archive))
+    _sent[context.applicationId] = folder
 
 
 def identified(

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import stored
+from moveproof.llm.frames import send_code, stored
 
 HEAD = 1 << 18
 HEAD_CLASSES = 1 << 14
@@ -301,6 +301,7 @@ def hmm_scores(
 
     `held_out` marks the rows that nothing is learned from.
     """
+    send_code(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import stored
+from moveproof.llm.frames import send_code, stored
 
 BINS = 16
 FEATURES = ("symbols", "capitals", "repeats", "distinct", "word_length", "sentence_ends", "bare_marks", "length")
@@ -173,6 +173,7 @@ def classify(
 
     Labels of rows that are held out are not looked at.
     """
+    send_code(docs.sparkSession)
     found = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"),

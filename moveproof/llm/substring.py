@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, power_of_two, public_id, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, power_of_two, public_id, send_code, stored, text_bytes
 
 WINDOW = 50
 GRAM = 18
@@ -192,6 +192,7 @@ def dedup_substrings(
     text with each removed run and the white space after it cut out, all
     else as it was.
     """
+    send_code(docs.sparkSession)
     own = {f"carried_{i}": column for i, column in enumerate(carry)}
     found = identified(docs, id_col, text_col, **own)
     marks = marked_windows(found, window, gram, hot, most_cells)
