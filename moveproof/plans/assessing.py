@@ -283,9 +283,9 @@ def measured(spark, root):
     )
     fleet_row = totals.join(states, "database").join(counts, "database", "left").fillna(0)
     current = duplicates.select("database", "dataset", F.col("total_rows").alias("record_count"))
-    growth = snap.growth_summary(snap.dataset_growth(earlier_inventory(spark, root), current)).select(
-        "database", "growth_status", "overall_growth_rate_percent")
-    needs = scoring.parsed_requirements(requirements(spark, root))
+    growth = stored(snap.growth_summary(snap.dataset_growth(earlier_inventory(spark, root), current)).select(
+        "database", "growth_status", "overall_growth_rate_percent"), "growth")
+    needs = stored(scoring.parsed_requirements(requirements(spark, root)), "requirements")
     return found, fleet_row.join(growth, "database", "left").join(needs, "database", "left").withColumn(
         "run_id", F.lit(""))
 
