@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, power_of_two, public_id, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, power_of_two, public_id, send_code, stored, text_bytes
 
 LENGTH = 400
 GRAM = 145
-HOT = 4096
+#: Occurrences of an anchor from which its windows are counted one by one; bounds a group to 11 MB.
+HOT = 1 << 14
 SALTS = 16
 MOST_CELLS = 1 << 28
 #: Longer texts are read in pieces of so many window starts.
@@ -306,6 +307,7 @@ def dedup_bytes(
     id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; on request key and kept bytes."""
+    send_code(docs.sparkSession)
     found = identified(docs, id_col, text_col)
     marks = marked_windows(found, length, gram, hot, most_cells)
     per_doc = marks.groupBy("id", "key").agg(F.collect_list(F.struct("start", "flags")).alias("marks"))
