@@ -8,11 +8,13 @@ Shingles are ordered rare first, by the counts of a one-row sketch and then by
 hash; any total order gives right results. A set sends the first tokens of its
 order, enough for every set it can link with to share one (the shorter of two
 sets needs fewer). Per token, a length and a positional filter drop pairs that
-cannot reach the overlap; a suffix filter on token histograms drops more; each
+cannot reach the overlap. The suffix filter compares the sets by parity sketches,
+a bit per class of tokens that tells whether the set holds an odd number of
+them: two sketches differ in at most as many bits as the sets in tokens. Each
 pair left is verified once on the full sets.
 
 Equal sets are one node. Within a token's list each node is first paired with
-pivots only, and of these pairs each node verifies the most promising one;
+a few pivots only, and of these pairs each node verifies the most promising;
 what this links becomes one component. A second round pairs all nodes of
 different components that share a token and pass the filters, so no link
 between components is lost, and groups of near copies are not expanded into
@@ -31,19 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, public_id, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, public_id, send_code, stored, text_bytes
 from moveproof.llm.graph import components
 
 SIZE = 5
 PERCENT = 80
 ORDER_CELLS = 1 << 20
 MEMBER_CELLS = 1 << 27
-BUCKETS = 32
-PIVOTS = 2
+#: Bits of a set's parity sketch.
+PARITY_BITS = 512
+PIVOTS = 4
+#: Pairs with pivots that each node verifies in the first round.
+TRIES = 3
 #: Pairs that a task holds before it sends them on.
 PAIR_BLOCK = 1 << 18
 
-FACTS = "id long, key long, name long, node long, n long, histogram binary"
+FACTS = "id long, key long, name long, node long, n long, parity binary"
 POSTING = "token long, node long, n int, place int"
 
 
@@ -91,15 +96,16 @@ def _facts(size):
         for batch, texts in W.sliced(batches):
             shingles, lengths = shingle_sets(texts, size)
             nodes = nodes_of(shingles, lengths)
-            cell = np.repeat(np.arange(len(lengths)), lengths) * BUCKETS + (
-                shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-            histogram = np.bincount(cell, minlength=len(lengths) * BUCKETS).astype("<u4")
+            cell = np.repeat(np.arange(len(lengths)), lengths) * PARITY_BITS + (
+                shingles >> np.uint64(65 - PARITY_BITS.bit_length())).astype(np.int64)
+            odd = np.bincount(cell, minlength=len(lengths) * PARITY_BITS) & 1
+            parity = np.packbits(odd.astype(bool))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("key"), pa.array(_names(batch).view(np.int64)),
                  pa.array(nodes.view(np.int64)),
                  pa.array(lengths.astype(np.int64)),
-                 W.binary(histogram, np.full(len(lengths), BUCKETS))],
-                ["id", "key", "name", "node", "n", "histogram"])
+                 W.binary(parity, np.full(len(lengths), PARITY_BITS // 8))],
+                ["id", "key", "name", "node", "n", "parity"])
     return rows
 
 
@@ -152,6 +158,12 @@ def can_link(nx, ny, px, py, percent):
     return (100 * short >= percent * long) & (1 + np.minimum(nx - px, ny - py) - 1 >= need) & (place < index)
 
 
+def differ_little(px, py, nx, ny, percent):
+    """Suffix filter: parity sketches that differ in no more bits than linked sets may in tokens."""
+    apart = np.bitwise_count(px ^ py).sum(1, dtype=np.int64)
+    return apart <= nx + ny - 2 * least_overlap(nx, ny, percent)
+
+
 def _pairs_batch(a, b, kind):
     low, high = np.minimum(a, b), np.maximum(a, b)
     pairs, count = np.unique(np.stack([low, high], 1), axis=0, return_counts=True)
@@ -204,8 +216,10 @@ def _cross_pairs(percent):
         for table in W.whole_groups(batches, "token", 1 << 14):
             token, node, comp = (table.column(c).to_numpy() for c in ("token", "node", "comp"))
             n, place = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place"))
+            parity = W.flat(W.column_of(table, "parity"), np.uint8)[0].reshape(len(token), -1)
             order = np.lexsort((n, token))
             token, node, comp, n, place = token[order], node[order], comp[order], n[order], place[order]
+            parity = parity[order]
             edge = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
             end = np.repeat(np.append(edge[1:], len(token)), np.diff(edge, append=len(token)))
             # sorted by length: a set's partners of at least its length end where they get too long
@@ -220,6 +234,8 @@ def _cross_pairs(percent):
                 x = np.repeat(np.arange(at, min(upto, len(token))), many[at:upto])
                 y = W.ranges(np.arange(at, min(upto, len(token))) + 1, many[at:upto])
                 good = (comp[x] != comp[y]) & can_link(n[x], n[y], place[x], place[y], percent)
+                x, y = x[good], y[good]
+                good = differ_little(parity[x], parity[y], n[x], n[y], percent)
                 held_a.append(node[x[good]])
                 held_b.append(node[y[good]])
                 held += int(good.sum())
@@ -233,16 +249,13 @@ def _cross_pairs(percent):
 
 
 def _suffix_filter(percent):
-    """Drop pairs whose histograms differ by more than the sets may."""
     def rows(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            hists = [W.flat(batch.column(c), "<u4")[0].reshape(n, -1).astype(np.int64) for c in ("ha", "hb")]
-            x, y = hists[0].sum(1), hists[1].sum(1)
-            apart = np.abs(hists[0] - hists[1]).sum(1)
-            good = apart <= x + y - 2 * least_overlap(x, y, percent)
+            pa_, pb = (W.flat(batch.column(c), np.uint8)[0].reshape(batch.num_rows, -1) for c in ("pa", "pb"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            good = differ_little(pa_, pb, na, nb, percent)
             yield batch.select(["a", "b", "shared"]).filter(pa.array(good))
     return rows
 
@@ -297,13 +310,14 @@ def jaccard_join(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A row per document: doc_id, key, n_shingles, component_id, is_first (one row of each component)."""
+    send_code(docs.sparkSession)
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     found = identified(docs, id_col, text_col)
     facts = stored(found.mapInArrow(_facts(size), FACTS), "shingle-facts")
     firsts = stored(
         facts.filter("n > 0").groupBy("node").agg(
-            F.min(F.struct("id", "key", "name")).alias("f"), F.min("histogram").alias("histogram"),
-        ).select("node", "histogram", "f.*"), "nodes")
+            F.min(F.struct("id", "key", "name")).alias("f"), F.min("n").alias("n"), F.min("parity").alias("parity"),
+        ).select("node", "n", "parity", "f.*"), "nodes")
     levels = context.broadcast(sketch.frequencies(found.select("text"), _shingles(size), ORDER_CELLS))
     n_tokens = text_bytes(found) / 6 * (1 - percent / 100)
     parts = partitions(docs, n_tokens * 24)
@@ -315,8 +329,10 @@ def jaccard_join(
     pairs = listed.filter("kind = 1").groupBy(F.col("token").alias("a"), F.col("node").alias("b")).agg(
         F.sum("shared").alias("shared"))
     near = stored(_filtered(pairs, firsts, percent), "candidates")
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).unionByName(
-        near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))).distinct()
+    # a pivot is the lesser node of its pairs, so choosing by the greater one covers every node
+    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, TRIES)
+                                 .alias("tries")).select("b", F.explode("tries").alias("t")).select("t.a", "b")
+    best = stored(best, "tries")
     links = _verified(best, found, firsts, size, percent)
     labels = components(links).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
@@ -325,15 +341,16 @@ def jaccard_join(
     labelled = stored(labelled, "labelled")
     mixed = stored(labelled.groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).filter(
         "l < h").select("token"), "mixed")
+    sketches = firsts.select("node", "parity")
     cross = (
-        labelled.join(mixed, "token", "left_semi")
-        .select("token", "node", "n", "place", "comp")
+        labelled.join(mixed, "token", "left_semi").join(sketches, "node")
+        .select("token", "node", "n", "place", "comp", "parity")
         .repartition(parts, "token").sortWithinPartitions("token")
         .mapInArrow(_cross_pairs(percent), POSTING + ", shared int, kind int")
         .groupBy(F.col("token").alias("a"), F.col("node").alias("b")).agg(F.sum("shared").alias("shared"))
     )
     tried = best.select("a", "b")
-    rest = _filtered(cross, firsts, percent).join(tried, ["a", "b"], "left_anti")
+    rest = cross.join(tried, ["a", "b"], "left_anti")
     more = _verified(rest, found, firsts, size, percent)
     final = components(links.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
@@ -352,6 +369,8 @@ def jaccard_join(
 
 
 def _filtered(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    sides = [firsts.select(F.col("node").alias(n), F.col("histogram").alias("h" + n)) for n in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "shared", "ha", "hb").mapInArrow(
+    sides = [firsts.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("parity").alias("p" + x))
+             for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", "shared", "na", "nb", "pa", "pb").mapInArrow(
         _suffix_filter(percent), "a long, b long, shared long")
