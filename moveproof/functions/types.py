@@ -71,20 +71,21 @@ def _shape(value: Column) -> Column:
 def detect_types(df: DataFrame, dataset: str) -> DataFrame:
     """The narrowest logical type that every non-blank value of each text column fits.
 
-    One scan and one row per task: the shapes of each column's values are OR-ed
-    where they are read. A column with no value at all is TEXT.
+    One scan: rows become (column number, value) pairs that are folded to one
+    row per column inside each task, so only columns x tasks rows are shuffled.
+    A column with no value at all is TEXT.
     """
-    folds = []
-    for i, c in enumerate(df.columns):
-        value = strip(F.col(f"`{c}`").cast("string"))
-        filled = F.when(value != "", value)
-        folds += [F.count(filled).alias(f"n{i}"),
-                  F.bit_or(F.when(filled.isNotNull(), _shape(value))).alias(f"s{i}")]
-    folded = df.agg(*folds).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"n{i}").alias("filled_values"),
-                 F.coalesce(F.col(f"s{i}"), F.lit(_OTHER)).alias("shapes"))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), strip(F.col(f"`{c}`").cast("string")).alias("value"))
         for i, c in enumerate(df.columns)
     ])))
+    filled = F.when(F.col("value") != "", F.col("value"))
+    folded = pairs.groupBy("ordinal").agg(
+        F.count(filled).alias("filled_values"),
+        F.coalesce(F.bit_or(F.when(filled.isNotNull(), _shape(F.col("value")))), F.lit(_OTHER))
+        .alias("shapes"),
+    ).withColumn("column", F.element_at(names, F.col("ordinal") + 1))
     shapes = F.col("shapes")
     detected = (
         F.when(shapes == _INTEGER, "INTEGER")
