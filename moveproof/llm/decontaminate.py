@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, public_id
+from moveproof.llm.frames import identified, public_id, send_code
 
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
@@ -312,6 +312,7 @@ def contaminated(
 
     The benchmark is the stated query set: its texts and vectors are broadcast.
     """
+    send_code(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = identified(docs, id_col, text_col)
     answer = F.col(f"`{answer_col}`").cast("string") if answer_col else F.lit(None).cast("string")
@@ -330,7 +331,7 @@ def contaminated(
     sample = found.select("id", "text")
     if total > sample_docs:
         sample = sample.filter(F.pmod(F.xxhash64("id"), F.lit(total)) < sample_docs)
-    space = latent_space(sample.repartition(SAMPLE_TASKS, "id"), texts, idf)
+    space = latent_space(sample.repartition(SAMPLE_TASKS), texts, idf)
     known = context.broadcast(Items([r["i"] for r in asked], *split, space, idf))
     pairs = found.mapInArrow(_searched(known, cosine), schema).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")
