@@ -10,8 +10,13 @@ It is fitted on the benchmark items and on a sample of at most `SAMPLE_DOCS`
 documents, chosen by a hash of their id; every passage of every document is
 then searched.
 
+Words of many documents weigh `COMMON_WEIGHT` of that, not nothing: a leak makes the item's own
+words frequent, and an item may have no others.
+
 A passage is a candidate for an item if the cosine of its tf-idf vector and the
-item's latent vector is `COSINE` or more. Candidates are checked in the document's words around the
+item's latent vector is `COSINE` or more, or if `SEED` consecutive words that start in it are
+consecutive in the item too (all words of an item with fewer). The second holds for every
+verbatim copy, whatever its words weigh. Candidates are checked in the document's words around the
 passage: if the longest common subsequence with some stretch of 1.25 times the
 item's length holds `SURE` of the item's words, the document is contaminated; if it holds
 `LIKELY` of them, it is a paraphrase if it has the answer too, in the
@@ -39,8 +44,10 @@ RANK = 64
 OVERSAMPLE = 16
 SAMPLE_DOCS = 1500
 SAMPLE_TASKS = 4
-#: Features in more than this share of the documents (and in 20) weigh nothing.
-COMMON = 0.02
+#: Features in more than this share of the documents (and in 20) weigh this part of their idf.
+COMMON, COMMON_WEIGHT = 0.02, 0.1
+#: Consecutive words in common with an item that make a passage a candidate without the cosine.
+SEED = 3
 #: Weight of a benchmark item's row against a passage's in the fit.
 ITEM_WEIGHT = 30.0
 COSINE = 0.17
@@ -74,7 +81,7 @@ def _distinct(batches):
 
 
 def inverse_frequency(counts: np.ndarray, total: int) -> np.ndarray:
-    return np.where(counts > max(20, COMMON * total), 0.0, np.log1p(total / (counts + 1)))
+    return np.log1p(total / (counts + 1)) * np.where(counts > max(20, COMMON * total), COMMON_WEIGHT, 1.0)
 
 
 def blocks_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,22 +256,60 @@ def likely_words(item: np.ndarray, words: np.ndarray) -> bool:
     return sum(w in there for w in item.tolist()) >= LIKELY * len(item)
 
 
+class Seeds:
+    """The items' runs of SEED words, sorted by hash, with the items of each; shorter items are one run."""
+
+    BITS = 20
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.runs = []
+        for size in range(1, SEED + 1):
+            own = [i for i, h in enumerate(hashes) if min(len(h), SEED) == size]
+            if own:
+                grams = [np.unique(W.window_hashes(hashes[i], size)) for i in own]
+                items = np.repeat(np.array(own), [len(g) for g in grams])
+                flat = np.concatenate(grams)
+                order = np.argsort(flat, kind="stable")
+                there = np.zeros(1 << self.BITS, bool)
+                there[flat >> np.uint64(64 - self.BITS)] = True
+                self.runs.append((size, flat[order], items[order], there))
+
+    def found(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of runs inside one text that items have, and the item, for each such pair."""
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, known, of, there in self.runs:
+            grams = W.window_hashes(hashes, size)
+            at = np.flatnonzero(there[grams >> np.uint64(64 - self.BITS)])
+            low, high = (np.searchsorted(known, grams[at], side) for side in ("left", "right"))
+            inside = at + size <= bounds[np.searchsorted(bounds, at, "right")]
+            n = np.where(inside, high - low, 0)
+            places.append(np.repeat(at, n))
+            items.append(of[W.ranges(low, n)])
+        return np.concatenate(places), np.concatenate(items)
+
+
 class Items:
     """What a task needs of the benchmark and the latent space."""
 
     def __init__(self, ids, hashes, answers, space, idf):
         self.ids, self.hashes, self.answers, self.space = ids, hashes, answers, space
         self.idf = idf.astype(np.float32)
+        self.seeds = Seeds(hashes)
         sums = [space[feature_of(h)].sum(0) if len(h) else np.zeros(space.shape[1]) for h in hashes]
         self.vectors = unit(np.array(sums).reshape(len(ids), space.shape[1])).astype(np.float32)
 
 
 def candidates(items: Items, hashes, bounds, cosine: float):
-    """(passage start, text, item, cosine) of passages whose cosine with an item reaches the bound."""
+    """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed."""
     vectors, starts, of = passage_vectors(items.space, items.idf, hashes, bounds)
+    at, seeded = items.seeds.found(hashes, bounds)
+    at = np.searchsorted(starts, at, "right") - 1
     for low in range(0, len(items.ids), ITEM_BLOCK):
         near = vectors @ items.vectors[low:low + ITEM_BLOCK].T
-        passage, item = np.nonzero(near >= cosine)
+        chosen = near >= cosine
+        own = (seeded >= low) & (seeded < low + ITEM_BLOCK)
+        chosen[at[own], seeded[own] - low] = True
+        passage, item = np.nonzero(chosen)
         for p, i in zip(passage.tolist(), item.tolist()):
             yield int(starts[p]), int(of[p]), low + i, float(near[p, i])
 

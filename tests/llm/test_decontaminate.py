@@ -109,3 +109,41 @@ def test_query_against_brute_force(spark, root):
                 if share >= D.SURE or D.best_stretch(answers[i], w) >= D.ANSWER:
                     want.add((d.doc_id, items[i].item_id))
     assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_items_that_leaked_often_or_have_common_words_only_are_found(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else f"v{rng.randrange(6000)}"
+    often = [f"w{i}" for i in range(25)]
+    items = [(1, " ".join(often)), (2, " ".join(rng.choice(common) for _ in range(24))), (3, "c7 c3"), (4, "never said so")]
+    rows, want = [], set()
+    for d in range(400):
+        text = [word() for _ in range(rng.randint(40, 120))]
+        leak = None
+        if d < 150:  # every third of them with some words changed
+            leak = (1, [w if d % 3 or i % 6 else word() for i, w in enumerate(often)])
+        elif d < 160:
+            leak = (2, items[1][1].split())
+        if leak:
+            want.add((d, leak[0]))
+            text[20:20] = leak[1]
+        rows.append((d, " ".join(text)))
+        want |= {(d, 3) for a, b in zip(text, text[1:]) if (a, b) == ("c7", "c3")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(
+        docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {w for w in want if w[1] != 3} == {g for g in got if g[1] != 3}
+    assert {w for w in want if w[1] == 3} <= got
+
+
+def test_seeds_against_brute_force():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 1, 2, 40, 3, 0, 60)]
+    items = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 1, 2, 5, 30)] * 2
+    hashes, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    place, item = D.Seeds(items).found(hashes, bounds)
+    want = {(int(bounds[t]) + p, i) for t, text in enumerate(texts) for i, own in enumerate(items)
+            for size in [min(D.SEED, len(own))] if size for p in range(len(text) - size + 1)
+            for q in range(len(own) - size + 1) if (text[p:p + size] == own[q:q + size]).all()}
+    assert set(zip(place.tolist(), item.tolist())) == want and len(place) == len(want)
