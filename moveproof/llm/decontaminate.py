@@ -3,10 +3,11 @@
 Documents are cut into passages of `PASSAGE` words that overlap by half. Words
 (A-Z lower-cased, marks at the ends left off) are hashed into `FEATURES`
 coordinates and weighted by their inverse document frequency over all
-documents. A randomised SVD of the passage matrix gives the latent space: the
-tasks multiply their rows with a random matrix, the small Gram matrix of the
-result orthonormalises it, and the tasks project their rows onto that basis.
-It is fitted on the benchmark items and on a sample of at most `SAMPLE_DOCS`
+documents. A randomised SVD of the passage matrix and the items gives the latent space, one for each
+`ITEM_BLOCK` items, as an item keeps its length only where the space has dimensions for it: the
+tasks multiply their rows with a random matrix and the result with their rows again. That sum
+is the same for all spaces; each adds its own items to it, orthonormalises by the small Gram
+matrix and projects. It is fitted on the benchmark items and on a sample of at most `SAMPLE_DOCS`
 documents, chosen by a hash of their id; every passage of every document is
 then searched.
 
@@ -29,6 +30,8 @@ no documents give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,7 @@ FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
 PASSAGE = 32
 RANK = 64
-OVERSAMPLE = 16
+SIZE = RANK + 16
 SAMPLE_DOCS = 1500
 SAMPLE_TASKS = 4
 #: Features in more than this share of the documents (and in 20) weigh this part of their idf.
@@ -53,8 +56,10 @@ ITEM_WEIGHT = 30.0
 COSINE = 0.17
 SURE, LIKELY, ANSWER = 0.8, 0.55, 0.8
 STRETCH = 1.25
-#: Items that are compared with a slice's passages at a time.
-ITEM_BLOCK = 2048
+#: Items that share a latent space, fewer than it has dimensions.
+ITEM_BLOCK = 40
+#: Items that one pass over the documents searches for; a task holds a number per feature for each.
+ITEM_PASS = 400
 
 
 def words_and_hashes(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -92,50 +97,63 @@ def blocks_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(bounds[:-1], n) + half * W.ranges(np.zeros(len(n), np.int64), n), of
 
 
-def passage_vectors(space: np.ndarray, idf: np.ndarray, hashes: np.ndarray, bounds: np.ndarray):
-    """Each passage's latent vector over its whole tf-idf length; its first word; and its text.
+def sums_of(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over consecutive short runs of `rows` that begin at `starts`.
+
+    The runs' first rows are added at once, then their second ones, and so on.
+    """
+    length = np.diff(starts, append=len(rows))
+    order = np.argsort(-length, kind="stable")
+    first, longer = starts[order], np.searchsorted(-length[order], -np.arange(1, length.max(initial=0)), "left")
+    total = np.take(table, rows[first], axis=0)
+    held = np.empty_like(total)
+    for k, n in enumerate(longer.tolist(), 1):
+        total[:n] += np.take(table, rows[first[:n] + k], axis=0, out=held[:n], mode="clip")
+    out = held
+    out[order] = total
+    return out
+
+
+class Passages:
+    """A slice's passages: their first words, texts, and whole tf-idf lengths.
 
     The length counts the words outside the latent space too, so a passage that
     shares one word with an item is not taken for it.
     """
-    starts, of = blocks_of(bounds)
-    features = feature_of(hashes)
-    weight = idf[features]
-    heavy = np.flatnonzero(weight)
-    before = np.searchsorted(heavy, np.append(starts, len(hashes)))
-    low, full = before[:-1], np.diff(before) > 0
-    sums = np.zeros((len(starts), space.shape[1]), np.float32)
-    squares = np.zeros(len(starts), np.float32)
-    if full.any():
-        sums[full] = np.add.reduceat(space[features[heavy]], low[full], axis=0)
-        squares[full] = np.add.reduceat(weight[heavy] ** 2, low[full])
-    same = np.flatnonzero(of[1:] == of[:-1])
-    ahead, more = sums[same + 1], squares[same + 1]
-    sums[same] += ahead
-    squares[same] += more
-    return sums / np.sqrt(np.maximum(squares, 1e-12))[:, None], starts, of
+
+    def __init__(self, idf: np.ndarray, hashes: np.ndarray, bounds: np.ndarray):
+        self.starts, self.of = blocks_of(bounds)
+        self.features = feature_of(hashes)
+        self.same = np.flatnonzero(self.of[1:] == self.of[:-1])
+        weight = idf[self.features]
+        squares = np.add.reduceat(weight * weight, self.starts) if len(self.starts) else np.zeros(0, np.float32)
+        self.length = np.sqrt(np.maximum(self._whole(squares), 1e-12))
+
+    def _whole(self, sums: np.ndarray) -> np.ndarray:
+        """Sums over half passages to those over passages."""
+        sums[self.same] += sums[self.same + 1]
+        return sums
+
+    def vectors(self, space: np.ndarray) -> np.ndarray:
+        return self._whole(sums_of(space, self.features, self.starts)) / self.length[:, None]
+
+
+def passage_vectors(space: np.ndarray, idf: np.ndarray, hashes: np.ndarray, bounds: np.ndarray):
+    """Each passage's latent vector over its whole tf-idf length; its first word; and its text."""
+    found = Passages(idf, hashes, bounds)
+    return found.vectors(space), found.starts, found.of
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _rows(texts: W.Texts, idf: np.ndarray, whole: bool):
-    """Unit tf-idf rows as (row of each entry, feature, value): passages, or whole texts."""
+def _rows(texts: W.Texts, idf: np.ndarray):
+    """Unit tf-idf rows of whole texts as (row of each entry, feature, value, number of rows)."""
     hashes, bounds = words_and_hashes(texts)
-    if whole:
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    else:
-        starts, of = blocks_of(bounds)
-        block = np.searchsorted(starts, np.arange(len(hashes)), "right") - 1
-        ahead = block > 0
-        ahead[ahead] = of[block[ahead] - 1] == of[block[ahead]]
-        row = np.concatenate([block, block[ahead] - 1])
-        hashes = np.concatenate([hashes, hashes[ahead]])
-    n = int(row.max()) + 1 if len(row) else 0
-    feature = feature_of(hashes)
-    heavy = idf[feature] > 0
-    key, count = np.unique(row[heavy] << FEATURE_BITS | feature[heavy], return_counts=True)
+    n = len(bounds) - 1
+    row, feature = np.repeat(np.arange(n), np.diff(bounds)), feature_of(hashes)
+    key, count = np.unique(row << FEATURE_BITS | feature, return_counts=True)
     row, feature = key >> FEATURE_BITS, key & (FEATURES - 1)
     value = (count * idf[feature]).astype(np.float32)
     norm = np.sqrt(np.bincount(row, value * value, minlength=n))
@@ -155,34 +173,41 @@ def _times(row, feature, value, n, matrix):
     return out
 
 
-def _gram(known, size):
-    """Sum of y y' over the rows y of the passage matrix times the random one."""
-    def rows(batches):
-        basis, total = random_basis(size), np.zeros((size, size))
-        for batch, texts in W.sliced(batches):
-            y = _times(*_rows(texts, known.value, False), basis)
-            total += (y.T @ y).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["part", "sums"])
-    return rows
-
-
-def _projected(known, size):
-    """Sum of q a' over rows: the passage matrix seen from the orthonormal basis, by blocks of features."""
+def _by_key(table: np.ndarray, rows: np.ndarray, keys: np.ndarray):
+    """The distinct keys and, for each, the sum of the table's rows; keys are ascending."""
+    while True:
+        edge = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = -(-np.diff(edge, append=len(keys)) // PASSAGE)
+        starts = np.repeat(edge, n) + PASSAGE * W.ranges(np.zeros(len(n), np.int64), n)
+        table, keys = sums_of(table, rows, starts), keys[starts]
+        if len(keys) == len(edge):
+            return keys, table
+        rows = np.arange(len(keys))
+
+
+def seen_by(basis: np.ndarray, idf: np.ndarray, slices) -> np.ndarray:
+    """Sum of a (a' basis) over the rows a of the passage matrix: features by columns of the basis."""
+    weighted, total = basis * idf[:, None], np.zeros(basis.shape)
+    for texts in slices:
+        found = Passages(idf, *words_and_hashes(texts))
+        if len(found.starts):
+            own = found.vectors(weighted) / found.length[:, None]
+            both = own.copy()
+            both[found.same + 1] += own[found.same]
+            half = np.repeat(np.arange(len(found.starts)), np.diff(found.starts, append=len(found.features)))
+            order = np.argsort(found.features.astype(np.uint16), kind="stable")
+            feature, sums = _by_key(both, half[order], found.features[order])
+            total[feature] += sums
+    return total * idf[:, None]
+
+
+def _seen(known):
     def rows(batches):
-        idf, inverse = known.value
-        basis, total = random_basis(size), np.zeros((FEATURES, size), np.float32)
-        for batch, texts in W.sliced(batches):
-            row, feature, value, n = _rows(texts, idf, False)
-            q = (_times(row, feature, value, n, basis) @ inverse).astype(np.float32)
-            order = np.argsort(feature, kind="stable")
-            if len(order):
-                edge = np.flatnonzero(np.diff(feature[order], prepend=-1))
-                total[feature[order][edge]] += np.add.reduceat(
-                    q[row[order]] * value[order, None], edge, axis=0).astype(np.float32)
+        total = seen_by(random_basis(SIZE), known.value, (texts for _, texts in W.sliced(batches)))
         part = FEATURES // 16
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(16), pa.int32()),
-             pa.array([total[i * part:(i + 1) * part].tobytes() for i in range(16)])], ["part", "sums"])
+             pa.array([total[i * part:(i + 1) * part].astype("<f4").tobytes() for i in range(16)])], ["part", "sums"])
     return rows
 
 
@@ -198,31 +223,38 @@ def _collected(frame: DataFrame, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["sums"], dtype) for r in sorted(sums)]) if sums else np.zeros(0, dtype)
 
 
-def latent_space(sample: DataFrame, items: W.Texts, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """idf-weighted right singular vectors of the sampled passages and the items: features by rank."""
-    size, context = rank + OVERSAMPLE, sample.sparkSession.sparkContext
-    entries = _rows(items, idf, True)
-    own = _times(*entries, random_basis(size)) * ITEM_WEIGHT
-    gram = (own.T @ own).astype(np.float64)
-    sums = _collected(sample.mapInArrow(_gram(context.broadcast(idf), size), "part int, sums binary"), "<f8")
-    if len(sums):
-        gram = gram + sums.reshape(size, size)
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > 1e-9 * max(values[-1], 1e-300)
+def passage_sums(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """What all latent spaces need of the passages: features by SIZE."""
+    known = sample.sparkSession.sparkContext.broadcast(idf)
+    seen = _collected(sample.mapInArrow(_seen(known), "part int, sums binary"), "<f4")
+    return seen.reshape(FEATURES, SIZE).astype(np.float64) if len(seen) else np.zeros((FEATURES, SIZE))
+
+
+def latent_space(seen: np.ndarray, items: W.Texts, idf: np.ndarray) -> np.ndarray:
+    """idf-weighted right singular vectors of the passages and the items: features by RANK."""
+    basis = random_basis(SIZE)
+    row, feature, value, n = _rows(items, idf)
+    own = _times(row, feature, value, n, basis).astype(np.float64) * ITEM_WEIGHT
+    gram = basis.T @ seen + own.T @ own
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > 1e-6 * max(values[-1], 1e-300)
     inverse = vectors[:, keep] / np.sqrt(values[keep])
-    inverse = np.concatenate([inverse, np.zeros((size, size - inverse.shape[1]))], 1)
-    seen = _collected(sample.mapInArrow(
-        _projected(context.broadcast((idf, inverse)), size), "part int, sums binary"), "<f4")
-    b = seen.reshape(FEATURES, size).astype(np.float64) if len(seen) else np.zeros((FEATURES, size))
-    row, feature, value, _ = entries
-    q = (own @ inverse)[row] * (value * ITEM_WEIGHT)[:, None]
-    np.add.at(b, feature, q)
+    b = seen @ inverse
+    np.add.at(b, feature, (own @ inverse)[row] * (value * ITEM_WEIGHT)[:, None])
     strength, left = np.linalg.eigh(b.T @ b)
-    strength, left = strength[::-1][:rank], left[:, ::-1][:, :rank]
+    strength, left = strength[::-1][:RANK], left[:, ::-1][:, :RANK]
     space = (b @ left) / np.sqrt(np.maximum(strength, 1e-12))
     return (space * idf[:, None]).astype(np.float32)
 
 
+def scores(seen: np.ndarray, items: W.Texts, idf: np.ndarray) -> np.ndarray:
+    """What a word adds to its passage's product with each item's latent unit vector: features by items."""
+    space = latent_space(seen, items, idf)
+    hashes, bounds = words_and_hashes(items)
+    sums = [space[feature_of(hashes[a:b])].sum(0) for a, b in zip(bounds[:-1], bounds[1:])]
+    return space @ unit(np.array(sums)).astype(np.float32).T
+
+
 def common_subsequence(item: np.ndarray, passage: np.ndarray) -> int:
     """Length of the longest common subsequence, one machine operation per word of the passage."""
     where: dict[int, int] = {}
@@ -289,29 +321,30 @@ class Seeds:
 
 
 class Items:
-    """What a task needs of the benchmark and the latent space."""
+    """What a task needs of some of the benchmark's items: `scores` has a table for each ITEM_BLOCK of them."""
 
-    def __init__(self, ids, hashes, answers, space, idf):
-        self.ids, self.hashes, self.answers, self.space = ids, hashes, answers, space
+    def __init__(self, ids, hashes, answers, scores, idf):
+        self.ids, self.hashes, self.answers, self.scores = ids, hashes, answers, scores
         self.idf = idf.astype(np.float32)
         self.seeds = Seeds(hashes)
-        sums = [space[feature_of(h)].sum(0) if len(h) else np.zeros(space.shape[1]) for h in hashes]
-        self.vectors = unit(np.array(sums).reshape(len(ids), space.shape[1])).astype(np.float32)
 
 
 def candidates(items: Items, hashes, bounds, cosine: float):
     """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed."""
-    vectors, starts, of = passage_vectors(items.space, items.idf, hashes, bounds)
+    passages = Passages(items.idf, hashes, bounds)
+    starts, of = passages.starts, passages.of
     at, seeded = items.seeds.found(hashes, bounds)
     at = np.searchsorted(starts, at, "right") - 1
-    for low in range(0, len(items.ids), ITEM_BLOCK):
-        near = vectors @ items.vectors[low:low + ITEM_BLOCK].T
+    low = 0
+    for table in items.scores:
+        near = passages.vectors(table)
         chosen = near >= cosine
-        own = (seeded >= low) & (seeded < low + ITEM_BLOCK)
+        own = (seeded >= low) & (seeded < low + near.shape[1])
         chosen[at[own], seeded[own] - low] = True
         passage, item = np.nonzero(chosen)
         for p, i in zip(passage.tolist(), item.tolist()):
             yield int(starts[p]), int(of[p]), low + i, float(near[p, i])
+        low += near.shape[1]
 
 
 def _searched(known, cosine):
@@ -366,17 +399,24 @@ def contaminated(
         answer.alias("a")).orderBy("i", "t").collect()
     schema = ("id long, key long, item_id long, cosine double, common double, has_answer boolean, "
               "contaminated boolean")
-    texts = W.texts_of(pa.array([r["t"] for r in asked], pa.string()))
-    answers = W.texts_of(pa.array([last_sentence(r["t"]) if r["a"] is None else r["a"] for r in asked], pa.string()))
-    split = [[h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-             for h, bounds in (words_and_hashes(texts), words_and_hashes(answers))]
+    split = [[h[a:b] for a, b in zip(bounds[:-1], bounds[1:])] for h, bounds in (
+        words_and_hashes(W.texts_of(pa.array(column, pa.string()))) for column in (
+            [r["t"] for r in asked], [last_sentence(r["t"]) if r["a"] is None else r["a"] for r in asked]))]
     total = found.count()
     counts = sketch.frequencies(found.select("text"), _distinct, FEATURES).astype(np.float64)
     idf = inverse_frequency(counts, total)
     sample = found.select("id", "text")
     if total > sample_docs:
         sample = sample.filter(F.pmod(F.xxhash64("id"), F.lit(total)) < sample_docs)
-    space = latent_space(sample.repartition(SAMPLE_TASKS), texts, idf)
-    known = context.broadcast(Items([r["i"] for r in asked], *split, space, idf))
-    pairs = found.mapInArrow(_searched(known, cosine), schema).filter("contaminated")
+    seen = passage_sums(sample.repartition(SAMPLE_TASKS), idf)
+    blocks = [W.texts_of(pa.array([r["t"] for r in asked[low:low + ITEM_BLOCK]], pa.string()))
+              for low in range(0, len(asked), ITEM_BLOCK)]
+    passes = []
+    for low in range(0, max(1, len(asked)), ITEM_PASS):
+        own, each = slice(low, low + ITEM_PASS), slice(low // ITEM_BLOCK, (low + ITEM_PASS) // ITEM_BLOCK)
+        known = context.broadcast(Items(
+            [r["i"] for r in asked[own]], split[0][own], split[1][own],
+            [scores(seen, texts, idf) for texts in blocks[each]], idf))
+        passes.append(found.mapInArrow(_searched(known, cosine), schema))
+    pairs = reduce(DataFrame.union, passes).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")

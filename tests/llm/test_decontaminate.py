@@ -147,3 +147,56 @@ def test_seeds_against_brute_force():
             for size in [min(D.SEED, len(own))] if size for p in range(len(text) - size + 1)
             for q in range(len(own) - size + 1) if (text[p:p + size] == own[q:q + size]).all()}
     assert set(zip(place.tolist(), item.tolist())) == want and len(place) == len(want)
+
+
+def test_a_sum_over_passages_is_the_matrix_product():
+    rng = np.random.default_rng(6)
+    texts = W.texts_of(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 30, n)) for n in (50, 0, 1, 17, 700)]))
+    hashes, bounds = D.words_and_hashes(texts)
+    idf, basis = rng.random(D.FEATURES) + 0.1, rng.standard_normal((D.FEATURES, 5))
+    starts, of = D.blocks_of(bounds)
+    a = np.zeros((len(starts), D.FEATURES))
+    for row, start, text in zip(a, starts, of):
+        feature = D.feature_of(hashes[start:min(start + D.PASSAGE, bounds[text + 1])])
+        np.add.at(row, feature, idf[feature])
+        row /= np.sqrt((idf[feature] ** 2).sum())
+    assert np.allclose(D.seen_by(basis, idf, [texts]), a.T @ (a @ basis))
+
+
+def test_the_cosine_finds_items_however_many_there_are(monkeypatch):
+    """Without shared runs of words, so that only the latent spaces can find a changed copy."""
+    monkeypatch.setattr(D.Seeds, "found", lambda *_: (np.zeros(0, np.int64),) * 2)
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(20000)}"
+    items = [(i, [word() for _ in range(rng.randint(15, 57))]) for i in range(900)]
+    texts, want = [], set()
+    for d in range(300):
+        item, leak = rng.choice(items)
+        want.add((d, item))
+        texts.append([word() for _ in range(40)] + [w if d % 2 or rng.random() < 0.85 else word() for w in leak]
+                     + [word() for _ in range(40)])
+    texts = W.texts_of(pa.array([" ".join(t) for t in texts]))
+    hashes, bounds = D.words_and_hashes(texts)
+    counts = np.bincount(D.feature_of(hashes), minlength=D.FEATURES)
+    idf, got = D.inverse_frequency(counts, 300), set()
+    seen = D.seen_by(D.random_basis(D.SIZE), idf, [texts])
+    for low in range(0, len(items), D.ITEM_BLOCK):
+        own = items[low:low + D.ITEM_BLOCK]
+        block = W.texts_of(pa.array([" ".join(t) for _, t in own]))
+        split = D.words_and_hashes(block)
+        each = [split[0][a:b] for a, b in zip(split[1][:-1], split[1][1:])]
+        known = D.Items([i for i, _ in own], each, each, [D.scores(seen, block, idf)], idf)
+        got |= {(text, known.ids[i]) for _, text, i, _ in D.candidates(known, hashes, bounds, D.COSINE)}
+    assert len(got & want) >= 0.97 * len(want)
+    assert len(got) < 20 * len(want)
+
+
+def test_items_are_searched_in_passes(spark, monkeypatch):
+    rows, items, want = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "ITEM_BLOCK", 4)
+    monkeypatch.setattr(D, "ITEM_PASS", 8)
+    found = [(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()]
+    assert len(found) == len(set(found)) and not set(found) - want
+    assert len(set(found)) >= 0.9 * len(want)
