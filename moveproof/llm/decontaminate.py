@@ -7,9 +7,8 @@ documents. A randomised SVD of the passage matrix and the items gives the latent
 `ITEM_BLOCK` items, as an item keeps its length only where the space has dimensions for it: the
 tasks multiply their rows with a random matrix and the result with their rows again. That sum
 is the same for all spaces; each adds its own items to it, orthonormalises by the small Gram
-matrix and projects. It is fitted on the benchmark items and on a sample of at most `SAMPLE_DOCS`
-documents, chosen by a hash of their id; every passage of every document is
-then searched.
+matrix and projects. It is fitted on all passages of all documents; an item's row weighs more as there are
+more passages, so the corpus does not crowd it out.
 
 Words of many documents weigh `COMMON_WEIGHT` of that, not nothing: a leak makes the item's own
 words frequent, and an item may have no others.
@@ -30,6 +29,7 @@ no documents give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -45,14 +45,14 @@ FEATURES = 1 << FEATURE_BITS
 PASSAGE = 32
 RANK = 64
 SIZE = RANK + 16
-SAMPLE_DOCS = 1500
-SAMPLE_TASKS = 4
+#: Bytes of text whose passages one task sums up for the fit; its sum has 21 MB.
+FIT_BYTES = 128 << 20
 #: Features in more than this share of the documents (and in 20) weigh this part of their idf.
 COMMON, COMMON_WEIGHT = 0.02, 0.1
 #: Consecutive words in common with an item that make a passage a candidate without the cosine.
 SEED = 3
-#: Weight of a benchmark item's row against a passage's in the fit.
-ITEM_WEIGHT = 30.0
+#: Squared weight of a benchmark item's row against a passage's in the fit: at least, and for each passage.
+ITEM_WEIGHT, ITEM_SHARE = 900.0, 0.05
 COSINE = 0.17
 SURE, LIKELY, ANSWER = 0.8, 0.55, 0.8
 STRETCH = 1.25
@@ -161,7 +161,7 @@ def _rows(texts: W.Texts, idf: np.ndarray):
 
 
 def random_basis(size: int) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((FEATURES, size)).astype(np.float32)
+    return np.random.default_rng(7).standard_normal((FEATURES, size), dtype=np.float32)
 
 
 def _times(row, feature, value, n, matrix):
@@ -185,11 +185,13 @@ def _by_key(table: np.ndarray, rows: np.ndarray, keys: np.ndarray):
         rows = np.arange(len(keys))
 
 
-def seen_by(basis: np.ndarray, idf: np.ndarray, slices) -> np.ndarray:
-    """Sum of a (a' basis) over the rows a of the passage matrix: features by columns of the basis."""
-    weighted, total = basis * idf[:, None], np.zeros(basis.shape)
+def seen_by(basis: np.ndarray, idf: np.ndarray, slices) -> tuple[np.ndarray, int]:
+    """Sum of a (a' basis) over the rows a of the passage matrix, features by columns of the basis; number of rows."""
+    idf = idf.astype(np.float32)
+    weighted, total, passages = basis * idf[:, None], np.zeros(basis.shape), 0
     for texts in slices:
         found = Passages(idf, *words_and_hashes(texts))
+        passages += len(found.starts)
         if len(found.starts):
             own = found.vectors(weighted) / found.length[:, None]
             both = own.copy()
@@ -198,16 +200,15 @@ def seen_by(basis: np.ndarray, idf: np.ndarray, slices) -> np.ndarray:
             order = np.argsort(found.features.astype(np.uint16), kind="stable")
             feature, sums = _by_key(both, half[order], found.features[order])
             total[feature] += sums
-    return total * idf[:, None]
+    return total * idf[:, None], passages
 
 
 def _seen(known):
+    """Parts 0 to 15 of the rows of `seen_by`, and as part 16 the number of passages."""
     def rows(batches):
-        total = seen_by(random_basis(SIZE), known.value, (texts for _, texts in W.sliced(batches)))
-        part = FEATURES // 16
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(16), pa.int32()),
-             pa.array([total[i * part:(i + 1) * part].astype("<f4").tobytes() for i in range(16)])], ["part", "sums"])
+        total, passages = seen_by(random_basis(SIZE), known.value, (texts for _, texts in W.sliced(batches)))
+        sums = [part.astype("<f4").tobytes() for part in [*np.split(total, 16), np.array([passages])]]
+        yield pa.RecordBatch.from_arrays([pa.array(range(17), pa.int32()), pa.array(sums)], ["part", "sums"])
     return rows
 
 
@@ -223,33 +224,40 @@ def _collected(frame: DataFrame, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["sums"], dtype) for r in sorted(sums)]) if sums else np.zeros(0, dtype)
 
 
-def passage_sums(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """What all latent spaces need of the passages: features by SIZE."""
-    known = sample.sparkSession.sparkContext.broadcast(idf)
-    seen = _collected(sample.mapInArrow(_seen(known), "part int, sums binary"), "<f4")
-    return seen.reshape(FEATURES, SIZE).astype(np.float64) if len(seen) else np.zeros((FEATURES, SIZE))
+def passage_sums(found: DataFrame, idf: np.ndarray, tasks: int) -> tuple[np.ndarray, float]:
+    """What all latent spaces need of the passages, features by SIZE, and how many there are."""
+    known = found.sparkSession.sparkContext.broadcast(idf)
+    seen = _collected(found.select("text").coalesce(tasks).mapInArrow(_seen(known), "part int, sums binary"), "<f4")
+    if not len(seen):
+        return np.zeros((FEATURES, SIZE), np.float32), 0.0
+    return seen[:-1].reshape(FEATURES, SIZE), float(seen[-1])
 
 
-def latent_space(seen: np.ndarray, items: W.Texts, idf: np.ndarray) -> np.ndarray:
+def latent_space(seen: np.ndarray, passages: float, items: W.Texts, idf: np.ndarray) -> np.ndarray:
     """idf-weighted right singular vectors of the passages and the items: features by RANK."""
+    heavy = np.sqrt(max(ITEM_WEIGHT, ITEM_SHARE * passages))
     basis = random_basis(SIZE)
     row, feature, value, n = _rows(items, idf)
-    own = _times(row, feature, value, n, basis).astype(np.float64) * ITEM_WEIGHT
-    gram = basis.T @ seen + own.T @ own
+    own = _times(row, feature, value, n, basis).astype(np.float64) * heavy
+    parts = [slice(low, low + FEATURES // 16) for low in range(0, FEATURES, FEATURES // 16)]
+    gram = sum((basis[part].T.astype(np.float64) @ seen[part] for part in parts), own.T @ own)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-6 * max(values[-1], 1e-300)
     inverse = vectors[:, keep] / np.sqrt(values[keep])
-    b = seen @ inverse
-    np.add.at(b, feature, (own @ inverse)[row] * (value * ITEM_WEIGHT)[:, None])
+    b = np.empty((FEATURES, inverse.shape[1]))
+    for part in parts:
+        b[part] = seen[part] @ inverse
+    np.add.at(b, feature, (own @ inverse)[row] * (value * heavy)[:, None])
     strength, left = np.linalg.eigh(b.T @ b)
     strength, left = strength[::-1][:RANK], left[:, ::-1][:, :RANK]
-    space = (b @ left) / np.sqrt(np.maximum(strength, 1e-12))
-    return (space * idf[:, None]).astype(np.float32)
+    space = b @ (left / np.sqrt(np.maximum(strength, 1e-12)))
+    space *= idf[:, None]
+    return space.astype(np.float32)
 
 
-def scores(seen: np.ndarray, items: W.Texts, idf: np.ndarray) -> np.ndarray:
+def scores(seen: np.ndarray, passages: float, items: W.Texts, idf: np.ndarray) -> np.ndarray:
     """What a word adds to its passage's product with each item's latent unit vector: features by items."""
-    space = latent_space(seen, items, idf)
+    space = latent_space(seen, passages, items, idf)
     hashes, bounds = words_and_hashes(items)
     sums = [space[feature_of(hashes[a:b])].sum(0) for a, b in zip(bounds[:-1], bounds[1:])]
     return space @ unit(np.array(sums)).astype(np.float32).T
@@ -383,7 +391,7 @@ def last_sentence(text: str) -> str:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sample_docs: int = SAMPLE_DOCS,
+    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None,
 ) -> DataFrame:
     """doc_id, key, item_id, cosine, common, has_answer for each contaminated pair.
@@ -402,13 +410,11 @@ def contaminated(
     split = [[h[a:b] for a, b in zip(bounds[:-1], bounds[1:])] for h, bounds in (
         words_and_hashes(W.texts_of(pa.array(column, pa.string()))) for column in (
             [r["t"] for r in asked], [last_sentence(r["t"]) if r["a"] is None else r["a"] for r in asked]))]
-    total = found.count()
+    total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     counts = sketch.frequencies(found.select("text"), _distinct, FEATURES).astype(np.float64)
     idf = inverse_frequency(counts, total)
-    sample = found.select("id", "text")
-    if total > sample_docs:
-        sample = sample.filter(F.pmod(F.xxhash64("id"), F.lit(total)) < sample_docs)
-    seen = passage_sums(sample.repartition(SAMPLE_TASKS), idf)
+    tasks = max(2 * context.defaultParallelism, math.ceil((size or 0) / FIT_BYTES))
+    seen = passage_sums(found, idf, tasks)
     blocks = [W.texts_of(pa.array([r["t"] for r in asked[low:low + ITEM_BLOCK]], pa.string()))
               for low in range(0, len(asked), ITEM_BLOCK)]
     passes = []
@@ -416,7 +422,7 @@ def contaminated(
         own, each = slice(low, low + ITEM_PASS), slice(low // ITEM_BLOCK, (low + ITEM_PASS) // ITEM_BLOCK)
         known = context.broadcast(Items(
             [r["i"] for r in asked[own]], split[0][own], split[1][own],
-            [scores(seen, texts, idf) for texts in blocks[each]], idf))
+            [scores(*seen, texts, idf) for texts in blocks[each]], idf))
         passes.append(found.mapInArrow(_searched(known, cosine), schema))
     pairs = reduce(DataFrame.union, passes).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")

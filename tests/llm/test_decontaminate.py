@@ -153,14 +153,14 @@ def test_a_sum_over_passages_is_the_matrix_product():
     rng = np.random.default_rng(6)
     texts = W.texts_of(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 30, n)) for n in (50, 0, 1, 17, 700)]))
     hashes, bounds = D.words_and_hashes(texts)
-    idf, basis = rng.random(D.FEATURES) + 0.1, rng.standard_normal((D.FEATURES, 5))
+    idf, basis = (rng.random(D.FEATURES) + 0.1).astype(np.float32), rng.standard_normal((D.FEATURES, 5))
     starts, of = D.blocks_of(bounds)
     a = np.zeros((len(starts), D.FEATURES))
     for row, start, text in zip(a, starts, of):
         feature = D.feature_of(hashes[start:min(start + D.PASSAGE, bounds[text + 1])])
         np.add.at(row, feature, idf[feature])
         row /= np.sqrt((idf[feature] ** 2).sum())
-    assert np.allclose(D.seen_by(basis, idf, [texts]), a.T @ (a @ basis))
+    assert np.allclose(D.seen_by(basis, idf, [texts])[0], a.T @ (a @ basis), rtol=1e-4, atol=1e-4)
 
 
 def test_the_cosine_finds_items_however_many_there_are(monkeypatch):
@@ -179,13 +179,13 @@ def test_the_cosine_finds_items_however_many_there_are(monkeypatch):
     hashes, bounds = D.words_and_hashes(texts)
     counts = np.bincount(D.feature_of(hashes), minlength=D.FEATURES)
     idf, got = D.inverse_frequency(counts, 300), set()
-    seen = D.seen_by(D.random_basis(D.SIZE), idf, [texts])
+    seen, _ = D.seen_by(D.random_basis(D.SIZE), idf, [texts])
     for low in range(0, len(items), D.ITEM_BLOCK):
         own = items[low:low + D.ITEM_BLOCK]
         block = W.texts_of(pa.array([" ".join(t) for _, t in own]))
         split = D.words_and_hashes(block)
         each = [split[0][a:b] for a, b in zip(split[1][:-1], split[1][1:])]
-        known = D.Items([i for i, _ in own], each, each, [D.scores(seen, block, idf)], idf)
+        known = D.Items([i for i, _ in own], each, each, [D.scores(seen, 0.0, block, idf)], idf)
         got |= {(text, known.ids[i]) for _, text, i, _ in D.candidates(known, hashes, bounds, D.COSINE)}
     assert len(got & want) >= 0.97 * len(want)
     assert len(got) < 20 * len(want)
@@ -200,3 +200,30 @@ def test_items_are_searched_in_passes(spark, monkeypatch):
     found = [(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()]
     assert len(found) == len(set(found)) and not set(found) - want
     assert len(set(found)) >= 0.9 * len(want)
+
+
+def test_the_fit_sees_all_passages_of_a_large_table(spark):
+    """2,000 documents: the sum over their passages and its count are those of all, in any split."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    idf = np.random.default_rng(9).random(D.FEATURES) + 0.1
+    all_texts = W.texts_of(pa.array(texts))
+    want, _ = D.seen_by(D.random_basis(D.SIZE), idf, [all_texts])
+    for tasks in (3, 100):
+        seen, passages = D.passage_sums(docs, idf, tasks)
+        assert np.allclose(seen, want, rtol=1e-4, atol=1e-3)
+        assert passages == len(D.blocks_of(D.words_and_hashes(all_texts)[1])[0])
+
+
+def test_items_keep_their_length_beside_a_large_corpus():
+    """Passages that share a few topics have most of the sum, as those of millions of documents would."""
+    rng = np.random.default_rng(12)
+    word = lambda topic: f"t{topic}x{rng.integers(0, 60)}"
+    texts = W.texts_of(pa.array([" ".join(word(d % 70) for _ in range(48)) for d in range(1400)]))
+    items = W.texts_of(pa.array([" ".join(f"i{i}x{k}" for k in range(20)) for i in range(D.ITEM_BLOCK)]))
+    idf = np.ones(D.FEATURES)
+    seen = 1000 * D.seen_by(D.random_basis(D.SIZE), idf, [texts])[0]
+    table = D.scores(seen, 1000.0 * 1400 * 3, items, idf)
+    near, _, _ = D.passage_vectors(table, idf, *D.words_and_hashes(items))
+    assert (np.diag(near[::2]) > 0.8).all()
