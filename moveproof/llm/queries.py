@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moveproof.llm import (
-    decontaminate, hmm, jaccard, line_rules, negatives, packing, site_quality, substring, suffixes, toxicity,
-    url_rules,
+    chat, decontaminate, hmm, jaccard, line_rules, negatives, packing, site_quality, substring, suffixes,
+    toxicity, url_rules,
 )
 from moveproof.session import literal_rows, table
 
@@ -184,3 +184,61 @@ def op13(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "embeddings").withColumn("label", F.when(
         F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+# --- fixed values: a conversation whose texts are control strings, added to the table ---
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\-{control[1:]}')"
+    return out
+
+
+CHAT_SQL = rf"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    ceil(strlen(coalesce(text, '')) / 4)::BIGINT + {chat.TURN_TOKENS} AS tokens,
+    length({_escaped_sql("coalesce(role, '')")}) + length({_escaped_sql("coalesce(text, '')")})
+      + {len(chat.START + chat.SEPARATOR + chat.END)} AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+    count(*) OVER (PARTITION BY conv_id) AS total
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL VALUES {', '.join(map(str, CONTROL_TURNS))})),
+systems AS (SELECT conv_id, tokens, chars FROM turns WHERE n = 1 AND role = 'system' AND total > 1),
+own AS (
+  SELECT t.conv_id, t.chars, t.tokens, coalesce(s.tokens, 0) AS sys, coalesce(s.chars, 0) AS sys_chars,
+    sum(t.tokens) OVER w AS upto, sum(t.tokens) OVER w - t.tokens AS start,
+    row_number() OVER w AS n
+  FROM turns t LEFT JOIN systems s USING (conv_id) WHERE s.conv_id IS NULL OR t.n > 1
+  WINDOW w AS (PARTITION BY t.conv_id ORDER BY t.n)),
+placed AS (
+  SELECT *, start AS begin FROM own WHERE n = 1
+  UNION ALL
+  SELECT o.*, CASE WHEN o.start // {chat.CELL * chat.BUDGET} <> p.start // {chat.CELL * chat.BUDGET}
+    OR o.upto - p.begin > {chat.BUDGET} - o.sys - CASE WHEN p.begin = 0 THEN 0 ELSE {chat.HISTORY} END
+    THEN o.start ELSE p.begin END
+  FROM placed p JOIN own o ON o.conv_id = p.conv_id AND o.n = p.n + 1),
+windows AS (
+  SELECT conv_id, begin, any_value(sys_chars) + sum(chars) AS chars,
+    least({chat.HISTORY}, {chat.BUDGET} - any_value(sys) - (max(upto) - begin)) AS back
+  FROM placed GROUP BY conv_id, begin),
+repeats AS (
+  SELECT w.conv_id, sum(o.chars) AS chars FROM windows w JOIN own o
+    ON o.conv_id = w.conv_id AND o.start < w.begin AND w.begin - o.start <= w.back GROUP BY w.conv_id),
+formatted AS (SELECT conv_id, sum(chars) AS chars FROM windows GROUP BY conv_id)
+SELECT t.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (any_value(f.chars) + coalesce(any_value(r.chars), 0))::BIGINT AS formatted_chars
+FROM turns t JOIN formatted f USING (conv_id) LEFT JOIN repeats r USING (conv_id) GROUP BY t.conv_id"""
+
+
+@query("op12_chat_formatting", CHAT_SQL)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    added = literal_rows(spark, "conv_id long, turn long, role string, text string", CONTROL_TURNS)
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digests(chat.format_windows(rows))
