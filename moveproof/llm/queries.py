@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moveproof.llm import (
-    chat, decontaminate, hmm, jaccard, line_rules, negatives, packing, site_quality, substring, suffixes,
-    toxicity, url_rules,
+    chat, decontaminate, divergence, hmm, jaccard, line_rules, negatives, packing, site_quality, substring,
+    suffixes, toxicity, url_rules,
 )
 from moveproof.session import literal_rows, table
 
@@ -242,3 +242,44 @@ def op12(spark: SparkSession, root: str) -> DataFrame:
     added = literal_rows(spark, "conv_id long, turn long, role string, text string", CONTROL_TURNS)
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat.digests(chat.format_windows(rows))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+    1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (coalesce(s.n, 0) + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.total + 1) // (l.n + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+pairs AS (
+  SELECT g.lang, g.source, o.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN shares a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN shares b ON b.lang = o.lang AND b.source = o.source AND b.term = a.term
+  GROUP BY g.lang, g.source, o.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms
+QUALIFY rank <= 200"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.divergence(table(spark, root, "documents"))
