@@ -34,23 +34,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import partitions, send_code, stored
+from moveproof.llm.frames import send_code, stored
 
 SCALE = 1_000_000_000
 #: A block is spilled at this many postings, or octets of them.
-BLOCK = 1 << 19
-BLOCK_BYTES = 64 << 20
+BLOCK = 1 << 18
+BLOCK_BYTES = 32 << 20
 #: Postings in a packed piece of a run.
 PIECE = 4096
 #: Postings merged, and paired, at a time; sources of a language paired at a time.
-MERGE = 1 << 18
-PAIR = 1 << 17
+MERGE = 1 << 17
+PAIR = 1 << 16
 SIDE = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _POSTING = pa.schema([("key", pa.binary()), ("source", pa.binary()), ("docs", pa.int64()), ("count", pa.int64())])
-RUN = "shard int, first binary, postings binary"
+RUN = "shard int, first binary, octets int, postings binary"
+_CODEC = "zstd"
 FREQUENCY = "lang string, term string, source string, count long, total long, sources int, leads int"
 
 
@@ -95,14 +96,16 @@ def _spilled(block: pa.Table, shards: int):
     shard = block.column("shard").to_numpy()
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     cuts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(cuts, [*cuts[1:], len(shard)])])
-    for group in np.array_split(cuts, -(-len(cuts) // 64)):
+    pieces, codec = list(zip(cuts, [*cuts[1:], len(shard)])), pa.Codec(_CODEC)
+    for at in range(0, len(pieces), 64):
         rows = []
-        for a in group:
-            b = cuts[np.searchsorted(cuts, a) + 1] if a < cuts[-1] else len(shard)
-            piece = block.slice(a, b - a).select(_POSTING.names).combine_chunks().to_batches()[0]
-            rows.append((int(shard[a]), piece.column(0)[0].as_py(), piece.serialize().to_pybytes()))
+        for a, b in pieces[at:at + 64]:
+            piece = pa.RecordBatch.from_arrays(
+                [W.column_of(block.slice(a, b - a), c) for c in _POSTING.names], schema=_POSTING)
+            packed = piece.serialize()
+            rows.append((int(shard[a]), piece.column(0)[0].as_py(), packed.size, codec.compress(packed, asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "first", "postings"])
+            zip(*rows), (pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["shard", "first", "octets", "postings"])
 
 
 def _indexed(shards: int, block: int):
@@ -115,8 +118,9 @@ def _indexed(shards: int, block: int):
                 held = [_folded(held)]
                 rows, size = held[0].num_rows, held[0].nbytes
                 if rows >= block // 2 or size >= BLOCK_BYTES // 2:
-                    yield from _spilled(held[0], shards)
-                    held, rows, size = [], 0, 0
+                    yield from _spilled(held.pop(), shards)
+                    rows, size = 0, 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _spilled(_folded(held), shards)
     return runs
@@ -161,15 +165,15 @@ def _frequencies(postings: pa.Table, min_docs: int) -> pa.RecordBatch | None:
 
 def _merged(min_docs: int, merge: int):
     def frequencies(batches):
-        pieces, held, number = [], 0, 0
+        pieces, held, number, codec = [], 0, 0, pa.Codec(_CODEC)
         for batch in batches:
-            for first, packed in zip(batch.column("first").to_pylist(), batch.column("postings")):
+            for first, octets, packed in zip(*(batch.column(c).to_pylist() for c in ("first", "octets", "postings"))):
                 if held >= merge and first > pieces[0][0]:
                     done = _below(pieces, first)
                     held -= done.num_rows
                     if (out := _frequencies(done, min_docs)) is not None:
                         yield out
-                piece = pa.ipc.read_record_batch(packed.as_buffer(), _POSTING)
+                piece = pa.ipc.read_record_batch(codec.decompress(packed, octets), _POSTING)
                 heapq.heappush(pieces, (first, number, piece))
                 held, number = held + piece.num_rows, number + 1
         if (out := _frequencies(_below(pieces, None), min_docs)) is not None:
@@ -190,11 +194,10 @@ def term_frequencies(
     send_code(spark)
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     docs = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    shards = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = stored(docs.mapInArrow(_indexed(shards, block), RUN), "runs")
-    octets = runs.agg(F.sum(F.octet_length("postings"))).first()[0] or 0
-    runs = runs.repartition(partitions(runs, octets), "shard").sortWithinPartitions("first")
-    return stored(runs.select("first", "postings").mapInArrow(_merged(min_docs, merge), FREQUENCY), "frequencies")
+    runs = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("first")
+    return stored(runs.select("first", "octets", "postings").mapInArrow(_merged(min_docs, merge), FREQUENCY), "frequencies")
 
 
 def _share(count: str, whole: str) -> Column:
