@@ -17,5 +17,5 @@ def query(name: str, sql: str | None = None):
 
 
 MODULES = (
-    "profiling", "reconciling", "naming", "drifting", "loading", "running", "assessing", "streams",
+    "profiling", "reconciling", "naming", "drifting", "loading", "running", "assessing", "streams", "discovering",
 )
