@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from moveproof.operators import digest_tree
 from moveproof.operators import findings as fnd
 from moveproof.operators import keys as k
 from moveproof.operators import reconcile as rec
@@ -12,7 +13,7 @@ from moveproof.operators.profile import union_all
 from moveproof.plans.profiling import ISSUE_DATASETS, ISSUES_CTES, LAYOUT, profile_findings
 from moveproof.plans.registry import query
 from moveproof.plans.variants import Inputs, counts_sql, variant, with_variants
-from moveproof.session import TABLES, stored, table, tables
+from moveproof.session import TABLES, scratch_dir, stored, table, tables
 from moveproof.sources.catalog import (
     column_inventory, create_count_function, document_width, table_inventory,
 )
@@ -369,6 +370,59 @@ def snapshot_diff_layouts(spark, root):
     return snap.change_status(before, customer.withColumn("note", note), ["c_custkey"])
 
 
+# orders a day later: some prices raised, some orders gone, some new
+LATER_ORDERS = """SELECT * REPLACE (CASE WHEN o_orderkey % 499 = 0 THEN o_totalprice + 1 ELSE o_totalprice END
+  AS o_totalprice) FROM orders WHERE o_orderkey % 1009 <> 0
+UNION ALL SELECT * REPLACE (o_orderkey + 1000000000 AS o_orderkey) FROM orders WHERE o_orderkey % 2003 = 0"""
+
+
+def later_orders(orders):
+    key = F.col("o_orderkey")
+    raised = F.when(key % 499 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.filter(key % 1009 != 0).withColumn("o_totalprice", raised).unionByName(
+        orders.filter(key % 2003 == 0).withColumn("o_orderkey", key + 1000000000))
+
+
+@query("digest_tree_orders", f"""WITH later AS ({LATER_ORDERS})
+SELECT coalesce(c.o_orderkey, p.o_orderkey) AS o_orderkey,
+       CASE WHEN p.o_orderkey IS NULL THEN 'NEW' WHEN c.o_orderkey IS NULL THEN 'DELETED' ELSE 'CHANGED' END
+       AS change_status, CAST(p.o_orderkey IS NOT NULL AS BIGINT) AS rows_before,
+       CAST(c.o_orderkey IS NOT NULL AS BIGINT) AS rows_now
+FROM later c FULL OUTER JOIN orders p ON c.o_orderkey = p.o_orderkey
+WHERE p.o_orderkey IS NULL OR c.o_orderkey IS NULL OR c.o_totalprice <> p.o_totalprice""")
+def digest_tree_orders(spark, root):
+    """Two written snapshots, compared by their trees; only leaves that differ are read."""
+    orders = table(spark, root, "orders")
+    before, after = scratch_dir(spark, "before"), scratch_dir(spark, "after")
+    digest_tree.write_snapshot(orders, ["o_orderkey"], before)
+    digest_tree.write_snapshot(later_orders(orders), ["o_orderkey"], after)
+    return digest_tree.changed_keys(spark, before, after, orders.select("o_orderkey").schema)
+
+
+def digest_sql(columns) -> str:
+    parts = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"md5(concat_ws('|', {parts}))"
+
+
+DIGESTED = {"customer": ("c_custkey", ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"]),
+            "labels": ("doc_id", ["doc_id", "quality", "toxic"]),
+            "conversations": ("conv_id", ["conv_id", "role", "text", "turn"])}
+DIGEST_TREE_SQL = "WITH rows_ AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, ('0x' || substr({digest_sql([key])}, 1, 4))::BIGINT AS leaf, {digest_sql(columns)} AS d FROM {t}"
+    for t, (key, columns) in DIGESTED.items()) + """),
+levels AS (SELECT unnest(range(0, 5))::INTEGER AS level)
+SELECT dataset, level, (leaf >> (16 - 4 * level))::INTEGER AS node, count(*) AS n_rows,
+  """ + ", ".join(f"CAST(sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT) AS BIGINT) AS s{i}" for i in range(4)) + """
+FROM rows_, levels GROUP BY ALL"""
+
+
+@query("digest_tree_nodes", DIGEST_TREE_SQL)
+def digest_tree_nodes(spark, root):
+    return union_all(
+        digest_tree.digest_tree(table(spark, root, t), [key]).withColumn("dataset", F.lit(t))
+        for t, (key, _) in DIGESTED.items())
+
+
 FINGERPRINT_SQL = " UNION ALL ".join(f"""
 SELECT '{name}' AS dataset, CAST(substr(d, 1, 1) AS VARCHAR) AS bucket, count(*) AS row_count,
   CAST(sum(('0x' || substr(d, 2, 8))::BIGINT) AS BIGINT) AS fingerprint

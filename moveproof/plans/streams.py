@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moveproof.plans.profiling import share_sql
+from moveproof.operators import profile
+from moveproof.operators.profile_state import ERROR_BOUND
+from moveproof.plans.profiling import LAYOUT, counts_sql, share_sql
 from moveproof.plans.registry import query
 from moveproof.session import literal_rows, scratch_dir, table
 from moveproof.streaming import tables as st
@@ -129,6 +131,35 @@ def stream_profile(spark, root):
     )
 
 
+def is_close(exact: str, estimate: str):
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.lit(ERROR_BOUND) * F.col(exact) + 1
+
+
+def ends_sql(dataset: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", " + (
+            f"CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS greatest FROM {dataset}"
+            if kind in ("BIGINT", "INTEGER", "NUMERIC") else "NULL, NULL")
+        for c, kind in LAYOUT[dataset])
+
+
+@query("stream_profile_state", f"""WITH counts AS ({counts_sql("events")}), ends AS ({ends_sql("events")})
+SELECT dataset, "column", ordinal, detected_type, total_rows, null_count, total_rows - null_count AS non_null_count,
+       least, greatest, true AS distinct_is_close FROM counts JOIN ends USING ("column")""")
+def stream_profile_state(spark, root):
+    """The profile of the whole table from the states of its batches; the table is not read again for it."""
+    base = scratch_dir(spark, "stream-profile-state")
+    events = table(spark, root, "events")
+    states = st.ProfileStates(f"{base}/out", "events", compact_every=2)
+    for i in range(5):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).write.mode("append").parquet(f"{base}/in")
+        states.run(st.file_stream(spark, f"{base}/in", events.schema, "parquet"), f"{base}/checkpoint")
+    exact = profile.profile_columns({"events": events}).select("column", F.col("unique_value_count").alias("exact"))
+    return states.profile(spark).join(exact, "column").select(
+        "dataset", "column", "ordinal", "detected_type", "total_rows", "null_count", "non_null_count",
+        "least", "greatest", is_close("exact", "unique_value_count").alias("distinct_is_close"))
+
+
 @query("stream_drift", """
 WITH k AS (SELECT event_id % 2 AS batch, concat('u', user_id % 40) AS c FROM events
   UNION ALL SELECT event_id % 2, 'k' FROM events

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from moveproof.functions.names import strip
 from moveproof.operators.drift import column_changes
 from moveproof.operators.profile import duplicate_rows, profile_columns, profiling_issues
+from moveproof.operators.profile_state import STATE, column_states, merged_states, state_profile
 from moveproof.operators.shape import quarantine, typed
 from moveproof.operators.snapshot import change_status
 from moveproof.session import literal_rows
@@ -209,6 +210,46 @@ def profile_batches(
     run_available(stream, checkpoint, apply)
 
 
+class ProfileStates:
+    """The profile of a growing table as states of its batches, merged when read.
+
+    Every `compact_every` batches the states so far become one, so reading costs no
+    more the longer the stream runs; a replayed batch overwrites its own state and
+    starts from the merged states before it.
+    """
+
+    def __init__(self, path: str, dataset: str, compact_every: int = COMPACT_EVERY):
+        self.path, self.dataset, self.compact_every = path, dataset, compact_every
+
+    def states(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The last merged state and the states of the batches since."""
+        layout = STATE + ", batch long"
+        merged = spark.read.schema(layout).parquet(f"{self.path}/merged")
+        if before is not None:
+            merged = merged.filter(F.col("batch") <= before)
+        base = merged.agg(F.max("batch")).first()[0]
+        rows = spark.read.schema(layout).parquet(f"{self.path}/states").filter(F.col("batch") >= (base or 0))
+        if before is not None:
+            rows = rows.filter(F.col("batch") < before)
+        if base is not None:
+            rows = rows.unionByName(merged.filter(F.col("batch") == base))
+        return rows.drop("batch")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id == 0:  # so that the folder can be read before anything is merged
+            spark.createDataFrame([], STATE).write.mode("ignore").parquet(f"{self.path}/merged/batch=-1")
+        _write_batch(column_states({self.dataset: batch}), f"{self.path}/states", batch_id)
+        if batch_id and batch_id % self.compact_every == 0:
+            _write_batch(merged_states(self.states(spark, batch_id)).coalesce(1), f"{self.path}/merged", batch_id)
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        run_available(stream, checkpoint, self.apply)
+
+    def profile(self, spark: SparkSession, database: str = "source") -> DataFrame:
+        return state_profile(self.states(spark), database)
+
+
 def drift_batches(
     stream: DataFrame, table: str, document: str, path: str, checkpoint: str,
     registry: list[str], evolve: bool = True,
