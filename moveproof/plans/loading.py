@@ -9,8 +9,8 @@ from moveproof.operators import scoring, shape
 from moveproof.operators.profile import union_all
 from moveproof.plans.registry import query
 from moveproof.plans.variants import variant, with_variants
-from moveproof.session import scratch_dir, table
-from moveproof.sources import load, readers, writers
+from moveproof.session import literal_rows, scratch_dir, table
+from moveproof.sources import load, measured, readers, versioned, writers
 
 # --- readers ----------------------------------------------------------------------
 @query("csv_ingest_supplier", """
@@ -189,7 +189,7 @@ def load_append_orders(spark, root):
     orders = table(spark, root, "orders")
     for half in (0, 1):
         writers.write_table(orders.filter(F.col("o_orderkey") % 2 == half), path, "skip")
-    return spark.read.parquet(path)
+    return writers.read_table(spark, path)
 
 
 @query("load_mode_reload", "SELECT * FROM orders WHERE o_orderkey % 3 <> 0")
@@ -198,7 +198,7 @@ def load_mode_reload(spark, root):
     orders = table(spark, root, "orders")
     writers.write_table(orders, path, "force")
     writers.write_table(orders.filter(F.col("o_orderkey") % 3 != 0), path, "reload")
-    return spark.read.parquet(path)
+    return writers.read_table(spark, path)
 
 
 @query("doc_load_events", """
@@ -212,7 +212,44 @@ def doc_load_events(spark, root):
     writers.write_documents(docs.filter(F.col("event_id") % 7 == 0), path, "NEW")
     writers.write_documents(docs.filter(F.col("event_id") % 2 == 0), path, "CHANGED")
     writers.write_documents(docs.filter(F.col("event_id") % 5 == 0), path, "UNCHANGED")
-    return spark.read.parquet(path).select("event_id", "payload.*")
+    return writers.read_table(spark, path).select("event_id", "payload.*")
+
+
+VERSION_STEPS = ((False, 0, 5), (False, 1, 5), (True, 0, 3), (False, 2, 5))
+
+
+@query("load_versions_orders", "WITH w AS (" + " UNION ALL ".join(
+    f"SELECT {v} AS version, {replaces} AS replaces, (SELECT count(*) FROM orders WHERE o_orderkey % {by} = {rest}) AS rows"
+    for v, (replaces, rest, by) in enumerate(VERSION_STEPS)) + """)
+SELECT CAST(version AS BIGINT) AS version, replaces, rows, CAST((SELECT sum(o.rows) FROM w o WHERE o.version <= w.version AND o.version >= (
+  SELECT coalesce(max(f.version), 0) FROM w f WHERE f.replaces AND f.version <= w.version)) AS BIGINT) AS rows_visible FROM w""")
+def load_versions_orders(spark, root):
+    """Appends and a replacement; what each version shows is still there to read."""
+    path = scratch_dir(spark, "load-versions")
+    orders, held = table(spark, root, "orders"), versioned.VersionedTable(path)
+    for replaces, rest, by in VERSION_STEPS:
+        held.write(orders.filter(F.col("o_orderkey") % by == rest), replace=replaces)
+    shown = union_all(
+        held.read(spark, v, orders.schema).agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("rows_visible"))
+        for v in range(len(VERSION_STEPS)))
+    return held.history(spark).join(shown, "version").select("version", "replaces", "rows", "rows_visible")
+
+
+EVENT_CHECKS = {"value is positive": "value > 0", "user is known": "user_id IS NOT NULL"}
+
+
+@query("load_measures_events", with_variants("d_events") + " " + " UNION ALL ".join([
+    "SELECT 'rows' AS measure, count(*) AS found FROM d_events",
+    *[f"SELECT 'nulls:{c}', count(*) - count({'CASE WHEN NOT isnan(value) THEN value END' if c == 'value' else c}) FROM d_events"
+      for c in ("event_id", "ts", "user_id", "event_type", "value", "props", "origin")],
+    "SELECT 'failed:value is positive', count(*) FILTER (value IS NULL OR (value <= 0 AND NOT isnan(value))) FROM d_events",
+    "SELECT 'failed:user is known', count(*) FILTER (user_id IS NULL) FROM d_events"]))
+def load_measures_events(spark, root):
+    """Rows, nulls and failed checks of a load, measured by the tasks that write it."""
+    events = variant(spark, root, "d_events")
+    found = measured.measured_write(events, scratch_dir(spark, "load-measures"), measured.table_measures(
+        events.schema, {n: F.expr(c) for n, c in EVENT_CHECKS.items()}))
+    return literal_rows(spark, "measure string, found long", list(found.items()))
 
 
 @query("skip_processed", """

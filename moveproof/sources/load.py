@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from moveproof.functions.names import table_target
 from moveproof.operators import shape
 from moveproof.operators.profile import union_all
-from moveproof.session import literal_rows, stored
+from moveproof.session import literal_rows, scratch_dir, stored
 from moveproof.sources import readers, writers
+from moveproof.sources.measured import measured_write
 
 HISTORY = (
     "run_ts string, file string, digest string, table string, load string, mode string, "
@@ -23,6 +24,8 @@ HISTORY = (
 UNREADABLE = (PySparkException, Py4JJavaError)
 #: What a malformed JSON line leaves behind.
 CORRUPT = "_corrupt_record"
+#: Files of one load that are counted by the writing tasks; more of them are grouped in a pass of their own.
+OBSERVED_FILES = 64
 
 
 def _history(spark: SparkSession, target: str) -> DataFrame:
@@ -161,10 +164,7 @@ def _load_table(
     if CORRUPT in incoming.columns:
         checked = checked.withColumn("error", F.when(F.col(CORRUPT).isNotNull(), "malformed line")
                                      .otherwise(F.col("error")))
-    checked = stored(checked, "checked")  # parsed once, read for the counts and both sinks
-    counts = stored(
-        writers.load_history(checked, "_file", name, run_ts).drop("timestamp"), "load-counts"
-    )
+    checked, counts = _checked_and_counted(checked, [r["file"] for r in rows], name, run_ts)
     good = counts.filter("status = 'SUCCESS'").select(F.col("file").alias("_file"))
     bad = counts.filter("status = 'FAILED'").select(F.col("file").alias("_file"))
     loaded = checked.join(good, "_file", "left_semi").select(*[F.col(f"`{c}`") for c in data.columns])
@@ -185,6 +185,26 @@ def _load_table(
     )
 
 
+def _checked_and_counted(checked: DataFrame, files: list[str], name: str, run_ts: str) -> tuple[DataFrame, DataFrame]:
+    """The checked rows, parsed once and stored for both sinks, and good and bad rows of each file.
+
+    The job that stores them counts them, so they are not read again for it.
+    """
+    spark = checked.sparkSession
+    if len(files) > OBSERVED_FILES:
+        checked = stored(checked, "checked")
+        return checked, stored(
+            writers.load_history(checked, "_file", name, run_ts).drop("timestamp"), "load-counts")
+    path, good = scratch_dir(spark, "checked"), F.col("error").isNull()
+    found = measured_write(checked, path, {
+        f"{kind}{i}": F.count_if((F.col("_file") == file) & (good if kind == "good" else ~good))
+        for i, file in enumerate(files) for kind in ("good", "bad")})
+    counts = [(file, found[f"good{i}"], found[f"bad{i}"]) for i, file in enumerate(files)]
+    return spark.read.schema(checked.schema).parquet(path), literal_rows(
+        spark, "file string, table string, rows_inserted long, rows_rejected long, status string",
+        [(file, name, 0 if bad else good, bad, "FAILED" if bad else "SUCCESS") for file, good, bad in counts if good + bad])
+
+
 def read_loaded(spark: SparkSession, target: str, table: str) -> DataFrame:
     """A loaded table under the union of all columns its loads brought.
 

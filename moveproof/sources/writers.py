@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moveproof.sources.readers import file_name
+from moveproof.sources.versioned import VersionedTable
 
 LOAD_MODES = ("skip", "force", "reload")
 JDBC_BATCH = 500
@@ -24,15 +25,18 @@ def unprocessed(candidates: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "skip") -> None:
-    """Append, or replace first under 'reload'. Name and content checks come before this step."""
-    df.write.mode("overwrite" if check_mode(mode) == "reload" else "append").parquet(path)
+    """Append, or replace as a whole under 'reload'. Name and content checks come before this step."""
+    VersionedTable(path).write(df, replace=check_mode(mode) == "reload")
 
 
 def write_documents(df: DataFrame, path: str, schema_status: str) -> None:
     """Nested rows into a collection; a changed or shrunk schema replaces it, else append."""
-    df.write.mode(
-        "overwrite" if schema_status in ("CHANGED", "DELETED") else "append"
-    ).parquet(path)
+    VersionedTable(path).write(df, replace=schema_status in ("CHANGED", "DELETED"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_table` and `write_documents` left; a write that broke off is not seen."""
+    return VersionedTable(path).read(spark)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "skip", **properties) -> None:

@@ -147,9 +147,9 @@ def test_load_modes(spark, tmp_path):
     five = spark.range(5)
     writers.write_table(five, path, "skip")
     writers.write_table(five, path, "force")
-    assert spark.read.parquet(path).count() == 10
+    assert writers.read_table(spark, path).count() == 10
     writers.write_table(five, path, "reload")
-    assert spark.read.parquet(path).count() == 5
+    assert writers.read_table(spark, path).count() == 5
     with pytest.raises(ValueError):
         writers.write_table(five, path, "incremental")
 
