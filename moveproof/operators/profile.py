@@ -13,7 +13,7 @@ from moveproof.functions.rates import grade, share
 from moveproof.functions.text import comparable, hashable
 from moveproof.functions.types import logical_type
 from moveproof.operators.findings import as_findings
-from moveproof.session import literal_rows
+from moveproof.session import literal_rows, stored
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -164,6 +164,52 @@ def duplicate_rows(frames: dict[str, DataFrame], database: str = "source") -> Da
     )
 
 
+def _fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a row; equal rows in the sense of `comparable` have equal ones, long texts are hashed as they are."""
+    args = []
+    for f in df.schema.fields:
+        value = hashable(F.col(f"`{f.name}`"), f.dataType)
+        args += [value, value.isNull()]
+    return F.xxhash64(F.lit(1), *args), F.xxhash64(F.lit(2), *args)
+
+
+def duplicate_rows_by_fingerprint(frames: dict[str, DataFrame], database: str = "source") -> DataFrame:
+    """The same counts as `duplicate_rows`, for wide rows.
+
+    First only fingerprints of 16 octets are shuffled, folded in each task. Those
+    that repeat are stored, and only rows that have one of them are compared as a
+    whole; rows of equal fingerprint but other content count as distinct. If the
+    repeated fingerprints are few (by the session's broadcast threshold),
+    no other row is shuffled.
+    """
+    prints = []
+    for i, df in enumerate(frames.values()):
+        first, second = _fingerprint(df)
+        prints.append(df.select(F.lit(i).alias("id"), first.alias("h1"), second.alias("h2")))
+    counted = stored(union_all(prints).groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+                     .groupBy("id", F.when(F.col("n") > 1, F.col("h1")).alias("h1"),
+                              F.when(F.col("n") > 1, F.col("h2")).alias("h2"))
+                     .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_prints")), "row-prints")
+    parts = [counted.select("id", F.col("n").alias("rows"), F.when(F.col("h1").isNull(), F.col("n_prints"))
+                            .otherwise(0).alias("distinct_rows"))]
+    repeated = counted.filter("h1 IS NOT NULL").select("id", "h1", "h2")
+    for i, df in enumerate(frames.values()):
+        first, second = _fingerprint(df)
+        twice = df.withColumns({"_h1": first, "_h2": second}).join(
+            repeated.filter(F.col("id") == i).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")),
+            ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+        parts.append(_row_copies(twice).agg(F.count(F.lit(1)).alias("distinct_rows")).select(
+            F.lit(i).alias("id"), F.lit(0).cast("long").alias("rows"), "distinct_rows"))
+    names = literal_rows(counted.sparkSession, "id int, dataset string, total_columns int", [
+        (i, name, len(df.columns)) for i, (name, df) in enumerate(frames.items())])
+    found = names.join(union_all(parts).groupBy("id").agg(
+        F.sum("rows").alias("total_rows"), F.sum("distinct_rows").alias("n_distinct")), "id", "left")
+    repeats = F.col("total_rows") - F.col("n_distinct")
+    return found.select(
+        F.lit(database).alias("database"), "dataset", "total_rows", "total_columns", repeats.alias("duplicate_rows"),
+        share(repeats, F.col("total_rows")).alias("duplicate_percentage"))
+
+
 def keep_first(df: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
     """First row of each identity by `order`, with the number of rows it stands for.
 

@@ -174,6 +174,15 @@ BYTES = {
 }
 
 
+WIDE = ("documents", "pages", "conversations", "embeddings", "d_lineitem")
+
+
+@query("profile_duplicates_wide", with_variants("d_lineitem") + " " + duplicates_sql(*WIDE))
+def profile_duplicates_wide(spark, root):
+    """Repeated rows by fingerprint; whole rows are compared only where fingerprints repeat."""
+    return p.duplicate_rows_by_fingerprint(frames(spark, root, *WIDE))
+
+
 @query("profile_bytes", " UNION ALL ".join(
     f"SELECT '{t}' AS dataset, CAST(sum({e}) AS BIGINT) AS data_bytes, count(*) AS total_rows "
     f"FROM {t}" for t, e in BYTES.items()))
