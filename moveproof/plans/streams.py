@@ -10,6 +10,7 @@ from moveproof.operators.profile_state import ERROR_BOUND
 from moveproof.plans.profiling import LAYOUT, counts_sql, share_sql
 from moveproof.plans.registry import query
 from moveproof.session import literal_rows, scratch_dir, table
+from moveproof.streaming import late
 from moveproof.streaming import tables as st
 
 
@@ -160,6 +161,36 @@ def stream_profile_state(spark, root):
         "least", "greatest", is_close("exact", "unique_value_count").alias("distinct_is_close"))
 
 
+# batches of five days; some rows come a batch late, some two, some come again in the next batch
+ARRIVALS = """
+SELECT event_id, ts, user_id, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 432000.0) AS BIGINT)
+  + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS batch FROM events"""
+
+
+@query("stream_event_time", f"""WITH once AS ({ARRIVALS}),
+arrivals AS (SELECT * FROM once UNION ALL SELECT event_id, ts, user_id, batch + 1 FROM once WHERE event_id % 7 = 0),
+latest AS (SELECT batch, max(ts) AS latest FROM arrivals GROUP BY batch),
+marks AS (SELECT b.batch, max(l.latest) - INTERVAL 4 DAYS AS mark FROM latest b LEFT JOIN latest l ON l.batch < b.batch
+  GROUP BY b.batch),
+judged AS (SELECT a.*, coalesce(ts <= mark, false) AS is_late FROM arrivals a JOIN marks USING (batch))
+SELECT event_id, user_id, 'late' AS status FROM judged WHERE is_late
+UNION ALL SELECT event_id, any_value(user_id), 'kept' FROM judged WHERE NOT is_late GROUP BY event_id""")
+def stream_event_time(spark, root):
+    """Late and repeated events under a watermark, the stream stopped and started for every batch."""
+    base = scratch_dir(spark, "stream-event-time")
+    events = table(spark, root, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    number = F.col("event_id")
+    day = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 432000)
+    once = events.withColumn("batch", day + F.when(number % 13 == 0, 2).when(number % 11 == 0, 1).otherwise(0))
+    arrivals = once.unionByName(once.filter(number % 7 == 0).withColumn("batch", F.col("batch") + 1))
+    ingest = late.EventTimeIngest(f"{base}/out", events.schema, "ts", ["event_id"], "4 days")
+    for i in range(9):
+        arrivals.filter(F.col("batch") == i).drop("batch").write.mode("append").parquet(f"{base}/in")
+        ingest.run(st.file_stream(spark, f"{base}/in", events.schema, "parquet"))
+    kept = ingest.rows(spark).select("event_id", "user_id", F.lit("kept").alias("status"))
+    return kept.unionByName(ingest.quarantined(spark).select("event_id", "user_id", F.col("error").alias("status")))
+
+
 @query("stream_drift", """
 WITH k AS (SELECT event_id % 2 AS batch, concat('u', user_id % 40) AS c FROM events
   UNION ALL SELECT event_id % 2, 'k' FROM events
