@@ -63,6 +63,20 @@ def column_changes(registry: DataFrame, current: DataFrame) -> DataFrame:
         "table", F.col("folded").alias("column"), F.when(F.col("is"), "ADDED").otherwise("REMOVED").alias("change"))
 
 
+def with_renames(changes: DataFrame, renames: DataFrame) -> DataFrame:
+    """`column_changes` in which a pair of REMOVED and ADDED that `renames` (table, old, new) names is one RENAMED row.
+
+    (table, column, change, renamed_to); `renamed_to` is null but for RENAMED.
+    """
+    pairs = renames.select("table", F.lower(strip(F.col("old"))).alias("old"), F.lower(strip(F.col("new"))).alias("new"))
+    old = pairs.select("table", F.col("old").alias("column"), F.lit("REMOVED").alias("change"), F.col("new").alias("renamed_to"))
+    new = pairs.select("table", F.col("new").alias("column"), F.lit("ADDED").alias("change"))
+    kept = changes.join(new, ["table", "column", "change"], "left_anti").join(old, ["table", "column", "change"], "left")
+    renamed = F.col("renamed_to").isNotNull()
+    return kept.withColumn("change", F.when(renamed, "RENAMED").otherwise(F.col("change"))).select(
+        "table", "column", "change", "renamed_to")
+
+
 def schema_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """New, removed and existing columns per table, case-sensitive, in registry order.
 

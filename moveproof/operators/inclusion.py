@@ -12,16 +12,21 @@ without places count as whole numbers, text of 64 octets or more is compared by
 its SHA-256. Reals, booleans and nested values are no keys and take no part.
 Nulls are no values. A column without values is included in everything and is
 not reported.
+
+The same sets tell which vanished column came back under another name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moveproof.functions.rates import share
-from moveproof.functions.text import compact
+from moveproof.functions.text import comparable, compact
 from moveproof.operators.profile import union_all
 from moveproof.session import literal_rows, stored
 
@@ -52,7 +57,18 @@ def _bits(name: str, ids: list[int]) -> Column:
         F.when(F.shiftright(f"{name}{i // WORD}", i % WORD).bitwiseAND(F.lit(1)) == 1, F.lit(i)) for i in ids]))
 
 
-def column_sets(frames: dict[str, DataFrame]) -> tuple[list[tuple[int, str, str]], DataFrame]:
+def any_value(col: Column, dtype: T.DataType) -> tuple[str, Column]:
+    """Like `key_value`, with reals, booleans and nested values as families of their own."""
+    if (found := key_value(col, dtype)) is not None:
+        return found
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "real", comparable(col.cast("double"), T.DoubleType()).cast("string")
+    return dtype.simpleString(), comparable(col, dtype).cast("string")
+
+
+def column_sets(
+    frames: dict[str, DataFrame], value_of: Callable[[Column, T.DataType], tuple[str, Column] | None] = key_value,
+) -> tuple[list[tuple[int, str, str]], DataFrame]:
     """The key-like columns, numbered, and the bitsets of columns that values have, stored.
 
     A row of the sets says that `n_values` values occur in the columns of `has`, and
@@ -64,7 +80,7 @@ def column_sets(frames: dict[str, DataFrame]) -> tuple[list[tuple[int, str, str]
     for name, df in frames.items():
         found: dict[str, list[Column]] = {}
         for f in df.schema.fields:
-            if (valued := key_value(F.col(f"`{f.name}`"), f.dataType)) is None:
+            if (valued := value_of(F.col(f"`{f.name}`"), f.dataType)) is None:
                 continue
             family, value = valued
             found.setdefault(family, []).append(F.struct(F.lit(len(columns)).alias("id"), value.alias("value")))
@@ -137,6 +153,50 @@ def relationships(frames: dict[str, DataFrame], min_share: float = 0.9, min_valu
         "rank", F.row_number().over(order))
 
 
+def renamed_columns(
+    before: dict[str, DataFrame], after: dict[str, DataFrame], min_similarity: float = 0.5,
+) -> list[tuple[str, str, str, int, int, int]]:
+    """Columns that vanished from a table and came back under another name, by the values they hold.
+
+    Names are compared without case. Of each table only the columns that vanished
+    or appeared are read. Two of them are alike by shared / all distinct values;
+    the most alike pair is taken first, of equals the one whose old column, then
+    whose new column, stands first in its table, and no column is taken twice.
+    Rows: (table, old, new, shared, old_values, new_values); a column without values matches none.
+    """
+    frames, order = {}, {}
+    for name in sorted(set(before) & set(after)):
+        sides = {"old": before[name], "new": after[name]}
+        folded = {k: {c.strip().lower() for c in df.columns} for k, df in sides.items()}
+        for side, other in (("old", "new"), ("new", "old")):
+            own = [c for c in sides[side].columns if c.strip().lower() not in folded[other]]
+            order |= {(name, side, c): i for i, c in enumerate(own)}
+            if own:
+                frames[f"{side}:{name}"] = sides[side].select(*[F.col(f"`{c}`") for c in own])
+    if not frames:
+        return []
+    columns, sets = column_sets(frames, any_value)
+    ids = [i for i, _, _ in columns]
+    own = sets.select(F.explode(_bits("has", ids)).alias("i"), _bits("has", ids).alias("ids"), "n_values")
+    counts = own.select("i", F.explode("ids").alias("j"), "n_values").groupBy("i", "j").agg(
+        F.sum("n_values").alias("n")).collect()  # one row per pair of changed columns
+    shared = {(r["i"], r["j"]): r["n"] for r in counts}
+    pairs = []
+    for (i, j), n in shared.items():
+        (_, left, old), (_, right, new) = columns[i], columns[j]
+        if left.startswith("old:") and right == f"new:{left[4:]}":
+            table, a, b = left[4:], shared[i, i], shared[j, j]
+            if n >= min_similarity * (a + b - n):
+                rank = (-Fraction(n, a + b - n), order[table, "old", old], order[table, "new", new])
+                pairs.append((table, rank, old, new, n, a, b))
+    taken, out = set(), []
+    for table, _, old, new, n, a, b in sorted(pairs):
+        if not {(table, "old", old), (table, "new", new)} & taken:
+            taken |= {(table, "old", old), (table, "new", new)}
+            out.append((table, old, new, n, a, b))
+    return out
+
+
 def as_relations(found: DataFrame, frames: dict[str, DataFrame]) -> list[dict]:
     """Discovered pairs in the form `keys.fk_orphans` takes; at most one for each pair of columns."""
     return [{

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moveproof.operators import drift
+from moveproof.operators import drift, inclusion
 from moveproof.operators import history as hist
 from moveproof.plans.naming import USABLE, physical_sql
 from moveproof.plans.registry import query
-from moveproof.plans.variants import variant, with_variants
-from moveproof.session import table
+from moveproof.plans.variants import Inputs, variant, with_variants
+from moveproof.session import literal_rows, table
 
 REGISTRIES = with_variants("registry_prev", "registry_cur")
 
@@ -198,3 +198,49 @@ def expected_objects(spark, root):
         F.col("p_type").alias("object_type"), F.upper(name).alias("name")
     )
     return hist.expected_objects(expected, actual)
+
+
+# --- renames ------------------------------------------------------------------------------
+#: Per table the columns that vanish and those that appear, with their families.
+RENAMED = {
+    "orders": ([("o_custkey", "whole"), ("o_orderstatus", "text"), ("o_totalprice", "real"), ("o_orderpriority", "text")],
+               [("customer_ref", "whole"), ("amount", "real"), ("prio", "text"), ("state", "text")]),
+    "customer": ([("c_custkey", "whole"), ("c_name", "text"), ("c_acctbal", "real")],
+                 [("id", "whole"), ("full_name", "text"), ("balance", "real"), ("same_name", "text")]),
+}
+PAIRS_SQL = " UNION ALL ".join(
+    f"""SELECT '{t}' AS t, '{old}' AS old, '{new}' AS new, {i} AS i, {j} AS j,
+  (SELECT count(DISTINCT {old}) FROM {t}) AS a, (SELECT count(DISTINCT {new}) FROM r_{t}) AS b,
+  (SELECT count(*) FROM (SELECT {old} FROM {t} WHERE {old} IS NOT NULL INTERSECT SELECT {new} FROM r_{t})) AS n"""
+    for t, (olds, news) in RENAMED.items()
+    for i, (old, f) in enumerate(olds) for j, (new, g) in enumerate(news) if f == g)
+SIDES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, '{change}' AS change"
+    for t, sides in RENAMED.items() for change, side in zip(("REMOVED", "ADDED"), sides) for c, _ in side)
+
+
+@query("schema_renames", with_variants("r_orders", "r_customer").replace("WITH", "WITH RECURSIVE", 1) + f""",
+pairs AS ({PAIRS_SQL}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n / (a + b - n) DESC, i, j) AS k
+  FROM pairs WHERE 2 * n >= a + b - n),
+walk AS (
+  SELECT DISTINCT t, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS old, NULL::VARCHAR AS new FROM ranked
+  UNION ALL
+  SELECT r.t, r.k, CASE WHEN list_has_any(w.used, [r.old, r.new]) THEN w.used ELSE w.used || [r.old, r.new] END,
+    CASE WHEN NOT list_has_any(w.used, [r.old, r.new]) THEN r.old END,
+    CASE WHEN NOT list_has_any(w.used, [r.old, r.new]) THEN r.new END
+  FROM walk w JOIN ranked r ON r.t = w.t AND r.k = w.k + 1),
+renames AS (SELECT t, old, new FROM walk WHERE old IS NOT NULL),
+sides AS ({SIDES_SQL})
+SELECT t AS "table", old AS "column", 'RENAMED' AS change, new AS renamed_to FROM renames
+UNION ALL SELECT t, c, change, NULL FROM sides s WHERE NOT EXISTS (
+  SELECT 1 FROM renames r WHERE r.t = s.t AND (r.old = s.c AND change = 'REMOVED' OR r.new = s.c AND change = 'ADDED'))""")
+def schema_renames(spark, root):
+    """Changed columns of two tables, a renamed one as one row instead of a removed and an added one."""
+    inputs = Inputs(spark, root, *RENAMED, *[f"r_{t}" for t in RENAMED])
+    before, after = {t: inputs[t] for t in RENAMED}, {t: inputs[f"r_{t}"] for t in RENAMED}
+    names = lambda frames: literal_rows(spark, "table string, column string", [
+        (t, c) for t, df in frames.items() for c in df.columns])
+    found = inclusion.renamed_columns(before, after)
+    renames = literal_rows(spark, "table string, old string, new string", [r[:3] for r in found])
+    return drift.with_renames(drift.column_changes(names(before), names(after)), renames)

@@ -10,7 +10,7 @@ from moveproof.operators.profile_state import ERROR_BOUND
 from moveproof.plans.profiling import LAYOUT, counts_sql, share_sql
 from moveproof.plans.registry import query
 from moveproof.session import literal_rows, scratch_dir, table
-from moveproof.streaming import late
+from moveproof.streaming import aggregates, late
 from moveproof.streaming import tables as st
 
 
@@ -191,6 +191,42 @@ def stream_event_time(spark, root):
     return kept.unionByName(ingest.quarantined(spark).select("event_id", "user_id", F.col("error").alias("status")))
 
 
+PRICED = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+    T.StructField("o_orderpriority", T.StringType()), T.StructField("cents", T.LongType()),
+])
+
+
+@query("mv_incremental_orders", """
+WITH final AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderpriority,
+  CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 9 = 0 THEN 5 ELSE 0 END AS cents
+  FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT o_custkey, o_orderpriority, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS sum_cents FROM final GROUP BY ALL""")
+def mv_incremental_orders(spark, root):
+    """An aggregated copy refreshed from the change log after inserts, updates that move rows, and deletes."""
+    base = scratch_dir(spark, "mv-incremental")
+    key = F.col("o_orderkey")
+    orders = table(spark, root, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+        F.lit(False).alias("gone"))
+    moved = orders.withColumn("cents", F.col("cents") + 5).withColumn(
+        "o_custkey", F.when(key % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    changes = st.ChangeTable(spark, f"{base}/out", PRICED, ["o_orderkey"])
+    view = aggregates.AggregateView(changes, f"{base}/view", ["o_custkey", "o_orderpriority"], ["cents"])
+    arriving = T.StructType([*PRICED.fields, T.StructField("gone", T.BooleanType())])
+
+    def run(spark):
+        st.apply_changes(st.file_stream(spark, f"{base}/in", arriving), changes, f"{base}/checkpoint", "gone")
+        view.refresh(spark)
+
+    steps(spark, f"{base}/in", [
+        orders.filter(key % 3 > 0), orders.filter(key % 3 == 0),
+        moved.filter((key % 7 == 0) | (key % 9 == 0)),
+        orders.filter(key % 4 == 0).withColumn("gone", F.lit(True)),
+    ], run)
+    return view.read(spark).withColumn("sum_cents", F.col("sum_cents").cast("long"))
+
+
 @query("stream_drift", """
 WITH k AS (SELECT event_id % 2 AS batch, concat('u', user_id % 40) AS c FROM events
   UNION ALL SELECT event_id % 2, 'k' FROM events

@@ -36,6 +36,10 @@ SQL = {
                   "FROM customer WHERE c_custkey % 7 <> 0 UNION ALL "
                   "SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment "
                   "FROM customer WHERE c_custkey % 11 = 0",
+    "r_orders": "SELECT o_orderkey, o_custkey AS customer_ref, o_totalprice AS amount, o_orderdate, "
+                "o_orderpriority AS prio, concat(o_orderstatus, 'x') AS state FROM orders WHERE o_orderkey % 10 <> 0",
+    "r_customer": "SELECT c_custkey AS id, c_name AS full_name, c_nationkey, c_acctbal AS balance, c_mktsegment, "
+                  "c_name AS same_name FROM customer WHERE c_custkey % 7 <> 0",
     "s_orders": "SELECT CAST(o_orderkey AS STRING) AS o_orderkey, "
                 "CAST(o_custkey AS STRING) AS o_custkey, o_orderstatus, "
                 "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS o_totalprice, "
