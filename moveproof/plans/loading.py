@@ -116,25 +116,30 @@ def _named_file(lines, folder: str, name: str) -> None:
 
 
 LINE_DIGEST = """
-lines AS (SELECT f.file, f.size, u.line, u.i FROM files f,
-  LATERAL (SELECT unnest(string_split(f.body, chr(10))) AS line, generate_subscripts(string_split(f.body, chr(10)), 1) - 1 AS i) u),
+lines AS (SELECT file, size, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS i
+  FROM (SELECT file, size, string_split(body, chr(10)) AS parts FROM files) f),
 blocks AS (SELECT file, size, i // 65536 AS block, sha256(string_agg(sha256(line), '' ORDER BY i)) AS hash
   FROM lines GROUP BY ALL)
 SELECT file, sha256(concat(size, ':', sha256(string_agg(hash, '' ORDER BY block)))) AS digest
 FROM blocks GROUP BY file, size"""
 
 
-@query("file_digests", """
+#: Documents in one file of the digest query.
+FILE_IDS = 400
+
+
+@query("file_digests", f"""
 WITH files AS (
-SELECT concat(lang, '.txt') AS file, string_agg(text, chr(10) ORDER BY doc_id) AS body,
-       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size FROM documents GROUP BY lang),""" + LINE_DIGEST)
+SELECT doc_id // {FILE_IDS} AS file, string_agg(text, chr(10) ORDER BY doc_id) AS body,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size FROM documents GROUP BY ALL),""" + LINE_DIGEST)
 def file_digests(spark, root):
+    """All documents as files of neighbouring ids, each written by a task of its own."""
     folder = scratch_dir(spark, "digests")
-    docs = table(spark, root, "documents")
-    for row in docs.select("lang").distinct().collect():  # one file per language
-        own = docs.filter(F.col("lang") == row["lang"]).coalesce(1).sortWithinPartitions("doc_id")
-        _named_file(own.select("text"), folder, f"{row['lang']}.txt")
-    return writers.file_digests(spark, folder)
+    docs = table(spark, root, "documents").withColumn("file", F.floor(F.col("doc_id") / FILE_IDS).cast("int"))
+    files = docs.agg(F.max("file")).first()[0] + 1
+    docs.repartitionById(files, F.col("file")).sortWithinPartitions("doc_id").select("text").write.text(folder)
+    return writers.file_digests(spark, folder).withColumn(
+        "file", F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
 
 
 @query("ingest_folder", """
@@ -173,13 +178,17 @@ def ingest_folder(spark, root):
     return union_all([*(r.select(*columns) for r in runs), *counts])
 
 
-@query("unsupported_files", """
-SELECT 'notes.txt' AS dataset, 'UNSUPPORTED_FILE' AS issue_type, 'LOW' AS severity FROM region LIMIT 1""")
+LISTED = "concat('s3/in.d/', source, '/', doc_id, CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.JSON' " \
+    "WHEN 2 THEN '.txt' WHEN 3 THEN '.csv.gz' WHEN 4 THEN '' ELSE '.Parquet' END)"
+
+
+@query("unsupported_files", f"""
+SELECT regexp_extract(path, '([^/]+)$', 1) AS dataset, 'UNSUPPORTED_FILE' AS issue_type, 'LOW' AS severity
+FROM (SELECT {LISTED} AS path FROM documents) f
+WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) NOT IN ('.csv', '.json')""")
 def unsupported_files(spark, root):
-    folder = scratch_dir(spark, "kinds")
-    _named_file(table(spark, root, "region").select("r_name"), folder, "notes.txt")
-    _named_file(table(spark, root, "nation").select("n_name"), folder, "nations.csv")
-    return readers.unsupported_files(spark, folder)
+    """An inventory of one file for each document, of mixed kinds."""
+    return readers.unsupported_names(table(spark, root, "documents").select(F.expr(LISTED).alias("path")))
 
 
 # --- load modes -----------------------------------------------------------------------

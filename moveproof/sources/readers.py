@@ -222,7 +222,11 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def unsupported_files(spark: SparkSession, folder: str) -> DataFrame:
     """Findings for files in the folder that no reader takes."""
-    files = spark.read.format("binaryFile").load(folder).select("path")  # content is not read
+    return unsupported_names(spark.read.format("binaryFile").load(folder).select("path"))  # content is not read
+
+
+def unsupported_names(files: DataFrame) -> DataFrame:
+    """Findings for listed files (`path`) whose suffix no reader takes, as a catalog or a bucket inventory lists them."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return files.filter(~suffix.isin(list(SUPPORTED))).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("dataset"),
