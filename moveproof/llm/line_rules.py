@@ -2,9 +2,10 @@
 
 Lines are normalised (A-Z lower-cased, white space runs to one space, ends
 trimmed), hashed, and counted per host over documents of distinct text, so
-exact copies of one text count once. A line is above the limit if more than
-`most_documents` documents of the host and more than `most_share` of them have
-it; it is then removed from all but the first text of that host (the least
+exact copies of one text count once (they are for the near-duplicate stage, which leaves one
+of them; counted apart, copies would make each other's lines common). A line is above the limit if more than
+`most_documents` documents of the host and more than `most_share` of them, or in any case more than
+`most_limit`, have it; it is then removed from all but the first text of that host (the least
 hash), so of a group of near copies one document is left whole. A document of which fewer than
 `least_words` words or less than `least_share` of its words remain is depleted.
 
@@ -31,6 +32,9 @@ MOST_REPEAT_PERCENT = 20
 
 MOST_DOCUMENTS = 20
 MOST_SHARE = 0.01
+MOST_LIMIT = 200
+#: Rejected texts up to which they are broadcast; a pair of host and hash each.
+BROADCAST_TEXTS = 400_000
 LEAST_WORDS = 10
 LEAST_SHARE = 0.3
 
@@ -102,9 +106,9 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(
-    lines: DataFrame, texts: DataFrame, most_documents: int, most_share: float
+    lines: DataFrame, texts: DataFrame, most_documents: int, most_share: float, most_limit: int = MOST_LIMIT
 ) -> DataFrame:
-    """host, line, first: lines above both limits, and the text that keeps them."""
+    """host, line, first: lines above the limits, and the text that keeps them."""
     per_host = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts")).select(
         F.col("host").alias("_host"), "texts")
     counts = lines.groupBy("host", "line").agg(
@@ -113,7 +117,7 @@ def common_lines(
     return (
         counts.filter(F.col("documents") > most_documents)
         .join(per_host, F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("documents") > most_share * F.col("texts"))
+        .filter(F.col("documents") > F.least(most_share * F.col("texts"), F.lit(float(most_limit))))
         .select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first")
     )
 
@@ -121,31 +125,39 @@ def common_lines(
 def _removed(
     found: DataFrame, most_documents: int, most_share: float
 ) -> DataFrame:
-    """_host, _key, _removed: words of common lines that texts lose; stored."""
-    lines = text_lines(found)
+    """_host, _key, _removed, _words: words of common lines that texts lose, and all their words; stored."""
+    lines = stored(text_lines(found), "lines")  # split once, read for the counts and for the texts
     texts = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))
     common = common_lines(lines, texts, most_documents, most_share)
     in_text = (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
-    removed = lines.join(common, in_text).filter("key != first").groupBy("host", "key").agg(
-        F.sum("n").alias("n")).alias("r")
+    lost = F.when(F.col("key") != F.col("first"), F.col("n")).otherwise(0)
+    removed = lines.join(common, in_text, "left").groupBy("host", "key").agg(
+        F.sum(lost).alias("n"), F.sum("n").alias("words")).filter("n > 0").alias("r")
     same = F.col("r.host").eqNullSafe(F.col("t.host")) & (F.col("r.key") == F.col("t.key"))
+    each = lambda c: (F.col(c) / F.col("copies")).cast("long")
     return stored(removed.join(texts.alias("t"), same).select(
         F.col("r.host").alias("_host"), F.col("r.key").alias("_key"),
-        (F.col("n") / F.col("copies")).cast("long").alias("_removed")), "common-lines")
+        each("n").alias("_removed"), each("words").alias("_words")), "common-lines")
 
 
-def _judged(base: DataFrame, removed: DataFrame, least_words: int, least_share: float) -> DataFrame:
-    """Rows of host, key and base measures with n_common_words, base_failed and kept."""
-    failed = (F.col("n_words") < LEAST_BASE_WORDS) | (
+def _failed() -> Column:
+    return (F.col("n_words") < LEAST_BASE_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _depleted(least_words: int, least_share: float) -> Column:
     left = F.col("n_words") - F.col("n_common_words")
-    depleted = (left < least_words) | (left < least_share * F.col("n_words"))
+    return (left < least_words) | (left < least_share * F.col("n_words"))
+
+
+def _judged(base: DataFrame, removed: DataFrame, least_words: int, least_share: float) -> DataFrame:
+    """Rows of host, key and base measures with n_common_words, base_failed and kept."""
     same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key"))
     return (
-        base.join(removed, same, "left")
+        base.join(removed.drop("_words"), same, "left")
         .withColumn("n_common_words", F.coalesce("_removed", F.lit(0)).cast("long"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~depleted)
+        .withColumn("base_failed", _failed())
+        .withColumn("kept", ~F.col("base_failed") & ~_depleted(least_words, least_share))
     )
 
 
@@ -162,7 +174,7 @@ def quality_rules(
     judged = _judged(base, _removed(found, most_documents, most_share), least_words, least_share)
     return judged.select(
         public_id().alias("doc_id"), "key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "base_failed", "n_common_words", "kept")
+        "n_repeat_words", "base_failed", "kept", "n_common_words")
 
 
 def kept_documents(
@@ -170,12 +182,21 @@ def kept_documents(
     least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id",
     text_col: str = "text", host_col: str = "source",
 ) -> DataFrame:
-    """The rows that `quality_rules` keeps, with all their columns."""
+    """The rows that `quality_rules` keeps, with all their columns.
+
+    Whole documents are not shuffled to be judged: the base rules see one row
+    each, depletion follows from the lines, and the depleted texts, as
+    host and hash, are held against the documents; up to `BROADCAST_TEXTS` of them are broadcast.
+    """
     found = identified(docs, id_col, text_col, host=host_col)
-    counted = base_measures(F.col(f"row.`{text_col}`"))["counted"]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col(f"row.`{host_col}`").alias("host"),
-        F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("key"), counted.alias("counted"),
-    ).select("row", "host", "key", "counted.*")
-    judged = _judged(base, _removed(found, most_documents, most_share), least_words, least_share)
-    return judged.filter("kept").select("row.*")
+    lost = _removed(found, most_documents, most_share).withColumns(
+        {"n_words": F.col("_words"), "n_common_words": F.col("_removed")})
+    gone = stored(lost.filter(_depleted(least_words, least_share)).select("_host", "_key"), "depleted")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_text") == F.col("_key"))
+    judged = docs.select(row.alias("row"), F.col(f"`{host_col}`").alias("host"),
+                         F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_text"))
+    judged = judged.join(gone, same, "left_anti").select(
+        "row", base_measures(F.col(f"row.`{text_col}`"))["counted"].alias("counted")).select("row", "counted.*")
+    return judged.filter(~_failed()).select("row.*")

@@ -83,7 +83,7 @@ hosts AS (SELECT source, count(DISTINCT text) AS texts FROM docs GROUP BY source
 limits AS (
   SELECT l.source, l.line, arg_min(l.text, l.doc_id) AS first
   FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line
-  HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) > 0.01 * any_value(texts)),
+  HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) > least(0.01 * any_value(texts), 200)),
 removed AS (
   SELECT r, sum(n) AS n_common_words FROM lines l JOIN limits m
     ON l.source IS NOT DISTINCT FROM m.source AND l.line = m.line

@@ -103,3 +103,28 @@ def test_rules_on_empty_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(None, text, None, 1, 2)], "doc_id long, text string, source string, key int, host int")
     assert [(r.doc_id, r.kept) for r in line_rules.quality_rules(docs).collect()] == [(None, True)]
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    """One host of 30,000 texts: 1 % of them would be 300, but a line in 201 of them is above the limit."""
+    own = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.format_string(
+        "w%da w%db w%dc w%dd w%de w%df w%dg w%dh w%di w%dj w%dk", *["id"] * 11).alias("own"))
+    line = lambda name, n: F.when(F.col("doc_id") < n, F.concat(F.lit(f"the {name} line of the host\n"))).otherwise("")
+    docs = own.withColumn("text", F.concat(line("frequent", 201), line("rarer", 200), "own"))
+    got = line_rules.quality_rules(docs).groupBy("n_common_words").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 29_800), (6, 200)]
+
+
+def test_kept_documents_are_those_that_the_rules_keep(spark, root, monkeypatch):
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    common = "A line that all of them share, of eleven words or so."
+    some = spark.createDataFrame(
+        [(90_000 + i, f"{common}\nown {i}" if i % 3 else f"{common}\n" + " ".join(f"x{i}y{j}" for j in range(30)), "en",
+          None if i % 2 else "src0", 1) for i in range(120)], docs.schema)
+    docs = docs.unionByName(some).unionByName(some.limit(9))
+    judged = line_rules.quality_rules(docs)
+    assert judged.filter("not base_failed and not kept").count() > 60
+    wanted = sorted(r.doc_id for r in judged.filter("kept").collect())
+    assert sorted(r.doc_id for r in line_rules.kept_documents(docs).collect()) == wanted
+    monkeypatch.setattr(line_rules, "BROADCAST_TEXTS", 0)
+    assert sorted(r.doc_id for r in line_rules.kept_documents(docs).collect()) == wanted
