@@ -9,7 +9,8 @@ each window) per partition and merges them. An anchor's count is at least the
 count of any window that has it, so the sketch overestimates window counts.
 Pass 2 sends only windows estimated repeated and groups them exactly: windows
 of one anchor travel together as one row, and the least id of each window is
-found by sorting. Anchors counted `hot` times or more would make large groups;
+found by sorting. A stretch that a text repeats is counted and sent once, with all its
+places. Anchors counted `hot` times or more would make large groups;
 their windows travel as rows of their own, folded inside each task first.
 
 Null text counts as empty, a null id as the largest, rows that repeat id and
@@ -32,13 +33,14 @@ from moveproof.llm.frames import identified, partitions, power_of_two, public_id
 
 WINDOW = 50
 GRAM = 18
-#: Occurrences of an anchor from which its windows are grouped one by one; bounds a group to 6 MB.
+#: Different stretches (of all texts) with an anchor from which its windows are grouped one by one; bounds
+#: a group to this many rows of at most `WINDOW - GRAM + 1` windows.
 HOT = 1 << 15
 SALTS = 16
 #: Bound of the sketch: four bitmaps of this many bits are broadcast.
 MOST_CELLS = 1 << 28
 
-RUNS = "anchor long, id long, key long, start int, windows binary"
+RUNS = "anchor long, id long, key long, starts binary, windows binary"
 SINGLE = "anchor long, window long, id long, key long, start int"
 RESULT = "id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -49,12 +51,27 @@ def _runs(texts, window, gram):
     return W.runs_of(hashes, found.bounds, window, gram), found, hashes
 
 
+def _stretches(runs: W.Runs, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in an order in which a text's equal ones are neighbours, and where each kind begins.
+
+    A run's first and last window together hold all its words.
+    """
+    if not len(runs.text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, last = windows[runs.start], windows[runs.start + runs.length - 1]
+    parts = (runs.start, last, first, runs.length, runs.anchor, runs.text)
+    order = np.lexsort(parts)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([part[order][1:] != part[order][:-1] for part in parts[1:]], axis=0)
+    return order, np.flatnonzero(new)
+
+
 def _anchor_hashes(window, gram):
     def hashes_of(batches):
         for _, texts in W.sliced(batches):
-            runs = _runs(texts, window, gram)[0]
-            salt = W.mix(runs.text.astype(np.uint64))
-            yield np.unique(np.stack([runs.anchor, salt], 1), axis=0)[:, 0] if len(salt) else salt
+            runs, _, hashes = _runs(texts, window, gram)
+            order, new = _stretches(runs, W.window_hashes(hashes, window))
+            yield runs.anchor[order[new]]
     return hashes_of
 
 
@@ -67,8 +84,13 @@ def _candidates(seen, window, gram, hot):
             pick = np.flatnonzero(is_hot if hot else seen.value.repeated(runs.anchor) & ~is_hot)
             if not len(pick):
                 continue
-            length = runs.length[pick]
             all_windows = W.window_hashes(hashes, window)
+            if not hot:
+                chosen = W.Runs(*(part[pick] for part in runs))
+                order, new = _stretches(chosen, all_windows)
+                places = (chosen.start - found.bounds[chosen.text])[order].astype("<i4")
+                pick = pick[order[new]]
+            length = runs.length[pick]
             windows = all_windows[W.ranges(runs.start[pick], length)]
             start = runs.start[pick] - found.bounds[runs.text[pick]]
             of = runs.text[pick]
@@ -79,10 +101,11 @@ def _candidates(seen, window, gram, hot):
                 names, order = ["anchor", "window", "id", "key", "start"], (0, 4, 1, 2, 3)
             else:
                 anchor, last = runs.anchor[pick], W.binary(windows, length)
-                names, order = ["anchor", "id", "key", "start", "windows"], (0, 1, 2, 3, 4)
+                start = W.binary(places, np.diff(new, append=len(places)))
+                names, order = ["anchor", "id", "key", "starts", "windows"], (0, 1, 2, 3, 4)
             of = pa.array(of)
             columns = [pa.array(anchor.view(np.int64)), batch.column("id").take(of),
-                       batch.column("key").take(of), pa.array(start.astype(np.int32)), last]
+                       batch.column("key").take(of), pa.array(start.astype(np.int32)) if hot else start, last]
             yield pa.RecordBatch.from_arrays([columns[i] for i in order], names)
     return rows
 
@@ -104,10 +127,10 @@ def _later(batches):
         keep = np.flatnonzero(total[ends] > total[ends - length])
         if len(keep):
             picked = flags[W.ranges((ends - length)[keep], length[keep])]
-            rest = table.select(["id", "key", "start"]).take(pa.array(keep)).combine_chunks()
+            rest = table.select(["id", "key", "starts"]).take(pa.array(keep)).combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [W.column_of(rest, n) for n in ("id", "key", "start")]
-                + [W.binary(picked, length[keep])], ["id", "key", "start", "flags"])
+                [W.column_of(rest, n) for n in ("id", "key", "starts")]
+                + [W.binary(picked, length[keep])], ["id", "key", "starts", "flags"])
 
 
 def _cut(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
@@ -129,7 +152,9 @@ def _assemble(window, with_text, carried):
                 raw = texts.data[texts.bounds[i]:texts.bounds[i + 1]].tobytes()
                 kept = words = raw.split()
                 if marks[i].is_valid:
-                    gone = W.covered(marks[i].as_py(), len(words), window)
+                    places = [{"start": start, "flags": mark["flags"]} for mark in marks[i].as_py()
+                              for start in np.frombuffer(mark["starts"], "<i4").tolist()]
+                    gone = W.covered(places, len(words), window)
                     kept = list(compress(words, ~gone))
                     if with_text:
                         starts = found.starts[found.bounds[i]:found.bounds[i + 1]]
@@ -155,7 +180,7 @@ def marked_windows(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT,
     most_cells: int = MOST_CELLS,
 ) -> DataFrame:
-    """id, key, start, flags: windows (flag per window from `start`) that an earlier document has."""
+    """id, key, starts, flags: windows (flag per window from each start) that an earlier document has."""
     spark, size = docs.sparkSession, text_bytes(docs)
     # an anchor for about every (window - gram) / 2 words of six bytes, eight cells for each
     cells = power_of_two(8 * size / (3 * (window - gram + 2)), 1 << 18, most_cells)
@@ -165,7 +190,7 @@ def marked_windows(
     runs = docs.mapInArrow(_candidates(seen, window, gram, False), RUNS)
     marks = (
         runs.repartition(partitions(docs, size / 2), "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_later, "id long, key long, start int, flags binary")
+        .mapInArrow(_later, "id long, key long, starts binary, flags binary")
     )
     if not found.any_hot:
         return marks
@@ -177,7 +202,9 @@ def marked_windows(
     salted = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     single = single.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
     later = single.join(salted, ["anchor", "window", "salt"]).filter("id > first")
-    return marks.unionByName(later.select("id", "key", "start", F.lit(b"\x01").alias("flags")))
+    # as the bytes of a little-endian number, like the places of whole runs
+    place = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("start", 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)]))
+    return marks.unionByName(later.select("id", "key", place.alias("starts"), F.lit(b"\x01").alias("flags")))
 
 
 def dedup_substrings(
@@ -197,7 +224,7 @@ def dedup_substrings(
     found = identified(docs, id_col, text_col, **own)
     marks = marked_windows(found, window, gram, hot, most_cells)
     per_doc = marks.groupBy("id", "key").agg(
-        F.collect_list(F.struct("start", "flags")).alias("marks"))
+        F.collect_list(F.struct("starts", "flags")).alias("marks"))
     schema = RESULT + (", key long, kept_text string" if with_text else "") + "".join(
         f", {name} {found.schema[name].dataType.simpleString()}" for name in own)
     out = found.join(per_doc, ["id", "key"], "left").mapInArrow(

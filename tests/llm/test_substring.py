@@ -1,6 +1,9 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,28 @@ def test_query_equals_brute_force(spark, root):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").collect()]
     assert result(QUERIES["op1_substring_dedup"](spark, root)) == brute(rows, 50)
+
+
+def test_a_phrase_that_texts_repeat_is_one_row_for_each_text(spark):
+    """A text of one phrase over and over has hundreds of runs of one anchor, but few different ones."""
+    phrase = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join(phrase * (150 + i % 3) + [f"own{i}"])) for i in range(40)] + [(90, " ".join(phrase * 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (substring.HOT, 60, 3):
+        assert result(substring.dedup_substrings(docs, hot=hot)) == brute(rows, 50)
+
+    known = SimpleNamespace(value=SimpleNamespace(
+        repeated=lambda anchors: np.ones(len(anchors), bool), hot=lambda anchors: np.zeros(len(anchors), bool)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0]), pa.array([1]), pa.array([rows[0][1]])], ["id", "key", "text"])
+    sent = list(substring._candidates(known, 50, 18, False)(iter([batch])))
+    assert sum(b.num_rows for b in sent) < 40
+    assert sum(len(p.as_py()) // 4 for b in sent for p in b.column("starts")) > 140
+
+
+def test_the_group_bound_holds_on_repetitive_texts(spark):
+    """What the sketch counts is what is sent: with a small bound no group holds more rows than it."""
+    phrase = [f"p{i}" for i in range(7)]
+    rows = [(i, " ".join(phrase * 40)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert result(substring.dedup_substrings(docs, hot=50)) == brute(rows, 50)
