@@ -220,7 +220,7 @@ def _added(dtype):
 
 
 def _collected(frame: DataFrame, dtype) -> np.ndarray:
-    sums = frame.groupBy("part").applyInArrow(_added(dtype), "part int, sums binary").collect()
+    sums = sketch.folded(frame, "part", _added(dtype), "part int, sums binary").collect()
     return np.concatenate([np.frombuffer(r["sums"], dtype) for r in sorted(sums)]) if sums else np.zeros(0, dtype)
 
 

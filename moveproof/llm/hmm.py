@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moveproof.llm import words as W
+from moveproof.llm import sketch, words as W
 from moveproof.llm.frames import send_code, stored
 
 HEAD = 1 << 18
@@ -235,13 +235,13 @@ def _expected(known):
                 total += np.concatenate([begin[:, None], move, emit], 1)
         if any_:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(states), pa.int32()), pa.array([r.astype("<f4").tobytes() for r in total])],
+                [pa.array(range(states), pa.int32()), pa.array([r.astype("<f8").tobytes() for r in total])],
                 ["state", "counts"])
     return rows
 
 
 def _added(table):
-    total = sum(np.frombuffer(c.as_buffer(), "<f4").astype(np.float64) for c in table.column("counts"))
+    total = sum(np.frombuffer(c.as_buffer(), "<f8") for c in table.column("counts"))
     return pa.table({"state": table.column("state")[:1], "counts": pa.array([total.tobytes()])})
 
 
@@ -251,8 +251,8 @@ def baum_welch(encoded: DataFrame, base: np.ndarray, states: int = STATES, round
     model = Model.first(base, states)
     for _ in range(rounds):
         known = context.broadcast(model)
-        sums = encoded.select("classes").mapInArrow(_expected(known), "state int, counts binary").groupBy(
-            "state").applyInArrow(_added, "state int, counts binary").collect()
+        layout = "state int, counts binary"
+        sums = sketch.folded(encoded.select("classes").mapInArrow(_expected(known), layout), "state", _added, layout).collect()
         if not sums:
             return model
         table = np.stack([np.frombuffer(r["counts"]) for r in sorted(sums)])

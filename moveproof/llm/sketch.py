@@ -13,12 +13,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from moveproof.llm.words import mix
 
 ROWS = 2
 BLOCK_BITS = 18
 FLUSH = 1 << 21
+#: Arrays that one task merges.
+FAN = 32
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
@@ -50,6 +53,23 @@ class Repeats:
         return any(b.any() for b in self.often)
 
 
+def folded(partial: DataFrame, by: str, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One row for each value of `by`, merged from the rows of all tasks in levels.
+
+    `merge` makes one row of some rows of equal `by`, in the same layout. Tasks
+    of neighbouring numbers are merged FAN at a time, then FAN of the results,
+    then the rest, so a group holds FAN arrays up to FAN**3 tasks.
+    """
+    def level(table):
+        return merge(table).append_column("_at", table.column("_at")[:1])
+
+    rows = partial.withColumn("_at", F.spark_partition_id())
+    for _ in range(2):
+        rows = rows.withColumn("_at", F.floor(F.col("_at") / FAN).cast("int")).groupBy(by, "_at").applyInArrow(
+            level, f"{schema}, _at int")
+    return rows.drop("_at").groupBy(by).applyInArrow(merge, schema)
+
+
 def _packed(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
     """One row per touched block: offsets of its cells and their counts."""
     block, offsets, counts = [], [], []
@@ -92,17 +112,30 @@ def repeats(
         if size:
             yield _packed(np.concatenate(held), bits)
 
-    def merge(table):
+    def summed(cells, counts):
         total = np.zeros(1 << block_bits, np.int64)
-        for cell, n in zip(table.column("cells"), table.column("counts")):
+        for cell, n in zip(cells, counts):
             at = np.frombuffer(cell.as_buffer(), "<u4")
             total[at] += np.frombuffer(n.as_buffer(), "<u2")
-        maps = [np.packbits(total >= least, bitorder="little").tobytes() for least in (2, hot)]
-        return pa.table({"block": table.column("block")[:1],
-                         "twice": pa.array([maps[0]]), "often": pa.array([maps[1]])})
+        return total
 
-    partial = df.mapInArrow(count, "block long, cells binary, counts binary")
-    merged = partial.groupBy("block").applyInArrow(merge, "block long, twice binary, often binary")
+    def merge(table):
+        total = summed(table.column("cells"), table.column("counts"))
+        at = np.flatnonzero(total)
+        return pa.table({"block": table.column("block")[:1], "cells": pa.array([at.astype("<u4").tobytes()]),
+                         "counts": pa.array([np.minimum(total[at], 65535).astype("<u2").tobytes()])})
+
+    def bitmaps(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total = summed(batch.column("cells")[i:i + 1], batch.column("counts")[i:i + 1])
+                maps = [np.packbits(total >= least, bitorder="little").tobytes() for least in (2, min(hot, 65535))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block")[i:i + 1], *(pa.array([m], pa.binary()) for m in maps)], ["block", "twice", "often"])
+
+    layout = "block long, cells binary, counts binary"
+    merged = folded(df.mapInArrow(count, layout), "block", merge, layout).mapInArrow(
+        bitmaps, "block long, twice binary, often binary")
     size = max(1, cells // 8)
     twice, often = ([np.zeros(size, np.uint8) for _ in range(ROWS)] for _ in range(2))
     step = max(1, (1 << block_bits) // 8)
@@ -137,8 +170,8 @@ def frequencies(
         total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()])})
 
-    merged = df.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(
-        merge, "block long, counts binary")
+    layout = "block long, counts binary"
+    merged = folded(df.mapInArrow(count, layout), "block", merge, layout)
     out = np.zeros((cells // block, block), np.uint32)
     for found in merged.collect():
         out[found["block"]] = np.frombuffer(found["counts"], "<u4")
@@ -172,15 +205,25 @@ def members(df: DataFrame, column: str, cells: int) -> Members:
             [pa.array(of[edge]), pa.array([inside[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(of)])],
                                           pa.binary())], ["block", "cells"])
 
+    def seen(cells):
+        out = np.zeros(1 << block_bits, bool)
+        for cell in cells:
+            out[np.frombuffer(cell.as_buffer(), "<u4")] = True
+        return out
+
     def merge(table):
-        seen = np.zeros(1 << block_bits, bool)
-        for cell in table.column("cells"):
-            seen[np.frombuffer(cell.as_buffer(), "<u4")] = True
-        packed = np.packbits(seen, bitorder="little").tobytes()
-        return pa.table({"block": table.column("block")[:1], "bitmap": pa.array([packed])})
-
-    merged = df.select(column).mapInArrow(mark, "block long, cells binary").groupBy("block").applyInArrow(
-        merge, "block long, bitmap binary")
+        at = np.flatnonzero(seen(table.column("cells"))).astype("<u4")
+        return pa.table({"block": table.column("block")[:1], "cells": pa.array([at.tobytes()])})
+
+    def bitmaps(batches):
+        for batch in batches:
+            maps = [np.packbits(seen(batch.column("cells")[i:i + 1]), bitorder="little").tobytes()
+                    for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(maps, pa.binary())], ["block", "bitmap"])
+
+    layout = "block long, cells binary"
+    merged = folded(df.select(column).mapInArrow(mark, layout), "block", merge, layout).mapInArrow(
+        bitmaps, "block long, bitmap binary")
     bitmap = np.zeros(max(1, cells // 8), np.uint8)
     for found in merged.collect():
         bitmap[found["block"] * size:(found["block"] + 1) * size] = np.frombuffer(found["bitmap"], np.uint8)
