@@ -413,7 +413,7 @@ def contaminated(
     total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     counts = sketch.frequencies(found.select("text"), _distinct, FEATURES).astype(np.float64)
     idf = inverse_frequency(counts, total)
-    tasks = max(2 * context.defaultParallelism, math.ceil((size or 0) / FIT_BYTES))
+    tasks = max(context.defaultParallelism, math.ceil((size or 0) / FIT_BYTES))
     seen = passage_sums(found, idf, tasks)
     blocks = [W.texts_of(pa.array([r["t"] for r in asked[low:low + ITEM_BLOCK]], pa.string()))
               for low in range(0, len(asked), ITEM_BLOCK)]
