@@ -10,23 +10,44 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from moveproof.llm import decontaminate, jaccard, line_rules, packing, substring  # noqa: E402
 from moveproof.llm.queries import tokenizer_path  # noqa: E402
-from moveproof.session import scratch_dir, table  # noqa: E402
+from moveproof.session import scratch_dir, stored, table  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Documents named by id and hash up to which they are broadcast, 32 octets each; beyond it documents are shuffled.
+BROADCAST_NAMES = 400_000
+
+
+def _named(names: DataFrame) -> DataFrame:
+    """_id, _key of documents, stored, and broadcast if they are few."""
+    names = stored(names.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "names")
+    return F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+
+
+def _is_named() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Documents other than those named by doc_id and key, the hash of the text."""
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(_named(gone), _is_named(), "left_anti")
+
+
+def _one_of_repeats(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text; only rows that repeat are shuffled with their texts."""
+    names = docs.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    twice = _named(names.filter("n > 1"))
+    repeated = docs.join(twice, _is_named(), "left_semi").withColumn("_text", F.xxhash64("text"))
+    return docs.join(twice, _is_named(), "left_anti").unionByName(
+        repeated.dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +58,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of alike documents the one of least id stays, of repeated rows one."""
     docs = docs.select(*COLUMNS)
-    first = _without(docs, jaccard.jaccard_join(docs).filter("not is_first"))
-    return first.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return _one_of_repeats(_without(docs, jaccard.jaccard_join(docs).filter("not is_first")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
