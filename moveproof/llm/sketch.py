@@ -53,12 +53,16 @@ class Repeats:
         return any(b.any() for b in self.often)
 
 
-def folded(partial: DataFrame, by: str, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def folded(
+    partial: DataFrame, by: str, merge: Callable[[pa.Table], pa.Table], schema: str,
+    last: Callable[[pa.Table], pa.Table] | None = None, last_schema: str = "",
+) -> DataFrame:
     """One row for each value of `by`, merged from the rows of all tasks in levels.
 
-    `merge` makes one row of some rows of equal `by`, in the same layout. Tasks
-    of neighbouring numbers are merged FAN at a time, then FAN of the results,
-    then the rest, so a group holds FAN arrays up to FAN**3 tasks.
+    `merge` makes one row of some rows of equal `by`, in the same layout; `last`,
+    if given, makes the result of what is left. Tasks of neighbouring numbers are merged
+    FAN at a time, then FAN of the results, then the rest, so a group holds FAN
+    arrays up to FAN**3 tasks.
     """
     def level(table):
         return merge(table).append_column("_at", table.column("_at")[:1])
@@ -67,7 +71,7 @@ def folded(partial: DataFrame, by: str, merge: Callable[[pa.Table], pa.Table], s
     for _ in range(2):
         rows = rows.withColumn("_at", F.floor(F.col("_at") / FAN).cast("int")).groupBy(by, "_at").applyInArrow(
             level, f"{schema}, _at int")
-    return rows.drop("_at").groupBy(by).applyInArrow(merge, schema)
+    return rows.drop("_at").groupBy(by).applyInArrow(last or merge, last_schema or schema)
 
 
 def _packed(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -125,17 +129,15 @@ def repeats(
         return pa.table({"block": table.column("block")[:1], "cells": pa.array([at.astype("<u4").tobytes()]),
                          "counts": pa.array([np.minimum(total[at], 65535).astype("<u2").tobytes()])})
 
-    def bitmaps(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                total = summed(batch.column("cells")[i:i + 1], batch.column("counts")[i:i + 1])
-                maps = [np.packbits(total >= least, bitorder="little").tobytes() for least in (2, min(hot, 65535))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("block")[i:i + 1], *(pa.array([m], pa.binary()) for m in maps)], ["block", "twice", "often"])
+    def bitmaps(table):
+        total = summed(table.column("cells"), table.column("counts"))
+        maps = [np.packbits(total >= least, bitorder="little").tobytes() for least in (2, min(hot, 65535))]
+        return pa.table({"block": table.column("block")[:1],
+                         "twice": pa.array([maps[0]]), "often": pa.array([maps[1]])})
 
     layout = "block long, cells binary, counts binary"
-    merged = folded(df.mapInArrow(count, layout), "block", merge, layout).mapInArrow(
-        bitmaps, "block long, twice binary, often binary")
+    merged = folded(df.mapInArrow(count, layout), "block", merge, layout,
+                    bitmaps, "block long, twice binary, often binary")
     size = max(1, cells // 8)
     twice, often = ([np.zeros(size, np.uint8) for _ in range(ROWS)] for _ in range(2))
     step = max(1, (1 << block_bits) // 8)
@@ -215,15 +217,13 @@ def members(df: DataFrame, column: str, cells: int) -> Members:
         at = np.flatnonzero(seen(table.column("cells"))).astype("<u4")
         return pa.table({"block": table.column("block")[:1], "cells": pa.array([at.tobytes()])})
 
-    def bitmaps(batches):
-        for batch in batches:
-            maps = [np.packbits(seen(batch.column("cells")[i:i + 1]), bitorder="little").tobytes()
-                    for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(maps, pa.binary())], ["block", "bitmap"])
+    def bitmaps(table):
+        packed = np.packbits(seen(table.column("cells")), bitorder="little").tobytes()
+        return pa.table({"block": table.column("block")[:1], "bitmap": pa.array([packed])})
 
     layout = "block long, cells binary"
-    merged = folded(df.select(column).mapInArrow(mark, layout), "block", merge, layout).mapInArrow(
-        bitmaps, "block long, bitmap binary")
+    merged = folded(df.select(column).mapInArrow(mark, layout), "block", merge, layout,
+                    bitmaps, "block long, bitmap binary")
     bitmap = np.zeros(max(1, cells // 8), np.uint8)
     for found in merged.collect():
         bitmap[found["block"] * size:(found["block"] + 1) * size] = np.frombuffer(found["bitmap"], np.uint8)
