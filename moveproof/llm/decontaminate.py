@@ -186,29 +186,35 @@ def _by_key(table: np.ndarray, rows: np.ndarray, keys: np.ndarray):
 
 
 def seen_by(basis: np.ndarray, idf: np.ndarray, slices) -> tuple[np.ndarray, int]:
-    """Sum of a (a' basis) over the rows a of the passage matrix, features by columns of the basis; number of rows."""
+    """Sum of a (a' basis) over the rows a of the passage matrix, features by columns of the basis; number of rows.
+
+    The basis is used up.
+    """
     idf = idf.astype(np.float32)
-    weighted, total, passages = basis * idf[:, None], np.zeros(basis.shape), 0
+    basis *= idf[:, None]  # in place, as it is large
+    total, passages = np.zeros(basis.shape), 0
     for texts in slices:
         found = Passages(idf, *words_and_hashes(texts))
         passages += len(found.starts)
         if len(found.starts):
-            own = found.vectors(weighted) / found.length[:, None]
+            own = found.vectors(basis) / found.length[:, None]
             both = own.copy()
             both[found.same + 1] += own[found.same]
             half = np.repeat(np.arange(len(found.starts)), np.diff(found.starts, append=len(found.features)))
             order = np.argsort(found.features.astype(np.uint16), kind="stable")
             feature, sums = _by_key(both, half[order], found.features[order])
             total[feature] += sums
-    return total * idf[:, None], passages
+    total *= idf[:, None]
+    return total, passages
 
 
 def _seen(known):
     """Parts 0 to 15 of the rows of `seen_by`, and as part 16 the number of passages."""
     def rows(batches):
         total, passages = seen_by(random_basis(SIZE), known.value, (texts for _, texts in W.sliced(batches)))
-        sums = [part.astype("<f4").tobytes() for part in [*np.split(total, 16), np.array([passages])]]
-        yield pa.RecordBatch.from_arrays([pa.array(range(17), pa.int32()), pa.array(sums)], ["part", "sums"])
+        for i, part in enumerate([*np.split(total, 16), np.array([passages])]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([part.astype("<f4").tobytes()])], ["part", "sums"])
     return rows
 
 

@@ -294,7 +294,7 @@ def _packed(path, end_id, size):
         def batch(pieces):
             return pa.RecordBatch.from_arrays([pa.array(pieces[n], pa.int64()) for n in names], names)
 
-        for part, texts in W.sliced(batches, limit=4 * W.SLICE_BYTES):
+        for part, texts in W.sliced(batches):
             ids, sizes = encoder.ids(texts)
             at = 0
             for doc_id, n in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
