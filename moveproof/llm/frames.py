@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from moveproof.session import stored as stored  # noqa: F401
 
 LAST_ID = (1 << 63) - 1
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 #: Per application the folder whose archive its executors fetch; kept as long as this process.
