@@ -344,14 +344,17 @@ class Items:
 
 
 def candidates(items: Items, hashes, bounds, cosine: float):
-    """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed."""
+    """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed.
+
+    A table may be a broadcast of one, so that a worker loads one at a time.
+    """
     passages = Passages(items.idf, hashes, bounds)
     starts, of = passages.starts, passages.of
     at, seeded = items.seeds.found(hashes, bounds)
     at = np.searchsorted(starts, at, "right") - 1
     low = 0
     for table in items.scores:
-        near = passages.vectors(table)
+        near = passages.vectors(getattr(table, "value", table))
         chosen = near >= cosine
         own = (seeded >= low) & (seeded < low + near.shape[1])
         chosen[at[own], seeded[own] - low] = True
@@ -361,9 +364,10 @@ def candidates(items: Items, hashes, bounds, cosine: float):
         low += near.shape[1]
 
 
-def _searched(known, cosine):
+def _searched(known, tables, cosine):
     def rows(batches):
         items = known.value
+        items.scores = tables
         for batch, texts in W.sliced(batches):
             hashes, bounds = words_and_hashes(texts)
             found: dict[tuple[int, int], tuple] = {}
@@ -427,8 +431,8 @@ def contaminated(
     for low in range(0, max(1, len(asked)), ITEM_PASS):
         own, each = slice(low, low + ITEM_PASS), slice(low // ITEM_BLOCK, (low + ITEM_PASS) // ITEM_BLOCK)
         known = context.broadcast(Items(
-            [r["i"] for r in asked[own]], split[0][own], split[1][own],
-            [scores(*seen, texts, idf) for texts in blocks[each]], idf))
-        passes.append(found.mapInArrow(_searched(known, cosine), schema))
+            [r["i"] for r in asked[own]], split[0][own], split[1][own], [], idf))
+        tables = [context.broadcast(scores(*seen, texts, idf)) for texts in blocks[each]]
+        passes.append(found.mapInArrow(_searched(known, tables, cosine), schema))
     pairs = reduce(DataFrame.union, passes).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")
