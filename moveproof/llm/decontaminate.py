@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, public_id, send_code
+from moveproof.llm.frames import identified, public_id, released, send_code
 
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
@@ -233,7 +233,7 @@ def _collected(frame: DataFrame, dtype) -> np.ndarray:
 def passage_sums(found: DataFrame, idf: np.ndarray, tasks: int) -> tuple[np.ndarray, float]:
     """What all latent spaces need of the passages, features by SIZE, and how many there are."""
     known = found.sparkSession.sparkContext.broadcast(idf)
-    seen = _collected(found.select("text").coalesce(tasks).mapInArrow(_seen(known), "part int, sums binary"), "<f4")
+    seen = _collected(found.select("text").coalesce(tasks).mapInArrow(released(_seen(known)), "part int, sums binary"), "<f4")
     if not len(seen):
         return np.zeros((FEATURES, SIZE), np.float32), 0.0
     return seen[:-1].reshape(FEATURES, SIZE), float(seen[-1])
@@ -433,6 +433,6 @@ def contaminated(
         known = context.broadcast(Items(
             [r["i"] for r in asked[own]], split[0][own], split[1][own], [], idf))
         tables = [context.broadcast(scores(*seen, texts, idf)) for texts in blocks[each]]
-        passes.append(found.mapInArrow(_searched(known, tables, cosine), schema))
+        passes.append(found.mapInArrow(released(_searched(known, tables, cosine)), schema))
     pairs = reduce(DataFrame.union, passes).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import send_code, stored
+from moveproof.llm.frames import released, send_code, stored
 
 SCALE = 1_000_000_000
 #: A block is spilled at this many postings, or octets of them.
@@ -195,9 +195,10 @@ def term_frequencies(
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     docs = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(docs.mapInArrow(_indexed(shards, block), RUN), "runs")
+    runs = stored(docs.mapInArrow(released(_indexed(shards, block)), RUN), "runs")
     runs = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("first")
-    return stored(runs.select("first", "octets", "postings").mapInArrow(_merged(min_docs, merge), FREQUENCY), "frequencies")
+    runs = runs.select("first", "octets", "postings")
+    return stored(runs.mapInArrow(released(_merged(min_docs, merge)), FREQUENCY), "frequencies")
 
 
 def _share(count: str, whole: str) -> Column:
@@ -275,7 +276,7 @@ def _pair_part(found: DataFrame, groups: DataFrame, side: int) -> DataFrame:
     shared = found.filter("sources > 1").join(groups, ["lang", "source"]).select(
         F.xxhash64("lang", "term").alias("tid"), "lang", "term", "source", _share("count + 1", "n + v").alias("p"), "p0")
     both = shared.repartition("tid").sortWithinPartitions("tid").mapInArrow(
-        _both_sides(side), "lang string, source string, item string, value long")
+        released(_both_sides(side)), "lang string, source string, item string, value long")
     return empty.unionByName(one).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,24 @@ def send_code(spark: SparkSession) -> None:
     _sent[context.applicationId] = folder
 
 
+def _give_back() -> None:
+    """Return the memory that this process has freed but kept; a C library without such a call keeps it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on batches; at its end the worker, which the next tasks use again, gives its memory back."""
+    def rows(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+    return rows
+
+
 def identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **others: str
 ) -> DataFrame:

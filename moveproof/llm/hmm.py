@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import send_code, stored
+from moveproof.llm.frames import released, send_code, stored
 
 HEAD = 1 << 18
 HEAD_CLASSES = 1 << 14
@@ -96,7 +96,7 @@ def _counted(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """key, n: how often each token stands in the documents."""
-    return docs.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(_counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -252,7 +252,8 @@ def baum_welch(encoded: DataFrame, base: np.ndarray, states: int = STATES, round
     for _ in range(rounds):
         known = context.broadcast(model)
         layout = "state int, counts binary"
-        sums = sketch.folded(encoded.select("classes").mapInArrow(_expected(known), layout), "state", _added, layout).collect()
+        partial = encoded.select("classes").mapInArrow(released(_expected(known)), layout)
+        sums = sketch.folded(partial, "state", _added, layout).collect()
         if not sums:
             return model
         table = np.stack([np.frombuffer(r["counts"]) for r in sorted(sums)])
@@ -308,11 +309,11 @@ def hmm_scores(
         F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stored(word_counts(found.filter(~F.col("held_out"))), "word-counts")
     words = vocabulary(counts, head)
-    encoded = stored(found.mapInArrow(_encoded(context.broadcast(words)), ENCODED), "classes")
+    encoded = stored(found.mapInArrow(released(_encoded(context.broadcast(words))), ENCODED), "classes")
     model = baum_welch(encoded.filter(~F.col("held_out")), words.base, states, rounds)
     ratio = model.emit / words.base[:, None]
     parts = encoded.select("ref", "doc_id", "held_out", "n_tokens", "n_known", "base", "classes").mapInArrow(
-        _scored(context.broadcast((model.start, model.move, ratio))),
+        released(_scored(context.broadcast((model.start, model.move, ratio)))),
         "ref long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double")
     n = F.coalesce("n", F.lit(0))
     tail = (

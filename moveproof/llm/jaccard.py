@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, public_id, send_code, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, public_id, released, send_code, stored, text_bytes
 from moveproof.llm.graph import components
 
 SIZE = 5
@@ -298,12 +298,12 @@ def _verified(pairs: DataFrame, found: DataFrame, firsts: DataFrame, size: int,
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     names = firsts.join(nodes, "node", "left_semi").select("name")
     chosen = found.sparkSession.sparkContext.broadcast(sketch.members(names, "name", MEMBER_CELLS))
-    texts = stored(found.mapInArrow(_texts_of_nodes(chosen, size), "node long, text string")
+    texts = stored(found.mapInArrow(released(_texts_of_nodes(chosen, size)), "node long, text string")
                    .join(nodes, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     sides = [texts.select(F.col("node").alias(n), F.col("text").alias("t" + n)) for n in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(
-        _verify(size, percent), "a long, b long"), "verified")
+        released(_verify(size, percent)), "a long, b long"), "verified")
 
 
 def jaccard_join(
@@ -313,7 +313,7 @@ def jaccard_join(
     send_code(docs.sparkSession)
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     found = identified(docs, id_col, text_col)
-    facts = stored(found.mapInArrow(_facts(size), FACTS), "shingle-facts")
+    facts = stored(found.mapInArrow(released(_facts(size)), FACTS), "shingle-facts")
     firsts = stored(
         facts.filter("n > 0").groupBy("node").agg(
             F.min(F.struct("id", "key", "name")).alias("f"), F.min("n").alias("n"), F.min("parity").alias("parity"),
@@ -322,9 +322,9 @@ def jaccard_join(
     n_tokens = text_bytes(found) / 6 * (1 - percent / 100)
     parts = partitions(docs, n_tokens * 24)
     listed = stored(
-        found.select("text").mapInArrow(_prefixes(levels, size, percent), POSTING)
+        found.select("text").mapInArrow(released(_prefixes(levels, size, percent)), POSTING)
         .repartition(parts, "token").sortWithinPartitions("token")
-        .mapInArrow(_pivot_pairs(percent), POSTING + ", shared int, kind int"), "postings")
+        .mapInArrow(released(_pivot_pairs(percent)), POSTING + ", shared int, kind int"), "postings")
 
     pairs = listed.filter("kind = 1").groupBy(F.col("token").alias("a"), F.col("node").alias("b")).agg(
         F.sum("shared").alias("shared"))
@@ -346,7 +346,7 @@ def jaccard_join(
         labelled.join(mixed, "token", "left_semi").join(sketches, "node")
         .select("token", "node", "n", "place", "comp", "parity")
         .repartition(parts, "token").sortWithinPartitions("token")
-        .mapInArrow(_cross_pairs(percent), POSTING + ", shared int, kind int")
+        .mapInArrow(released(_cross_pairs(percent)), POSTING + ", shared int, kind int")
         .groupBy(F.col("token").alias("a"), F.col("node").alias("b")).agg(F.sum("shared").alias("shared"))
     )
     tried = best.select("a", "b")
@@ -373,4 +373,4 @@ def _filtered(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
              for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     return both.select("a", "b", "shared", "na", "nb", "pa", "pb").mapInArrow(
-        _suffix_filter(percent), "a long, b long, shared long")
+        released(_suffix_filter(percent)), "a long, b long, shared long")

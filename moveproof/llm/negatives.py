@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import LAST_ID, public_id, send_code, stored
+from moveproof.llm.frames import LAST_ID, public_id, released, send_code, stored
 
 #: Rows that the upper tree is grown from; all rows are indexed.
 SAMPLE = 8192
@@ -267,7 +267,7 @@ def _prepared(table: DataFrame, scale: float) -> tuple[DataFrame, type, int, int
         F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
     most, dim = abs(scale) * (size["most"] or 0.0) + 1, max(size["dim"] or 1, 1)
     dtype = next(t for t, bound in ((np.int16, 2.0**15), (np.int32, 2.0**31), (np.float64, np.inf)) if most < bound)
-    rows = usable.mapInArrow(_quantized(scale, dim, dtype), "id long, label long, vec binary")
+    rows = usable.mapInArrow(released(_quantized(scale, dim, dtype)), "id long, label long, vec binary")
     rows = rows.dropDuplicates(["id", "label", "vec"])
     return rows.withColumn("key", F.xxhash64("id", "label", "vec")), dtype, dim, size["n"]
 
@@ -295,7 +295,7 @@ def build_index(table: DataFrame, scale: float, sample: int, chunk: int) -> Inde
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in zip(*out)], ["split", "point", "child", "least", "most"])
 
-    told = rows.mapInArrow(measured, "split long, point long, child long, least double, most double")
+    told = rows.mapInArrow(released(measured), "split long, point long, child long, least double, most double")
     ranges, counts = _open(splits), [0] * leaves
     for r in told.groupBy("split", "point", "child").agg(
             F.min("least").alias("least"), F.max("most").alias("most"), F.sum("least").alias("total")).collect():
@@ -313,7 +313,7 @@ def build_index(table: DataFrame, scale: float, sample: int, chunk: int) -> Inde
             leaf = routed(splits, _vectors(batch.column("vec"), dtype))
             yield batch.append_column("leaf", pa.array(leaf, pa.int32()))
 
-    rows = rows.mapInArrow(placed, ROWS).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), of).cast("int"))
+    rows = rows.mapInArrow(released(placed), ROWS).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), of).cast("int"))
     return Index(rows, splits, ranges, chunks, dtype)
 
 
@@ -360,7 +360,7 @@ def search(index: Index, queries: DataFrame, n_queries: int, k: int, same: bool,
     blocks = max(1, -(-n_queries // block))
     place = ["leaf", "chunk", "block"]
     of = F.element_at(F.array(*[F.lit(c) for c in index.chunks]), F.col("leaf") + 1)
-    asked = queries.mapInArrow(visits, QUERY + ", leaf int").withColumn(
+    asked = queries.mapInArrow(released(visits), QUERY + ", leaf int").withColumn(
         "chunk", F.explode(F.array(F.lit(0)) if home else F.sequence(F.lit(0), of - 1))).withColumn(
         "block", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).cast("int"))
     rows = index.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else (

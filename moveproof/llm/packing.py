@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import send_code
+from moveproof.llm.frames import released, send_code
 
 SIZE = 4096
 END_ID = 2
@@ -318,4 +318,4 @@ def pack(
     send_code(docs.sparkSession)
     found = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{text_col}`").cast("string").alias("text"))
-    return found.mapInArrow(_packed(tokenizer_path, end_id, size), PIECE)
+    return found.mapInArrow(released(_packed(tokenizer_path, end_id, size)), PIECE)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import send_code, stored
+from moveproof.llm.frames import released, send_code, stored
 
 BINS = 16
 FEATURES = ("symbols", "capitals", "repeats", "distinct", "word_length", "sentence_ends", "bare_marks", "length")
@@ -178,7 +178,7 @@ def classify(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    facts = stored(found.mapInArrow(_facts, FACTS), "measures")
+    facts = stored(found.mapInArrow(released(_facts), FACTS), "measures")
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                           F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
     known = known.groupBy("id").agg(F.max("label").alias("label"))

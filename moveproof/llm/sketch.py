@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moveproof.llm.frames import released
 from moveproof.llm.words import mix
 
 ROWS = 2
@@ -136,7 +137,7 @@ def repeats(
                          "twice": pa.array([maps[0]]), "often": pa.array([maps[1]])})
 
     layout = "block long, cells binary, counts binary"
-    merged = folded(df.mapInArrow(count, layout), "block", merge, layout,
+    merged = folded(df.mapInArrow(released(count), layout), "block", merge, layout,
                     bitmaps, "block long, twice binary, often binary")
     size = max(1, cells // 8)
     twice, often = ([np.zeros(size, np.uint8) for _ in range(ROWS)] for _ in range(2))
@@ -173,7 +174,7 @@ def frequencies(
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()])})
 
     layout = "block long, counts binary"
-    merged = folded(df.mapInArrow(count, layout), "block", merge, layout)
+    merged = folded(df.mapInArrow(released(count), layout), "block", merge, layout)
     out = np.zeros((cells // block, block), np.uint32)
     for found in merged.collect():
         out[found["block"]] = np.frombuffer(found["counts"], "<u4")
@@ -222,7 +223,7 @@ def members(df: DataFrame, column: str, cells: int) -> Members:
         return pa.table({"block": table.column("block")[:1], "bitmap": pa.array([packed])})
 
     layout = "block long, cells binary"
-    merged = folded(df.select(column).mapInArrow(mark, layout), "block", merge, layout,
+    merged = folded(df.select(column).mapInArrow(released(mark), layout), "block", merge, layout,
                     bitmaps, "block long, bitmap binary")
     bitmap = np.zeros(max(1, cells // 8), np.uint8)
     for found in merged.collect():

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, power_of_two, public_id, send_code, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, power_of_two, public_id, released, send_code, stored, text_bytes
 
 WINDOW = 50
 GRAM = 18
@@ -187,14 +187,14 @@ def marked_windows(
     found = sketch.repeats(docs.select("text"), _anchor_hashes(window, gram), cells, hot)
     seen = spark.sparkContext.broadcast(found)
     docs = docs.select("id", "key", "text")
-    runs = docs.mapInArrow(_candidates(seen, window, gram, False), RUNS)
+    runs = docs.mapInArrow(released(_candidates(seen, window, gram, False)), RUNS)
     marks = (
         runs.repartition(partitions(docs, size / 2), "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_later, "id long, key long, starts binary, flags binary")
+        .mapInArrow(released(_later), "id long, key long, starts binary, flags binary")
     )
     if not found.any_hot:
         return marks
-    single = docs.mapInArrow(_candidates(seen, window, gram, True), SINGLE)
+    single = docs.mapInArrow(released(_candidates(seen, window, gram, True)), SINGLE)
     firsts = stored(
         single.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("_last"))
         .filter("first < _last").drop("_last"), "first-windows")
@@ -228,6 +228,6 @@ def dedup_substrings(
     schema = RESULT + (", key long, kept_text string" if with_text else "") + "".join(
         f", {name} {found.schema[name].dataType.simpleString()}" for name in own)
     out = found.join(per_doc, ["id", "key"], "left").mapInArrow(
-        _assemble(window, with_text, list(own)), schema)
+        released(_assemble(window, with_text, list(own))), schema)
     return out.select(public_id().alias("doc_id"), *[
         F.col(c).alias(own.get(c, c)) for c in out.columns if c != "id"])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import sketch, words as W
-from moveproof.llm.frames import identified, partitions, power_of_two, public_id, send_code, stored, text_bytes
+from moveproof.llm.frames import identified, partitions, power_of_two, public_id, released, send_code, stored, text_bytes
 
 LENGTH = 400
 GRAM = 145
@@ -261,13 +261,13 @@ def marked_windows(
     found = sketch.repeats(docs.select("text"), _anchor_hashes(length, gram), cells, hot)
     seen = docs.sparkSession.sparkContext.broadcast(found)
     marks = (
-        docs.mapInArrow(_candidates(seen, length, gram, False), CONTEXT)
+        docs.mapInArrow(released(_candidates(seen, length, gram, False)), CONTEXT)
         .repartition(partitions(docs, 1.5 * size), "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_compare(length, gram), "id long, key long, start int, flags binary")
+        .mapInArrow(released(_compare(length, gram)), "id long, key long, start int, flags binary")
     )
     if not found.any_hot:
         return marks
-    single = docs.mapInArrow(_candidates(seen, length, gram, True), SINGLE)
+    single = docs.mapInArrow(released(_candidates(seen, length, gram, True)), SINGLE)
     twice = stored(single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                    .select("anchor", "window"), "repeated-windows")
     salted = twice.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
@@ -313,5 +313,5 @@ def dedup_bytes(
     per_doc = marks.groupBy("id", "key").agg(F.collect_list(F.struct("start", "flags")).alias("marks"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
         ", key long, kept binary" if with_bytes else "")
-    out = found.join(per_doc, ["id", "key"], "left").mapInArrow(_assemble(length, with_bytes), schema)
+    out = found.join(per_doc, ["id", "key"], "left").mapInArrow(released(_assemble(length, with_bytes)), schema)
     return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "id"])

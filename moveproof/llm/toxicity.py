@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moveproof.llm import words as W
-from moveproof.llm.frames import send_code
+from moveproof.llm.frames import released, send_code
 
 BITS = 20
 #: Rows that one task learns from; so many tasks as the rows make.
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS)
     shards = max(1, round(labelled.select("id").count() / shard_rows))
     learned = (
         labelled.repartition(shards, order).sortWithinPartitions(order, F.col("id"))
-        .select("text", "label").mapInArrow(_trained(epochs), "at long, weight double")
+        .select("text", "label").mapInArrow(released(_trained(epochs)), "at long, weight double")
         .groupBy("at").agg(F.sum("weight").alias("weight")).collect()
     )
     sums = {r["at"]: r["weight"] for r in learned}
@@ -147,6 +147,6 @@ def toxicity(
         known = known.filter(F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(n)) < label_rows)
     weights = fit(found.filter(~F.col("held_out")).join(F.broadcast(known), "id"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    out = found.mapInArrow(_scored(shared, ["id", "held_out"]), "id long, held_out boolean, score double")
+    out = found.mapInArrow(released(_scored(shared, ["id", "held_out"])), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias("doc_id"), "held_out", "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
