@@ -352,7 +352,8 @@ def jaccard_join(
     tried = best.select("a", "b")
     rest = cross.join(tried, ["a", "b"], "left_anti")
     more = _verified(rest, found, firsts, size, percent)
-    final = components(links.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    stars = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    final = components(stars.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
     of_node = firsts.select("node", "id", "key").join(final, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
