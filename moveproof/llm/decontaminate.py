@@ -225,15 +225,16 @@ def _added(dtype):
     return merge
 
 
-def _collected(frame: DataFrame, dtype) -> np.ndarray:
-    sums = sketch.folded(frame, "part", _added(dtype), "part int, sums binary").collect()
+def _collected(frame: DataFrame, dtype, tasks: int) -> np.ndarray:
+    sums = sketch.folded(frame, "part", _added(dtype), "part int, sums binary", tasks=tasks).collect()
     return np.concatenate([np.frombuffer(r["sums"], dtype) for r in sorted(sums)]) if sums else np.zeros(0, dtype)
 
 
 def passage_sums(found: DataFrame, idf: np.ndarray, tasks: int) -> tuple[np.ndarray, float]:
     """What all latent spaces need of the passages, features by SIZE, and how many there are."""
     known = found.sparkSession.sparkContext.broadcast(idf)
-    seen = _collected(found.select("text").coalesce(tasks).mapInArrow(released(_seen(known)), "part int, sums binary"), "<f4")
+    sums = found.select("text").coalesce(tasks).mapInArrow(released(_seen(known)), "part int, sums binary")
+    seen = _collected(sums, "<f4", tasks)
     if not len(seen):
         return np.zeros((FEATURES, SIZE), np.float32), 0.0
     return seen[:-1].reshape(FEATURES, SIZE), float(seen[-1])
@@ -346,7 +347,7 @@ class Items:
 def candidates(items: Items, hashes, bounds, cosine: float):
     """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed.
 
-    A table may be a broadcast of one, so that a worker loads one at a time.
+    A table may be a broadcast of one, so that a worker loads one at a time, and in half precision.
     """
     passages = Passages(items.idf, hashes, bounds)
     starts, of = passages.starts, passages.of
@@ -354,7 +355,7 @@ def candidates(items: Items, hashes, bounds, cosine: float):
     at = np.searchsorted(starts, at, "right") - 1
     low = 0
     for table in items.scores:
-        near = passages.vectors(getattr(table, "value", table))
+        near = passages.vectors(np.asarray(getattr(table, "value", table), np.float32))
         chosen = near >= cosine
         own = (seeded >= low) & (seeded < low + near.shape[1])
         chosen[at[own], seeded[own] - low] = True
@@ -432,7 +433,8 @@ def contaminated(
         own, each = slice(low, low + ITEM_PASS), slice(low // ITEM_BLOCK, (low + ITEM_PASS) // ITEM_BLOCK)
         known = context.broadcast(Items(
             [r["i"] for r in asked[own]], split[0][own], split[1][own], [], idf))
-        tables = [context.broadcast(scores(*seen, texts, idf)) for texts in blocks[each]]
+        # each executor keeps a copy on disk; half precision moves a cosine by less than 0.001
+        tables = [context.broadcast(scores(*seen, texts, idf).astype(np.float16)) for texts in blocks[each]]
         passes.append(found.mapInArrow(released(_searched(known, tables, cosine)), schema))
     pairs = reduce(DataFrame.union, passes).filter("contaminated")
     return pairs.select(public_id().alias("doc_id"), "key", "item_id", "cosine", "common", "has_answer")

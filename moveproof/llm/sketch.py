@@ -57,19 +57,22 @@ class Repeats:
 def folded(
     partial: DataFrame, by: str, merge: Callable[[pa.Table], pa.Table], schema: str,
     last: Callable[[pa.Table], pa.Table] | None = None, last_schema: str = "",
+    tasks: int = FAN ** 3,
 ) -> DataFrame:
     """One row for each value of `by`, merged from the rows of all tasks in levels.
 
     `merge` makes one row of some rows of equal `by`, in the same layout; `last`,
     if given, makes the result of what is left. Tasks of neighbouring numbers are merged
     FAN at a time, then FAN of the results, then the rest, so a group holds FAN
-    arrays up to FAN**3 tasks.
+    arrays up to FAN**3 tasks. With a known number of tasks only the levels that it needs are run.
     """
     def level(table):
         return merge(table).append_column("_at", table.column("_at")[:1])
 
     rows = partial.withColumn("_at", F.spark_partition_id())
-    for _ in range(2):
+    for depth in (1, 2):
+        if tasks <= FAN ** depth:
+            break
         rows = rows.withColumn("_at", F.floor(F.col("_at") / FAN).cast("int")).groupBy(by, "_at").applyInArrow(
             level, f"{schema}, _at int")
     return rows.drop("_at").groupBy(by).applyInArrow(last or merge, last_schema or schema)
