@@ -347,7 +347,7 @@ class Items:
 def candidates(items: Items, hashes, bounds, cosine: float):
     """(passage start, text, item, cosine) of passages whose cosine reaches the bound or that have a seed.
 
-    A table may be a broadcast of one, so that a worker loads one at a time, and in half precision.
+    The tables are in single precision.
     """
     passages = Passages(items.idf, hashes, bounds)
     starts, of = passages.starts, passages.of
@@ -355,7 +355,7 @@ def candidates(items: Items, hashes, bounds, cosine: float):
     at = np.searchsorted(starts, at, "right") - 1
     low = 0
     for table in items.scores:
-        near = passages.vectors(np.asarray(getattr(table, "value", table), np.float32))
+        near = passages.vectors(table)
         chosen = near >= cosine
         own = (seeded >= low) & (seeded < low + near.shape[1])
         chosen[at[own], seeded[own] - low] = True
@@ -368,7 +368,7 @@ def candidates(items: Items, hashes, bounds, cosine: float):
 def _searched(known, tables, cosine):
     def rows(batches):
         items = known.value
-        items.scores = tables
+        items.scores = [np.asarray(table.value, np.float32) for table in tables]  # once a task, as it is slow
         for batch, texts in W.sliced(batches):
             hashes, bounds = words_and_hashes(texts)
             found: dict[tuple[int, int], tuple] = {}
