@@ -118,3 +118,25 @@ def test_supersets_of_keys_and_poor_combinations_are_never_tested(spark, monkeyp
     got = {r.key for r in key_search.minimal_keys({"t": df}).collect()}
     assert got == {"id", "thirty, block"}
     assert {c for _, c in asked} == {("thirty", "block")}
+
+
+def test_columns_are_hashed_once_and_few_hashes_are_shuffled(spark):
+    names = [f"c{i}" for i in range(8)]
+    df = spark.range(100).select(*[(F.col("id") * (i + 3) % 97).cast("string").alias(c) for i, c in enumerate(names)])
+    asked = [(i, c) for i, c in enumerate(combinations(names, 3))]
+    hashed = key_search._hashed(df, asked)
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") < 30  # two a column, two a combination; not two for each of 56 combinations
+    got = {(r.id, r.h1, r.h2) for r in hashed.collect()}
+    assert len(got) == 97 * len(asked)  # 97 different rows
+
+
+def test_a_repeat_in_any_slice_is_found(spark):
+    """One frequent value, one pair, and none: the passes over slices and the last one agree with counting."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("often"),
+        F.when(F.col("id") == 2999, 0).otherwise(F.col("id")).alias("pair"), F.lit(1).alias("one"),
+        F.col("id").alias("never"))
+    asked = [("t", (c, "one")) for c in ("often", "pair", "never")]
+    assert key_search._repeating({"t": df}, asked) == set(asked[:2])
+    assert key_search._repeating_in({"t": df}, asked, 256) == {asked[0]}
