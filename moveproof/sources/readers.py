@@ -22,13 +22,18 @@ _AS_LATIN = "".join(map(chr, _WINDOWS_BYTES))
 _AS_WINDOWS = bytes(_WINDOWS_BYTES).decode("cp1252")
 
 
+def _decoded(path):
+    """Only what is percent-encoded is decoded, since this is done for every row."""
+    return F.when(path.contains("%"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+
+
 def file_path():
     """Path of the file a row was read from, as it was given; Spark percent-encodes it."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return _decoded(F.col("_metadata.file_path"))
 
 
 def file_name():
-    return F.regexp_extract(file_path(), r"([^/]+)$", 1)
+    return _decoded(F.substring_index(F.col("_metadata.file_path"), "/", -1))
 
 
 def _paths(path: str | list[str]) -> list[str]:

@@ -190,3 +190,17 @@ def test_materialized_view_is_empty_until_refreshed(spark, tmp_path):
     assert view.read().count() == 0
     view.refresh()
     assert view.read().count() == 7
+
+
+def test_paths_are_decoded_only_where_encoded(spark, tmp_path):
+    """Decoding costs more than reading a line, so plain names pass without it; all names come back as given."""
+    names = ["plain.txt", "a b+c.txt", "50%.txt", "ü%2B.txt"]
+    for name in names:
+        (tmp_path / name).write_text("x\ny\n")
+    frame = spark.read.text(str(tmp_path)).select(readers.file_name().alias("name"), readers.file_path().alias("path"))
+    found = {tuple(r) for r in frame.collect()}
+    assert {n for n, _ in found} == set(names)
+    assert {p.rsplit("/", 1)[1] for _, p in found} == set(names)
+    for column in (readers.file_name(), readers.file_path()):
+        plan = spark.read.text(str(tmp_path)).select(column.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN Contains" in plan or "CASE WHEN contains" in plan, plan
