@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from compare import duck
 from moveproof.operators import inclusion, key_search, keys
 from moveproof.plans.discovering import FAMILY, KEY_LAYOUT
-from moveproof.session import TABLES, tables
+from moveproof.session import FREED, TABLES, tables
 
 
 def pairs(df):
@@ -140,3 +141,45 @@ def test_a_repeat_in_any_slice_is_found(spark):
     asked = [("t", (c, "one")) for c in ("often", "pair", "never")]
     assert key_search._repeating({"t": df}, asked) == set(asked[:2])
     assert key_search._repeating_in({"t": df}, asked, 256) == {asked[0]}
+
+
+def test_passes_are_small_and_equal_brute_force(spark, monkeypatch):
+    """No pass takes more rows than it may; columns and combinations larger than that come in parts."""
+    rng = random.Random(7)
+    nan, names = float("nan"), [f"c{i}" for i in range(4)]
+    rows = [tuple(None if rng.random() < 0.02 else rng.randrange(w) for w in (60, 40, 900, 3000)) for _ in range(600)]
+    rows = [(*r[:3], None if r[3] is None else nan if r[3] < 9 else float(r[3] - 1500)) for r in rows]
+    df = spark.createDataFrame([(r[0], None if r[1] is None else str(r[1]), *r[2:]) for r in rows],
+                               "c0 long, c1 string, c2 int, c3 double").repartition(3)
+    passes, cells = [], []
+    tested, profiled = key_search._repeating_in, key_search.profile_columns
+    monkeypatch.setattr(key_search, "LEAST_ROWS", 150)
+    monkeypatch.setattr(key_search, "_repeating_in", lambda f, c, slices, part=0, parts=1, tasks=None: (
+        passes.append((len(c), slices, part, parts)), tested(f, c, slices, part, parts, tasks))[1])
+    monkeypatch.setattr(key_search, "profile_columns", lambda f: (
+        cells.extend(d.count() * len(d.columns) for d in f.values()), profiled(f))[1])
+    got = {r.key: r for r in key_search.minimal_keys({"t": df}, max_size=2, refuting_rows=1).collect()}
+    assert set(got) == brute([tuple(nan if v is None else v for v in r) for r in rows], names, 2) != set()
+    assert {r.total_rows for r in got.values()} == {600}
+    assert sum(cells) == 4 * 600 and max(cells) < 600
+    last = [p for p in passes if p[1] == 1 and p[2:] != (0, 1)]
+    assert last and {(n, parts) for n, _, _, parts in last} == {(1, 4)}  # 600 rows in parts of 150
+    assert {part for _, _, part, _ in last} == {0, 1, 2, 3}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in files.mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+def test_shuffle_files_go_with_their_pass(spark):
+    df = spark.range(500).select((F.col("id") % 30).alias("thirty"), F.floor(F.col("id") / 30).alias("block"))
+    before, setting = shuffle_files(spark), spark.conf.get(FREED, None)
+    assert len(key_search.minimal_keys({"t": df}).collect()) == 1
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(FREED, None) == setting
